@@ -69,7 +69,7 @@ def dashed_tag_name(tag: Column) -> Column:
 
 def clean_rule_pattern(pattern: Column) -> Column:
     """Cut the version extraction part of a technology rule."""
-    return F.regexp_replace(pattern, r"\;version:.*$", "")
+    return F.regexp_replace(pattern, r"\\;version:.*$", "")
 
 
 def glob_regex(glob: str) -> str:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, functions as F
 
 _URI = r"^(?:([A-Za-z][A-Za-z0-9+.\-]*):)?(?://([^/?#]*))?([^?#]*)(\?[^#]*)?(#.*)?$"
@@ -36,6 +38,11 @@ def strip_slash(text: Column) -> Column:
     return F.regexp_replace(text, "^/", "")
 
 
+def _once(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with ``value`` computed once, however often it is used."""
+    return F.transform(F.array(value), use)[0]
+
+
 def _append(base: Column, part: Column) -> Column:
     """Append one path part; a part that is still absolute replaces the base."""
     return (
@@ -49,7 +56,8 @@ def join_paths(first: Column, *parts: Column) -> Column:
     """Join path parts; one leading slash of every later part is ignored."""
     joined = first
     for part in parts:
-        joined = _append(joined, strip_slash(part))
+        pair = F.struct(joined.alias("base"), strip_slash(part).alias("part"))
+        joined = _once(pair, lambda p: _append(p["base"], p["part"]))
     return joined
 
 
@@ -65,23 +73,32 @@ def remove_dot_segments(text: Column) -> Column:
             .otherwise(F.concat(done, F.array(segment)))
         )
 
-    segments = F.split(text, "/", -1)
-    kept = F.aggregate(segments, F.array().cast("array<string>"), push)
-    # a path that ends in a dot segment names a folder
-    folder = F.rlike(text, F.lit(r"(^|/)\.\.?$"))
-    resolved = F.concat(F.array_join(kept, "/"), F.when(folder, F.lit("/")).otherwise(F.lit("")))
-    return F.when(F.rlike(text, F.lit(r"(^|/)\.\.?(/|$)")), resolved).otherwise(text)
+    def resolve(path: Column) -> Column:
+        kept = F.aggregate(F.split(path, "/", -1), F.array().cast("array<string>"), push)
+        # a path that ends in a dot segment names a folder
+        folder = F.when(F.rlike(path, F.lit(r"(^|/)\.\.?$")), F.lit("/")).otherwise(F.lit(""))
+        resolved = F.concat(F.array_join(kept, "/"), folder)
+        return F.when(F.rlike(path, F.lit(r"(^|/)\.\.?(/|$)")), resolved).otherwise(path)
+
+    return _once(text, resolve)
 
 
 def normalize(url: Column) -> Column:
     """Lower-case scheme and host, no default port, resolved path of at least ``/``."""
-    protocol = scheme(url)
-    default_port = F.when(protocol == "https", F.lit(":443$")).otherwise(F.lit(":80$"))
-    host = F.regexp_replace(F.lower(authority(url)), default_port, F.lit(""))
-    raw_path = F.regexp_extract(url, _URI, 3)
-    full = F.when(raw_path == "", F.lit("/")).otherwise(remove_dot_segments(raw_path))
-    tail = F.concat(F.regexp_extract(url, _URI, 4), F.regexp_extract(url, _URI, 5))
-    return F.concat(protocol, F.lit("://"), host, full, tail)
+
+    def split(text: Column) -> Column:
+        parts = {"scheme": scheme(text), "host": F.lower(authority(text))}
+        for name, group in (("path", 3), ("query", 4), ("fragment", 5)):
+            parts[name] = F.regexp_extract(text, _URI, group)
+        return F.struct(*[part.alias(name) for name, part in parts.items()])
+
+    def build(parts: Column) -> Column:
+        port = F.when(parts["scheme"] == "https", F.lit(":443$")).otherwise(F.lit(":80$"))
+        host = F.regexp_replace(parts["host"], port, F.lit(""))
+        full = F.when(parts["path"] == "", F.lit("/")).otherwise(remove_dot_segments(parts["path"]))
+        return F.concat(parts["scheme"], F.lit("://"), host, full, parts["query"], parts["fragment"])
+
+    return _once(_once(url, split), build)
 
 
 def join_url(base: Column, *parts: Column) -> Column:
@@ -90,15 +107,30 @@ def join_url(base: Column, *parts: Column) -> Column:
     The path of ``base`` is kept as a folder. A part that is a full URL of its own, or
     names another host, is not put below it.
     """
-    base_path = strip_slash(path(base))
-    root = F.concat(scheme(base), F.lit("://"), authority(base))
+
+    def site(text: Column) -> Column:
+        root = F.concat(scheme(text), F.lit("://"), authority(text))
+        return F.struct(scheme(text).alias("scheme"), root.alias("root"), strip_slash(path(text)).alias("folder"))
+
+    def below(place: Column) -> Column:
+        # one leading slash is dropped below a folder only
+        folder = place["site"]["folder"]
+        return F.when(folder == "", place["relative"]).otherwise(join_paths(folder, place["relative"]))
+
+    def absolute(place: Column) -> Column:
+        where, full = place["site"], place["full"]
+        own_url = F.rlike(place["relative"], F.lit(r"^[A-Za-z][A-Za-z0-9+.\-]*://"))
+        return (
+            F.when(own_url, place["relative"])
+            .when(F.startswith(full, F.lit("//")), F.concat(where["scheme"], F.lit(":"), full))
+            .otherwise(F.concat(where["root"], F.lit("/"), strip_slash(full)))
+        )
+
+    relative = join_paths(*parts) if parts else F.lit("")
+    place = F.struct(_once(base, site).alias("site"), relative.alias("relative"))
     if not parts:
-        return normalize(F.concat(root, F.lit("/")))
-    relative = join_paths(*parts)
-    below = F.when(base_path == "", relative).otherwise(join_paths(base_path, relative))
-    absolute = (
-        F.when(F.rlike(relative, F.lit(r"^[A-Za-z][A-Za-z0-9+.\-]*://")), relative)
-        .when(F.startswith(below, F.lit("//")), F.concat(scheme(base), F.lit(":"), below))
-        .otherwise(F.concat(root, F.lit("/"), strip_slash(below)))
+        return normalize(_once(place, lambda p: F.concat(p["site"]["root"], F.lit("/"))))
+    placed = _once(
+        place, lambda p: F.struct(p["site"].alias("site"), p["relative"].alias("relative"), below(p).alias("full"))
     )
-    return normalize(absolute)
+    return normalize(_once(placed, absolute))

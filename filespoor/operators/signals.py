@@ -44,7 +44,7 @@ def packages_by_name(patterns: DataFrame, packages: DataFrame) -> DataFrame:
     """
     lower = F.lower("pattern")
     wanted = patterns.select("pattern").distinct().withColumn(
-        "_prefix", F.regexp_extract(lower, r"^([^%_\\]*)", 1)
+        "_prefix", F.regexp_extract(lower, r"^([^%_]*)", 1)
     )
     exact = wanted.filter(F.col("_prefix") == lower)
     wild = wanted.filter(F.col("_prefix") != lower)
@@ -58,7 +58,8 @@ def packages_by_name(patterns: DataFrame, packages: DataFrame) -> DataFrame:
             )
         ),
     )
-    by_prefix = wild.join(prefixes, "_prefix").filter(F.lower("name").like(lower))
+    # no character escapes a wildcard
+    by_prefix = wild.join(prefixes, "_prefix").filter(F.like(F.lower("name"), lower, F.lit("\0")))
     return by_name.unionByName(by_prefix).drop("_prefix")
 
 

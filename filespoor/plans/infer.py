@@ -33,15 +33,26 @@ class Inference:
     trace: DataFrame
 
 
-def request(wanted: DataFrame, crawl: DataFrame, strict_paths: bool = False) -> DataFrame:
-    """Look up ``wanted(site_id, url, ...)`` in the crawl ``(url, status, checksum)``."""
+ASSET_COLUMNS = ["site_id", "url", "webroot_path", "success", "checksum"]
+
+
+def known_responses(crawl: DataFrame, by_checksum: DataFrame) -> DataFrame:
+    """Successful responses ``(url, checksum, found)``; ``found``: some version uses the content."""
+    served = with_success(crawl).filter("success").select("url", "checksum")
+    known = by_checksum.select("checksum").distinct().withColumn("found", F.lit(True))
+    return salted_join(served, known, ["checksum"], "left").withColumn("found", F.coalesce("found", F.lit(False)))
+
+
+def request(wanted: DataFrame, responses: DataFrame, strict_paths: bool = False) -> DataFrame:
+    """Look up ``wanted(site_id, url, ...)`` in ``responses(url, checksum, found)``."""
     # many sites may refer to one URL of a shared host
-    found = with_success(salted_join(wanted, crawl.select("url", "status", "checksum"), ["url"], "left"))
-    return found.select(
+    answers = salted_join(wanted, responses.withColumn("success", F.lit(True)), ["url"], "left")
+    return answers.select(
         *wanted.columns,
         urls.webroot_path(F.col("url"), strict_paths).alias("webroot_path"),
-        "success",
-        F.when(F.col("success"), F.col("checksum")).alias("checksum"),
+        F.coalesce("success", F.lit(False)).alias("success"),
+        "checksum",
+        F.coalesce("found", F.lit(False)).alias("found"),
     )
 
 
@@ -107,12 +118,14 @@ def infer_sites(
     the files their pages refer to, ``estimates(site_id, version_id)`` first estimates.
     """
     save = workspace.save
-    main_assets = save(request(included.distinct(), crawl, strict_paths), "included")
+    responses = save(known_responses(crawl, tables.by_checksum), "responses")
+    wanted = save(included.select("site_id", "url").distinct(), "included")
+    main_assets = save(request(wanted, responses, strict_paths).select(*ASSET_COLUMNS), "main-assets")
     located = save(relocate(sites.select("site_id", "base_url"), matching.base_path_votes(main_assets, files)), "sites")
     favicon = located.select("site_id", urls.join_url(F.col("base_url"), F.lit("favicon.ico")).alias("url"))
     assets = save(
         main_assets.unionByName(
-            request(matching.new_assets(favicon, main_assets), crawl, strict_paths)
+            request(matching.new_assets(favicon, main_assets), responses, strict_paths).select(*ASSET_COLUMNS)
         ),
         "assets-0",
     )
@@ -153,19 +166,15 @@ def infer_sites(
         wanted = active.select("site_id", "base_url").join(paths, "site_id").withColumn(
             "url", urls.join_url(F.col("base_url"), F.col("webroot_path"))
         ).drop("base_url", "webroot_path")
-        fresh = matching.new_assets(wanted, assets).groupBy("site_id", "url").agg(
-            F.min("rank").alias("rank")
+        fresh = save(
+            matching.new_assets(wanted, assets).groupBy("site_id", "url").agg(F.min("rank").alias("rank")),
+            f"wanted-{number}",
         )
-        answers = request(fresh, crawl, strict_paths)
-        known = tables.by_checksum.select("checksum").distinct().withColumn("found", F.lit(True))
         probes = save(
-            scoring.probe_prefix(
-                salted_join(answers, known, ["checksum"], "left").withColumn("found", F.coalesce("found", F.lit(False))),
-                params.min_assets_per_iteration,
-            ),
+            scoring.probe_prefix(request(fresh, responses, strict_paths), params.min_assets_per_iteration),
             f"probes-{number}",
         )
-        requested = probes.select(*assets.columns)
+        requested = probes.select(*ASSET_COLUMNS)
         all_assets.append(requested)
         scored = save(scoring.add_scores(scored, match(requested)), f"scores-{number}")
         new_guesses = save(rank(scored), f"guesses-{number}")

@@ -59,25 +59,19 @@ def static_files_dim(w: World) -> DataFrame:
 
 
 @query("lookup_ids", """
-SELECT l_orderkey AS orderkey, l_linenumber AS linenumber, v.version_id, v.package_id, min(f.file_id) AS file_id
+SELECT DISTINCT v.version_id, v.package_id, f.file_id
 FROM lineitem JOIN software_version v ON v.version_id = l_suppkey
 JOIN static_file g ON g.file_id = l_partkey
 JOIN (SELECT src_path, webroot_path, checksum, min(file_id) AS file_id FROM static_file GROUP BY ALL) f
-  ON f.src_path = g.src_path AND f.webroot_path = g.webroot_path AND f.checksum = g.checksum
-GROUP BY ALL""")
+  ON f.src_path = g.src_path AND f.webroot_path = g.webroot_path AND f.checksum = g.checksum""")
 def lookup_ids(w: World) -> DataFrame:
-    named = index.describe_versions(
-        w.table("lineitem").select(
-            F.col("l_orderkey").alias("orderkey"), F.col("l_linenumber").alias("linenumber"),
-            F.col("l_suppkey").alias("version_id"), F.col("l_partkey").alias("file_id"),
-        ),
-        w.versions, w.packages,
-    ).join(w.files, "file_id").select(
-        "orderkey", "linenumber", F.col("package_name").alias("package"), "vendor", "internal_identifier", *build.FILE_KEY
+    """Every use by its natural keys, resolved back to ids."""
+    named = index.describe_versions(w.used_files.drop("file_id"), w.versions, w.packages).select(
+        F.col("package_name").alias("package"), "vendor", "internal_identifier", *build.FILE_KEY
     )
     files = w.files.groupBy(*build.FILE_KEY).agg(F.min("file_id").alias("file_id"))
     found = index.lookup_file_ids(index.lookup_version_ids(named, w.versions, w.packages), files)
-    return found.select("orderkey", "linenumber", "version_id", "package_id", "file_id").distinct()
+    return found.select("version_id", "package_id", "file_id").distinct()
 
 
 @query("files_by_checksum", """
@@ -238,7 +232,7 @@ def static_file_count(w: World) -> DataFrame:
 
 _NATURAL_SQL = """,
 keyed AS (
-    SELECT *, list_transform(range(1, len(t) + 1), i -> {'text': t[i],
+    SELECT *, list_transform(range(1, len(t) + 1), lambda i: {'text': t[i],
                'number': coalesce(try_cast(n[i] AS DECIMAL(38, 0)), -1)}) AS natural_key
     FROM (SELECT *, string_split_regex(name, '\\d+') AS t, regexp_extract_all(name, '\\d+') AS n FROM software_version)),
 neighbour AS (
@@ -320,9 +314,10 @@ ends AS (
         SELECT package_id FROM software_version WHERE is_indexed GROUP BY package_id
         ORDER BY count(*) DESC, package_id LIMIT 1)),
 end_file AS (
-    SELECT CASE WHEN version_id = old_id THEN 'a' ELSE 'b' END AS side, webroot_path,
-           max({'src_path': src_path, 'checksum': checksum}) AS file
-    FROM used_file, ends WHERE version_id IN (old_id, new_id) GROUP BY ALL),
+    SELECT 'a' AS side, webroot_path, max({'src_path': src_path, 'checksum': checksum}) AS file
+    FROM used_file JOIN ends ON version_id = old_id GROUP BY webroot_path
+    UNION ALL SELECT 'b', webroot_path, max({'src_path': src_path, 'checksum': checksum})
+    FROM used_file JOIN ends ON version_id = new_id GROUP BY webroot_path),
 end_pair AS (
     SELECT webroot_path, max(file) FILTER (side = 'a') AS a, max(file) FILTER (side = 'b') AS b
     FROM end_file GROUP BY webroot_path)

@@ -330,6 +330,12 @@ def _scan(w: World) -> DataFrame:
     )
 
 
+def _stream(w: World, table: str) -> DataFrame:
+    """A table as a file stream."""
+    source = w.spark.readStream.schema(w.table(table).schema).option("pathGlobFilter", f"{table}.parquet")
+    return source.parquet(w.folder)
+
+
 @query("incremental_scan", """
 SELECT concat('http://u', CAST(user_id AS VARCHAR), '.example') AS url, CASE WHEN count(*) FILTER (event_type = 'error') > 0 THEN 'false' ELSE 'array' END AS outcome,
        count(DISTINCT json_extract_string(props, '$.k')) AS paths
@@ -341,7 +347,7 @@ def incremental_scan(w: World) -> DataFrame:
     """
     space = w.workspace("stream")
     results = space.folder("results")
-    source = w.spark.readStream.schema(w.table("events").schema).parquet(f"{w.folder}/events.parquet")
+    source = _stream(w, "events")
 
     def scan_rows(batch: DataFrame) -> DataFrame:
         per_site = batch.groupBy("user_id").agg(
@@ -374,7 +380,7 @@ def incremental_index(w: World) -> DataFrame:
 
     space = w.workspace("stream")
     path = space.folder("index")
-    source = w.spark.readStream.schema(w.table("documents").schema).parquet(f"{w.folder}/documents.parquet")
+    source = _stream(w, "documents")
 
     def fingerprint(batch: DataFrame) -> DataFrame:
         return batch.select(

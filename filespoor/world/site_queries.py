@@ -159,7 +159,7 @@ def _rule_matches(w: World) -> DataFrame:
     """Rules from the nations on the text of pages, and on headers made from their URL."""
     rules = w.table("nation").select(
         F.col("n_name").alias("app"), F.lit("html").alias("kind"), F.lit(None).cast("string").alias("field"),
-        F.concat(F.lit("<!-- AD \\d*"), (F.col("n_nationkey") % 10).cast("string"), F.lit(" -->\;version:\\1")).alias("pattern"),
+        F.concat(F.lit("<!-- AD \\d*"), (F.col("n_nationkey") % 10).cast("string"), F.lit(" -->\\;version:\\1")).alias("pattern"),
     ).union(
         w.spark.createDataFrame(
             [("alt-1", "headers", "X-Scheme", "https?S"), ("alt-2", "meta", "CHARSET", "UTF")],
