@@ -8,13 +8,16 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from filespoor.operators.skew import salted_join
 from filespoor.params import MICRO
 
 
 def version_files(files: DataFrame, uses: DataFrame) -> DataFrame:
-    """One row per use: ``version_id`` with the columns of its file."""
-    return salted_join(uses, files, ["file_id"])
+    """One row per use: ``version_id`` with the columns of its file.
+
+    Every use has one file, so a file with very many users adds no rows to either side
+    and the adaptive skew join splits it.
+    """
+    return uses.join(files, "file_id")
 
 
 def checksum_versions(used_files: DataFrame) -> DataFrame:

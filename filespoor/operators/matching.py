@@ -1,13 +1,11 @@
 """Matching of observed assets against the index.
 
 ``assets(site_id, webroot_path, success, checksum)``: a failed asset has no checksum.
-Matches depend on path and checksum only, so they are computed once per distinct pair
-(an asset kind) and shared by all sites that serve it.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from filespoor.operators.index import UNKNOWN_MICRO
 from filespoor.operators.skew import HOT_ROWS, salted_join
@@ -16,17 +14,21 @@ from filespoor.params import MICRO
 
 def content_key(assets: DataFrame) -> DataFrame:
     """Checksum of successful assets, an empty value of the same type for failed ones."""
-    kind = assets.schema["checksum"].dataType
     served = F.when(F.col("success"), F.col("checksum"))
-    return assets.withColumn("checksum", F.coalesce(served, F.lit("").cast(kind)))
+    return assets.withColumn("checksum", F.coalesce(served, _no_checksum(assets)))
+
+
+def _no_checksum(rows: DataFrame) -> Column:
+    return F.lit("").cast(rows.schema["checksum"].dataType)
 
 
 def asset_kinds(assets: DataFrame) -> DataFrame:
+    """Distinct path and content; matches depend on nothing else."""
     return content_key(assets).select("webroot_path", "checksum", "success").distinct()
 
 
 def kind_matches(kinds: DataFrame, by_checksum: DataFrame, by_path: DataFrame) -> DataFrame:
-    """``(webroot_path, checksum, version_id, is_using)``.
+    """``(webroot_path, checksum, version_id, is_using)`` of every asset kind.
 
     Versions that use the checksum match positively; those that only provide a file at
     the path match negatively.
@@ -46,37 +48,82 @@ def kind_matches(kinds: DataFrame, by_checksum: DataFrame, by_path: DataFrame) -
     )
 
 
-def kind_weights(kinds: DataFrame, idf: DataFrame, failed_micro: int = MICRO) -> DataFrame:
-    """``(webroot_path, checksum, weight_micro)``: rarity of the content, or a fixed weight."""
-    weight = (
-        F.when(~F.col("success"), F.lit(failed_micro))
-        .otherwise(F.coalesce("weight_micro", F.lit(UNKNOWN_MICRO)))
-        .cast("bigint")
+def weigh_assets(
+    assets: DataFrame, idf: DataFrame, failed_micro: int = MICRO, hot_rows: int = HOT_ROWS
+) -> DataFrame:
+    """Add ``found`` (some version uses the content) and ``weight_micro`` (its rarity).
+
+    Failed assets and unknown content have fixed weights.
+    """
+    weights = idf.select("checksum", F.col("weight_micro").alias("_weight"))
+    weight = F.when(~F.col("success"), F.lit(failed_micro)).otherwise(
+        F.coalesce("_weight", F.lit(UNKNOWN_MICRO))
+    )
+    return (
+        salted_join(assets, weights, ["checksum"], "left", hot_rows=hot_rows)
+        .withColumn("found", F.col("_weight").isNotNull())
+        .withColumn("weight_micro", weight.cast("bigint"))
+        .drop("_weight")
+    )
+
+
+MATCH_KEY = ["is_using", "key_path", "key_checksum"]
+
+
+def _asset_keys(weighted: DataFrame) -> DataFrame:
+    """Up to two match keys per asset: its known content, and its path.
+
+    The path key holds the content only if it is known, so all sites with content of
+    their own at a path share one key.
+    """
+    none = _no_checksum(weighted)
+    known = F.when(F.col("found"), F.col("checksum"))
+    by_content = F.struct(
+        F.lit(True).alias("is_using"), F.lit("").alias("key_path"), known.alias("key_checksum")
+    )
+    by_path = F.struct(
+        F.lit(False).alias("is_using"),
+        F.col("webroot_path").alias("key_path"),
+        F.coalesce(known, none).alias("key_checksum"),
     )
-    return kinds.join(idf, "checksum", "left").select(
-        "webroot_path", "checksum", weight.alias("weight_micro")
+    keys = F.when(F.col("found"), F.array(by_content, by_path)).otherwise(F.array(by_path))
+    return weighted.select("site_id", "weight_micro", F.inline(keys))
+
+
+def _index_keys(weighted: DataFrame, by_checksum: DataFrame, by_path: DataFrame) -> DataFrame:
+    """Versions per match key. With known content at a path, its users do not count there."""
+    none = _no_checksum(weighted)
+    users = by_checksum.select(
+        F.lit(True).alias("is_using"), F.lit("").alias("key_path"), F.col("checksum").alias("key_checksum"), "version_id"
+    )
+    providers = by_path.select(
+        F.lit(False).alias("is_using"), F.col("webroot_path").alias("key_path"), none.alias("key_checksum"), "version_id"
     )
+    observed = weighted.filter("found").select("webroot_path", "checksum").distinct()
+    other_content = (
+        observed.join(by_path, "webroot_path")
+        .join(by_checksum, ["checksum", "version_id"], "left_anti")
+        .select(
+            F.lit(False).alias("is_using"), F.col("webroot_path").alias("key_path"),
+            F.col("checksum").alias("key_checksum"), "version_id",
+        )
+    )
+    return users.unionByName(providers).unionByName(other_content)
 
 
 def weighted_matches(
-    assets: DataFrame,
-    by_checksum: DataFrame,
-    by_path: DataFrame,
-    idf: DataFrame,
-    failed_micro: int = MICRO,
-    hot_rows: int = HOT_ROWS,
+    weighted: DataFrame, by_checksum: DataFrame, by_path: DataFrame, hot_rows: int = HOT_ROWS
 ) -> DataFrame:
-    """``(site_id, version_id, is_using, weight_micro)``, one row per asset and version.
+    """``(site_id, is_using, weight_micro, versions)``, up to two rows per asset.
 
-    A kind that a large share of all sites serves is spread by ``salted_join``.
+    ``weighted`` are assets from ``weigh_assets``. The versions of a match key stay an
+    array, which is far smaller in a shuffle than a row per version. A content or path
+    that a large share of all sites has is spread by ``salted_join``.
     """
-    kinds = asset_kinds(assets)
-    matches = kind_matches(kinds, by_checksum, by_path).join(
-        kind_weights(kinds, idf, failed_micro), ["webroot_path", "checksum"]
-    )
-    observed = content_key(assets).select("site_id", "webroot_path", "checksum")
-    return salted_join(observed, matches, ["webroot_path", "checksum"], hot_rows=hot_rows).select(
-        "site_id", "version_id", "is_using", "weight_micro"
+    keys = _index_keys(weighted, by_checksum, by_path)
+    versions = keys.groupBy(*MATCH_KEY).agg(F.collect_list("version_id").alias("versions"))
+    return salted_join(_asset_keys(weighted), versions, MATCH_KEY, hot_rows=hot_rows).select(
+        "site_id", "is_using", "weight_micro", "versions"
     )
 
 

@@ -11,43 +11,49 @@ HOT_ROWS = 1_000_000
 SALTS = 64
 
 
+def hot_keys(rows: DataFrame, on: list[str], hot_rows: int = HOT_ROWS) -> DataFrame:
+    """Keys with more than ``hot_rows`` rows; rows are counted with a map-side combine."""
+    return (
+        rows.groupBy(*on)
+        .agg(F.count(F.lit(1)).alias("_rows"))
+        .filter(F.col("_rows") > hot_rows)
+        .select(*on)
+    )
+
+
 def salted_join(
     left: DataFrame,
     right: DataFrame,
     on: list[str],
     how: str = "inner",
+    hot: DataFrame | None = None,
     hot_rows: int = HOT_ROWS,
     salts: int = SALTS,
 ) -> DataFrame:
     """Join ``left`` to ``right`` on ``on``, spreading keys that are hot in ``left``.
 
-    Keys are counted with a map-side combine first. Rows of ``left`` whose key has more
-    than ``hot_rows`` rows are spread over ``salts`` sub-keys, and the rows of ``right``
-    with such a key are repeated once per sub-key; all other rows keep sub-key 0. Every
-    pair of the plain join appears exactly once. NULL keys match nothing, as in a plain
-    join, and are spread as well.
+    Rows of ``left`` with a hot key are spread over ``salts`` sub-keys, and the rows of
+    ``right`` with such a key are repeated once per sub-key; all other rows keep sub-key
+    0. Every pair of the plain join appears exactly once. NULL keys match nothing, as in
+    a plain join, and are spread as well. ``hot`` are the hot keys if they are known.
 
     The table of hot keys is broadcast: it has at most ``rows(left) / hot_rows`` rows,
     a million keys for 10**12 rows.
     """
     if how not in ("inner", "left", "left_semi", "left_anti"):
         raise ValueError(f"unsupported join type {how}")
-    hot = F.broadcast(
-        left.groupBy(*on)
-        .agg(F.count(F.lit(1)).alias("_rows"))
-        .filter(F.col("_rows") > hot_rows)
-        .select(*on, F.lit(True).alias("_hot"))
-    )
+    keys = hot_keys(left, on, hot_rows) if hot is None else hot.select(*on)
+    marked = F.broadcast(keys.withColumn("_hot", F.lit(True)))
     spread = F.pmod(F.xxhash64(*[F.col(f"`{c}`") for c in left.columns]), F.lit(salts)).cast("int")
     no_key = reduce(or_, [F.col(c).isNull() for c in on])
     salted_left = (
-        left.join(hot, on, "left")
+        left.join(marked, on, "left")
         .withColumn("_salt", F.when(F.col("_hot") | no_key, spread).otherwise(F.lit(0)))
         .drop("_hot")
     )
     every_salt = F.sequence(F.lit(0), F.lit(salts - 1))
     salted_right = (
-        right.join(hot, on, "left")
+        right.join(marked, on, "left")
         .withColumn(
             "_salt", F.explode(F.when(F.col("_hot"), every_salt).otherwise(F.array(F.lit(0))))
         )

@@ -33,26 +33,28 @@ class Inference:
     trace: DataFrame
 
 
-ASSET_COLUMNS = ["site_id", "url", "webroot_path", "success", "checksum"]
+ASSET_COLUMNS = ["site_id", "url", "webroot_path", "success", "checksum", "found", "weight_micro"]
 
 
-def known_responses(crawl: DataFrame, by_checksum: DataFrame) -> DataFrame:
-    """Successful responses ``(url, checksum, found)``; ``found``: some version uses the content."""
-    served = with_success(crawl).filter("success").select("url", "checksum")
-    known = by_checksum.select("checksum").distinct().withColumn("found", F.lit(True))
-    return salted_join(served, known, ["checksum"], "left").withColumn("found", F.coalesce("found", F.lit(False)))
+def known_responses(crawl: DataFrame, idf: DataFrame) -> DataFrame:
+    """Successful responses ``(url, checksum, found, weight_micro)``, matched once per crawl."""
+    served = with_success(crawl).filter("success").select("url", "success", "checksum")
+    return matching.weigh_assets(served, idf)
 
 
-def request(wanted: DataFrame, responses: DataFrame, strict_paths: bool = False) -> DataFrame:
-    """Look up ``wanted(site_id, url, ...)`` in ``responses(url, checksum, found)``."""
+def request(
+    wanted: DataFrame, responses: DataFrame, params: InferenceParams, strict_paths: bool = False
+) -> DataFrame:
+    """Look up ``wanted(site_id, url, ...)`` in ``known_responses``."""
     # many sites may refer to one URL of a shared host
-    answers = salted_join(wanted, responses.withColumn("success", F.lit(True)), ["url"], "left")
+    answers = salted_join(wanted, responses, ["url"], "left")
     return answers.select(
         *wanted.columns,
         urls.webroot_path(F.col("url"), strict_paths).alias("webroot_path"),
         F.coalesce("success", F.lit(False)).alias("success"),
         "checksum",
         F.coalesce("found", F.lit(False)).alias("found"),
+        F.coalesce("weight_micro", F.lit(params.failed_micro)).alias("weight_micro"),
     )
 
 
@@ -118,22 +120,20 @@ def infer_sites(
     the files their pages refer to, ``estimates(site_id, version_id)`` first estimates.
     """
     save = workspace.save
-    responses = save(known_responses(crawl, tables.by_checksum), "responses")
+    responses = save(known_responses(crawl, tables.idf), "responses")
     wanted = save(included.select("site_id", "url").distinct(), "included")
-    main_assets = save(request(wanted, responses, strict_paths).select(*ASSET_COLUMNS), "main-assets")
+    main_assets = save(request(wanted, responses, params, strict_paths).select(*ASSET_COLUMNS), "main-assets")
     located = save(relocate(sites.select("site_id", "base_url"), matching.base_path_votes(main_assets, files)), "sites")
     favicon = located.select("site_id", urls.join_url(F.col("base_url"), F.lit("favicon.ico")).alias("url"))
     assets = save(
         main_assets.unionByName(
-            request(matching.new_assets(favicon, main_assets), responses, strict_paths).select(*ASSET_COLUMNS)
+            request(matching.new_assets(favicon, main_assets), responses, params, strict_paths).select(*ASSET_COLUMNS)
         ),
         "assets-0",
     )
 
     def match(part: DataFrame) -> DataFrame:
-        return scoring.scores(
-            matching.weighted_matches(part, tables.by_checksum, tables.by_path, tables.idf, params.failed_micro)
-        )
+        return scoring.site_scores(part, tables.by_checksum, tables.by_path)
 
     def rank(scored: DataFrame) -> DataFrame:
         return scoring.best_guesses(scoring.with_strength(scored, params), params).select(*GUESS_COLUMNS)
@@ -171,7 +171,7 @@ def infer_sites(
             f"wanted-{number}",
         )
         probes = save(
-            scoring.probe_prefix(request(fresh, responses, strict_paths), params.min_assets_per_iteration),
+            scoring.probe_prefix(request(fresh, responses, params, strict_paths), params.min_assets_per_iteration),
             f"probes-{number}",
         )
         requested = probes.select(*ASSET_COLUMNS)

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from filespoor import schema
 from filespoor.operators import index as ops
+from filespoor.session import Workspace
 
 TABLES = {
     "packages": schema.PACKAGE,
@@ -67,14 +68,21 @@ def write_index(index: Index, path: str) -> None:
     index.versions.write.parquet(f"{path}/versions")
 
 
-def write_match_tables(spark: SparkSession, tables: MatchTables, path: str) -> MatchTables:
-    """Write the derived tables once; weights are computed from the written pairs."""
-    saved = {}
-    for name in ("by_checksum", "by_path", "path_checksums", "idf"):
-        df = getattr(tables, name)
-        df.sortWithinPartitions(df.columns[0]).write.parquet(f"{path}/{name}")
-        saved[name] = spark.read.schema(df.schema).parquet(f"{path}/{name}")
-    return MatchTables(**saved)
+def stage_match_tables(index: Index, workspace: Workspace) -> MatchTables:
+    """Write the derived tables of an index once, to be matched many times.
+
+    The files are joined to their uses once; the rest follows from the written pairs.
+    """
+    by_path_checksum = workspace.save(
+        ops.path_checksums(ops.version_files(index.files, index.uses)), "path-checksums"
+    )
+    by_checksum = workspace.save(ops.checksum_versions(by_path_checksum), "checksum-versions")
+    return MatchTables(
+        by_checksum,
+        workspace.save(ops.path_versions(by_path_checksum), "path-versions"),
+        by_path_checksum,
+        workspace.save(ops.idf_weights(by_checksum, index.versions), "idf"),
+    )
 
 
 def mark_indexed(versions: DataFrame, done: DataFrame, moment: Column) -> DataFrame:

@@ -323,7 +323,7 @@ def _scan(w: World) -> DataFrame:
     saved = index_store.Index(**{
         name: space.save(getattr(index, name), name) for name in ("packages", "versions", "files", "uses")
     })
-    tables = index_store.write_match_tables(w.spark, index_store.match_tables(saved), space.folder("match"))
+    tables = index_store.stage_match_tables(saved, space)
     stored = w.spark.createDataFrame([], schema.SCAN_RESULT)
     return scan.scan_batch(
         space.save(site_list, "site-list"), space.save(crawl_rows, "crawl"), rules, saved, tables, stored, "content", space

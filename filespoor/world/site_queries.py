@@ -12,7 +12,7 @@ from filespoor.functions.text import basename, clean_path_name, default_scheme,
 from filespoor.operators import matching, recency, scoring, signals
 from filespoor.params import InferenceParams
 from filespoor.plans.infer import infer_sites
-from filespoor.sources import crawl
+from filespoor.sources import crawl, index_store
 from filespoor.world.registry import query
 from filespoor.world.views import World
 
@@ -162,7 +162,7 @@ def _rule_matches(w: World) -> DataFrame:
         F.concat(F.lit("<!-- AD \\d*"), (F.col("n_nationkey") % 10).cast("string"), F.lit(" -->\\;version:\\1")).alias("pattern"),
     ).union(
         w.spark.createDataFrame(
-            [("alt-1", "headers", "X-Scheme", "https?S"), ("alt-2", "meta", "CHARSET", "UTF")],
+            [("alt-1", "headers", "X-Scheme", "HTTPSS"), ("alt-2", "meta", "CHARSET", "UTF")],
             "app STRING, kind STRING, field STRING, pattern STRING",
         )
     )
@@ -309,8 +309,11 @@ def new_assets(w: World) -> DataFrame:
 
 
 def _strengths(w: World) -> DataFrame:
-    t = w.tables
-    return scoring.with_strength(scoring.scores(matching.weighted_matches(w.assets, t.by_checksum, t.by_path, t.idf)))
+    """Strengths of all sites and versions, from written match tables and weighed assets."""
+    space = w.workspace("match")
+    tables = index_store.stage_match_tables(w.index, space)
+    weighted = space.save(matching.weigh_assets(w.assets, tables.idf), "weighed-assets")
+    return scoring.with_strength(scoring.site_scores(weighted, tables.by_checksum, tables.by_path))
 
 
 def _best(w: World) -> DataFrame:
