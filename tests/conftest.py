@@ -11,7 +11,10 @@ from filespoor.session import build_session  # noqa: E402
 @pytest.fixture(scope="session")
 def spark():
     session = build_session(
-        "tests", "local[4]", spark__sql__shuffle__partitions="4", spark__ui__enabled="false", spark__driver__memory="6g"
+        "tests", "local[4]", spark__sql__shuffle__partitions="4",
+        # tiny inputs: compiling the stages would take longer than running them
+        spark__sql__codegen__wholeStage="false", spark__sql__codegen__factoryMode="NO_CODEGEN",
+        spark__ui__enabled="false", spark__driver__memory="6g"
     )
     session.sparkContext.setLogLevel("ERROR")
     yield session

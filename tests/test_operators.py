@@ -194,7 +194,7 @@ def test_generator_needs_exactly_one_tag(spark):
 
 def test_rules(spark):
     rules = spark.createDataFrame(
-        [("H", "headers", "X-By", "php"), ("M", "meta", "generator", "word\;version:\\1"), ("T", "html", None, "<b>\\s*hi"), ("S", "script", None, "jq.*\\.js$"), ("N", "html", None, "absent")],
+        [("H", "headers", "X-By", "php"), ("M", "meta", "generator", r"word\;version:\1"), ("T", "html", None, "<b>\\s*hi"), ("S", "script", None, "jq.*\\.js$"), ("N", "html", None, "absent")],
         "app STRING, kind STRING, field STRING, pattern STRING")
     pages = spark.createDataFrame(
         [(1, "<B> HI", [("x-by", "PHP/7")], [("Generator", "Wordy")], ["/jquery.JS"]), (2, "none", [("x-by", "no php")], [("generator", "a word")], [])],
