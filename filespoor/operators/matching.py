@@ -90,39 +90,52 @@ def _asset_keys(weighted: DataFrame) -> DataFrame:
     return weighted.select("site_id", "weight_micro", F.inline(keys))
 
 
-def _index_keys(weighted: DataFrame, by_checksum: DataFrame, by_path: DataFrame) -> DataFrame:
-    """Versions per match key. With known content at a path, its users do not count there."""
-    none = _no_checksum(weighted)
+def pack_index(by_checksum: DataFrame, by_path: DataFrame) -> DataFrame:
+    """``(is_using, key_path, key_checksum, versions)``: the versions of every content and path.
+
+    Built once per index. An array holds at most all versions, which are a dimension;
+    it is far smaller in a shuffle than a row per version.
+    """
+    none = _no_checksum(by_checksum)
     users = by_checksum.select(
         F.lit(True).alias("is_using"), F.lit("").alias("key_path"), F.col("checksum").alias("key_checksum"), "version_id"
     )
     providers = by_path.select(
         F.lit(False).alias("is_using"), F.col("webroot_path").alias("key_path"), none.alias("key_checksum"), "version_id"
     )
+    return users.unionByName(providers).groupBy(*MATCH_KEY).agg(F.collect_list("version_id").alias("versions"))
+
+
+def _other_content(weighted: DataFrame, packed: DataFrame) -> DataFrame:
+    """For known content at a path: the versions that provide the path with other content."""
     observed = weighted.filter("found").select("webroot_path", "checksum").distinct()
-    other_content = (
-        observed.join(by_path, "webroot_path")
-        .join(by_checksum, ["checksum", "version_id"], "left_anti")
+    providers = packed.filter(~F.col("is_using")).select(
+        F.col("key_path").alias("webroot_path"), F.col("versions").alias("_providers")
+    )
+    users = packed.filter("is_using").select(
+        F.col("key_checksum").alias("checksum"), F.col("versions").alias("_users")
+    )
+    return (
+        observed.join(providers, "webroot_path")
+        .join(users, "checksum")
         .select(
-            F.lit(False).alias("is_using"), F.col("webroot_path").alias("key_path"),
-            F.col("checksum").alias("key_checksum"), "version_id",
+            F.lit(False).alias("is_using"),
+            F.col("webroot_path").alias("key_path"),
+            F.col("checksum").alias("key_checksum"),
+            F.array_except("_providers", "_users").alias("versions"),
         )
+        .filter(F.size("versions") > 0)
     )
-    return users.unionByName(providers).unionByName(other_content)
 
 
-def weighted_matches(
-    weighted: DataFrame, by_checksum: DataFrame, by_path: DataFrame, hot_rows: int = HOT_ROWS
-) -> DataFrame:
+def weighted_matches(weighted: DataFrame, packed: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:
     """``(site_id, is_using, weight_micro, versions)``, up to two rows per asset.
 
-    ``weighted`` are assets from ``weigh_assets``. The versions of a match key stay an
-    array, which is far smaller in a shuffle than a row per version. A content or path
-    that a large share of all sites has is spread by ``salted_join``.
+    ``weighted`` are assets from ``weigh_assets``, ``packed`` is the packed index. A
+    content or path that a large share of all sites has is spread by ``salted_join``.
     """
-    keys = _index_keys(weighted, by_checksum, by_path)
-    versions = keys.groupBy(*MATCH_KEY).agg(F.collect_list("version_id").alias("versions"))
-    return salted_join(_asset_keys(weighted), versions, MATCH_KEY, hot_rows=hot_rows).select(
+    keys = packed.unionByName(_other_content(weighted, packed))
+    return salted_join(_asset_keys(weighted), keys, MATCH_KEY, hot_rows=hot_rows).select(
         "site_id", "is_using", "weight_micro", "versions"
     )
 

@@ -133,7 +133,7 @@ def infer_sites(
     )
 
     def match(part: DataFrame) -> DataFrame:
-        return scoring.site_scores(part, tables.by_checksum, tables.by_path)
+        return scoring.site_scores(part, tables.packed)
 
     def rank(scored: DataFrame) -> DataFrame:
         return scoring.best_guesses(scoring.with_strength(scored, params), params).select(*GUESS_COLUMNS)

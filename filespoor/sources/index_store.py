@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from filespoor import schema
 from filespoor.operators import index as ops
+from filespoor.operators.matching import pack_index
 from filespoor.session import Workspace
 
 TABLES = {
@@ -37,13 +39,33 @@ class MatchTables:
     by_path: DataFrame
     path_checksums: DataFrame
     idf: DataFrame
+    packed: DataFrame
+
+
+def derive_match_tables(
+    path_checksums: DataFrame,
+    versions: DataFrame,
+    save: Callable[[DataFrame, str], DataFrame] = lambda df, name: df,
+) -> MatchTables:
+    """Match tables from distinct ``(version_id, webroot_path, checksum)``.
+
+    With a ``save`` that writes, each table is computed once from the written ones.
+    """
+    pairs = save(path_checksums, "path-checksums")
+    by_checksum = save(ops.checksum_versions(pairs), "checksum-versions")
+    by_path = save(ops.path_versions(pairs), "path-versions")
+    idf = save(ops.idf_weights(by_checksum, versions), "idf")
+    return MatchTables(by_checksum, by_path, pairs, idf, save(pack_index(by_checksum, by_path), "packed"))
 
 
 def match_tables(index: Index) -> MatchTables:
-    used = ops.version_files(index.files, index.uses)
-    by_checksum = ops.checksum_versions(used)
-    return MatchTables(
-        by_checksum, ops.path_versions(used), ops.path_checksums(used), ops.idf_weights(by_checksum, index.versions)
+    return derive_match_tables(ops.path_checksums(ops.version_files(index.files, index.uses)), index.versions)
+
+
+def stage_match_tables(index: Index, workspace: Workspace) -> MatchTables:
+    """Write the derived tables of an index once, to be matched many times."""
+    return derive_match_tables(
+        ops.path_checksums(ops.version_files(index.files, index.uses)), index.versions, workspace.save
     )
 
 
@@ -68,23 +90,6 @@ def write_index(index: Index, path: str) -> None:
     index.versions.write.parquet(f"{path}/versions")
 
 
-def stage_match_tables(index: Index, workspace: Workspace) -> MatchTables:
-    """Write the derived tables of an index once, to be matched many times.
-
-    The files are joined to their uses once; the rest follows from the written pairs.
-    """
-    by_path_checksum = workspace.save(
-        ops.path_checksums(ops.version_files(index.files, index.uses)), "path-checksums"
-    )
-    by_checksum = workspace.save(ops.checksum_versions(by_path_checksum), "checksum-versions")
-    return MatchTables(
-        by_checksum,
-        workspace.save(ops.path_versions(by_path_checksum), "path-versions"),
-        by_path_checksum,
-        workspace.save(ops.idf_weights(by_checksum, index.versions), "idf"),
-    )
-
-
 def mark_indexed(versions: DataFrame, done: DataFrame, moment: Column) -> DataFrame:
     """Mark the versions in ``done`` as fully indexed."""
     marks = done.select("version_id").distinct().withColumn("_done", F.lit(True))

@@ -167,19 +167,26 @@ def high_entropy_paths(w: World) -> DataFrame:
 
 
 @query("exclude_paths", """
-SELECT DISTINCT s.site_id, c.webroot_path FROM
-    (SELECT DISTINCT l_orderkey AS site_id, l_suppkey AS version_id FROM lineitem WHERE l_returnflag = 'R') s
-    JOIN path_version c USING (version_id)
-    WHERE NOT EXISTS (SELECT 1 FROM asset a WHERE a.site_id = s.site_id AND a.webroot_path = c.webroot_path)
-      AND c.webroot_path LIKE 'S%/1/%'""")
+SELECT DISTINCT s.user_id AS site_id, f.webroot_path
+FROM (SELECT DISTINCT user_id FROM events) s JOIN documents d ON d.doc_id = s.user_id
+JOIN doc_file f ON f.lang = d.lang
+WHERE NOT EXISTS (SELECT 1 FROM events e WHERE e.user_id = s.user_id
+                  AND concat('p', json_extract_string(e.props, '$.k')) = f.webroot_path)""")
 def exclude_paths(w: World) -> DataFrame:
-    line = w.table("lineitem").filter("l_returnflag = 'R'").select(
-        F.col("l_orderkey").alias("site_id"), F.col("l_suppkey").alias("version_id")
+    """Paths of the language of a user's document that the user's events do not name."""
+    events, documents = w.table("events"), w.table("documents")
+    seen = events.select(
+        F.col("user_id").alias("site_id"), F.concat(F.lit("p"), F.get_json_object("props", "$.k")).alias("webroot_path")
+    )
+    languages = documents.select("doc_id", "lang")
+    paths = documents.select(
+        "lang", F.concat(F.lit("p"), (F.col("doc_id") / 20).cast("bigint").cast("string")).alias("webroot_path")
     ).distinct()
-    options = line.join(w.tables.by_path.filter(F.col("webroot_path").like("S%/1/%")), "version_id").select(
-        "site_id", "webroot_path"
-    ).distinct()
-    return entropy.exclude_paths(options, w.assets, "site_id")
+    options = (
+        seen.select("site_id").distinct().join(languages, F.col("site_id") == F.col("doc_id"))
+        .join(paths, "lang").select("site_id", "webroot_path")
+    )
+    return entropy.exclude_paths(options, seen, "site_id")
 
 
 @query("complete_retrieval_plan", """,

@@ -2,14 +2,12 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import DataFrame, functions as F
 
 from filespoor.functions import urls
 from filespoor.functions.html import page_signals
 from filespoor.functions.text import basename, clean_path_name, default_scheme, file_type
-from filespoor.operators import matching, recency, scoring, signals
+from filespoor.operators import index as ops, matching, recency, scoring, signals
 from filespoor.params import InferenceParams
 from filespoor.plans.infer import infer_sites
 from filespoor.sources import crawl, index_store
@@ -313,7 +311,7 @@ def _strengths(w: World) -> DataFrame:
     space = w.workspace("match")
     tables = index_store.stage_match_tables(w.index, space)
     weighted = space.save(matching.weigh_assets(w.assets, tables.idf), "weighed-assets")
-    return scoring.with_strength(scoring.site_scores(weighted, tables.by_checksum, tables.by_path))
+    return scoring.with_strength(scoring.site_scores(weighted, tables.packed))
 
 
 def _best(w: World) -> DataFrame:
@@ -476,11 +474,8 @@ def _version_of(lang: str, source: str):
 def content_inference(w: World):
     space = w.workspace("infer")
     parts = [space.save(df, name) for df, name in zip(content_sites(w), ("sites", "included", "estimates", "crawl"))]
-    tables = w.doc_tables
-    saved = type(tables)(
-        *[space.save(getattr(tables, name), name) for name in ("by_checksum", "by_path", "path_checksums", "idf")]
-    )
-    return infer_sites(*parts, saved, space.save(w.doc_index_files, "files"), space)
+    tables = index_store.derive_match_tables(ops.path_checksums(w.doc_files), w.doc_versions, space.save)
+    return infer_sites(*parts, tables, space.save(w.doc_index_files, "files"), space)
 
 
 @query("infer_sites")

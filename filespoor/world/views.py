@@ -12,6 +12,7 @@ from functools import cached_property
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from filespoor.operators.index import version_files
 from filespoor.session import Workspace
 from filespoor.sources.index_store import Index, MatchTables, match_tables
 
@@ -82,7 +83,7 @@ class World:
 
     @cached_property
     def used_files(self) -> DataFrame:
-        return self.uses.join(self.files, "file_id")
+        return version_files(self.files, self.uses)
 
     @cached_property
     def tables(self) -> MatchTables:
@@ -192,18 +193,6 @@ class World:
             "version_id", F.concat_ws(":", "webroot_path", "checksum").alias("file_id")
         ).distinct()
 
-    @cached_property
-    def doc_tables(self) -> MatchTables:
-        from filespoor.operators import index as ops
-
-        by_checksum = ops.checksum_versions(self.doc_files)
-        return MatchTables(
-            by_checksum,
-            ops.path_versions(self.doc_files),
-            ops.path_checksums(self.doc_files),
-            ops.idf_weights(by_checksum, self.doc_versions),
-        )
-
     @cached_property
     def doc_index_files(self) -> DataFrame:
         return self.doc_files.select("webroot_path", "checksum").distinct()

@@ -65,7 +65,7 @@ def test_scores_by_brute_force_with_and_without_hot_keys(spark, toy):
     for hot_rows in (3, 1_000_000):
         weighted = matching.weigh_assets(observed, idf, hot_rows=hot_rows)
         got = Counter()
-        for r in scoring.site_scores(weighted, by_checksum, by_path, hot_rows).collect():
+        for r in scoring.site_scores(weighted, matching.pack_index(by_checksum, by_path), hot_rows).collect():
             for key, value in (("pos", r.pos_micro), ("neg", r.neg_micro), ("n_pos", r.n_pos), ("n_neg", r.n_neg)):
                 got[r.site_id, r.version_id, key] += value
         assert +got == +want

@@ -53,9 +53,7 @@ def test_inference_equals_brute_force(spark, seed):
     space = Workspace(spark, "infer")
     used = space.save(spark.createDataFrame(uses, "version_id BIGINT, webroot_path STRING, checksum STRING"), "used")
     versions = spark.range(1, n_versions + 1).withColumnRenamed("id", "version_id")
-    by_checksum = space.save(ops.checksum_versions(used), "c")
-    tables = index_store.MatchTables(
-        by_checksum, space.save(ops.path_versions(used), "p"), used, space.save(ops.idf_weights(by_checksum, versions), "w"))
+    tables = index_store.derive_match_tables(used, versions, space.save)
     result = infer.infer_sites(
         spark.createDataFrame([(s, b) for s, b, _, _ in listed], "site_id BIGINT, base_url STRING"),
         spark.createDataFrame([(s, u) for s, _, inc, _ in listed for u in inc], "site_id BIGINT, url STRING"),
@@ -203,7 +201,7 @@ def test_scan_batch_resumes_and_stream_equals_batch(spark):
     tables = index_store.stage_match_tables(index, space)
     rules = spark.createDataFrame([], schema.TECH_RULE)
     none = spark.createDataFrame([], schema.SCAN_RESULT)
-    params = infer.InferenceParams(min_absolute_support=5.0)
+    params = infer.InferenceParams(min_absolute_support=5.0, max_iterations=3)
 
     def run(some_sites, rows, stored):
         return scan.scan_batch(some_sites, rows, rules, index, tables, stored, "t", Workspace(spark, "scan"), params)
