@@ -28,7 +28,7 @@ def version_json(package: Column, vendor: Column, alternatives: Column, name: Co
     )
 
 
-def asset_json() -> Column:
+def asset_json(*extra: str) -> Column:
     """An asset as it appears in result documents; failed ones have no status or checksum."""
     known = F.col("success")
     return F.struct(
@@ -37,6 +37,7 @@ def asset_json() -> Column:
         F.when(known, F.lit(200)).alias("status_code"),
         "success",
         F.when(known, F.lower(F.hex("checksum"))).alias("checksum"),
+        *extra,
     )
 
 

@@ -381,13 +381,15 @@ def packages_by_any_name(w: World) -> DataFrame:
 
 
 @query("definitions_glob", """
-SELECT package_id, name FROM software_package
-WHERE regexp_full_match(lower(name), 'nation_[12].?') OR 'alt-3' IN alternative_names""")
+SELECT p_partkey AS package_id, p_name AS name FROM part
+WHERE regexp_full_match(lower(p_name), '[br].* .o.*') OR regexp_full_match(lower(p_brand), 'brand#1.')""")
 def definitions_glob(w: World) -> DataFrame:
-    by_name = signals.packages_by_glob(w.packages, "Nation_[12]*")
-    by_any = signals.packages_by_glob(w.packages, "alt-?", any_name=True).filter(
-        F.array_contains("alternative_names", "alt-3")
+    """Parts as packages, their brand as alternative name."""
+    parts = w.table("part").select(
+        F.col("p_partkey").alias("package_id"), F.col("p_name").alias("name"), F.array("p_brand").alias("alternative_names")
     )
+    by_name = signals.packages_by_glob(parts, "[BR]* ?o*")
+    by_any = signals.packages_by_glob(parts, "brand#1?", any_name=True)
     return by_name.union(by_any).select("package_id", "name").distinct()
 
 
@@ -529,6 +531,19 @@ def archive_versions(w: World) -> DataFrame:
     return releases.archive_versions(mapping, cached)
 
 
+@query("file_snapshot_scan", """
+SELECT concat('lang=', lang) AS package, concat('source=', source) AS version,
+       CAST(sum(octet_length(encode(text)) + 1) AS BIGINT) AS bytes
+FROM documents GROUP BY ALL""")
+def file_snapshot_scan(w: World) -> DataFrame:
+    """Documents written as plain files per version, read back with their bytes."""
+    path = w.workspace("snapshot").folder("files")
+    documents = w.table("documents").select("lang", "source", "text")
+    documents.repartition("lang", "source").write.partitionBy("lang", "source").text(path)
+    files = releases.file_snapshot(w.spark, path, "*.txt")
+    return files.groupBy("package", "version").agg(F.sum(F.octet_length("content").cast("bigint")).alias("bytes"))
+
+
 @query("version_refs", """,
 ref AS (
     SELECT o_orderkey, concat(CASE WHEN o_orderstatus = 'P' THEN 'refs/heads/' ELSE 'refs/tags/' END,
@@ -656,9 +671,9 @@ def normalize(w: World) -> DataFrame:
     from filespoor.functions.fingerprint import canonical_checksum
 
     spaced = F.when(F.col("event_type") == "click", F.replace("props", F.lit(": "), F.lit(" :\n  "))).otherwise(F.col("props"))
-    kind = F.when(F.col("event_type") == "view", F.lit("json")).otherwise(F.lit("json"))
     summed = w.table("events").select(
-        F.get_json_object("props", "$.k").alias("k"), canonical_checksum(kind, F.encode(spaced, "UTF-8")).alias("checksum")
+        F.get_json_object("props", "$.k").alias("k"),
+        canonical_checksum(F.lit("json"), F.encode(spaced, "UTF-8")).alias("checksum"),
     )
     return summed.groupBy("k").agg(
         F.count(F.lit(1)).alias("copies"), F.count_distinct("checksum").alias("forms")

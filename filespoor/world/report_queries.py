@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from filespoor import schema
 from filespoor.operators import cve, reports
-from filespoor.plans import cve_update, scan
+from filespoor.plans import cve_update, evaluate, scan
 from filespoor.sources import feeds, index_store, scan_results, sites
 from filespoor.streaming import incremental
 from filespoor.world.registry import query
@@ -101,21 +101,33 @@ def vulnerable_versions_flag(w: World) -> DataFrame:
     return cve.vulnerable_flags(w.versions.select("version_id"), w.vulnerable)
 
 
+@query("cve_stats_table", """
+SELECT v.version_id, v.is_indexed, s.cves FROM software_version v
+JOIN (SELECT version_id, count(*) AS cves FROM cve_version GROUP BY version_id) s USING (version_id)""")
+def cve_stats_table(w: World) -> DataFrame:
+    """The written table of records per version, read again by its users."""
+    path = w.workspace("cve").folder("stats")
+    cve_update.write_cve_stats(cve.cve_stats(w.vulnerable), path)
+    stats = w.spark.read.parquet(path)
+    return w.versions.join(stats, "version_id").select(
+        "version_id", F.col("indexed").isNotNull().alias("is_indexed"), F.size("cve_ids").cast("bigint").alias("cves")
+    )
+
+
 @query("tech_rules_scan", """
-SELECT n_name AS app, kind, field, pattern FROM nation, LATERAL (VALUES
-    ('headers', 'X-Powered-By', lower(n_name)), ('meta', 'generator', concat('^', n_name)), ('html', NULL, concat('<p>', n_name)),
-    ('script', NULL, concat(lower(n_name), '\\.js')), ('script', NULL, 'app\\.js')) t(kind, field, pattern)""")
+SELECT c_name AS app, kind, field, pattern FROM customer, LATERAL (VALUES
+    ('headers', 'X-Powered-By', lower(c_name)), ('meta', 'generator', concat('^', c_name)), ('html', NULL, concat('<p>', c_name)),
+    ('script', NULL, concat(lower(c_mktsegment), '\\.js')), ('script', NULL, 'app\\.js')) t(kind, field, pattern)""")
 def tech_rules_scan(w: World) -> DataFrame:
-    """A rule catalogue with one document per nation."""
-    lower = F.lower("n_name")
+    """A rule catalogue with one document per customer."""
     rule = F.struct(
-        F.struct(lower.alias("X-Powered-By")).alias("headers"),
-        F.struct(F.concat(F.lit("^"), "n_name").alias("generator")).alias("meta"),
-        F.concat(F.lit("<p>"), "n_name").alias("html"),
-        F.array(F.concat(lower, F.lit("\\.js")), F.lit("app\\.js")).alias("script"),
+        F.struct(F.lower("c_name").alias("X-Powered-By")).alias("headers"),
+        F.struct(F.concat(F.lit("^"), "c_name").alias("generator")).alias("meta"),
+        F.concat(F.lit("<p>"), "c_name").alias("html"),
+        F.array(F.concat(F.lower("c_mktsegment"), F.lit("\\.js")), F.lit("app\\.js")).alias("script"),
     )
-    documents = w.table("nation").select(
-        F.concat(F.lit('{"apps":'), F.to_json(F.create_map("n_name", rule)), F.lit("}")).alias("value")
+    documents = w.table("customer").select(
+        F.concat(F.lit('{"apps":'), F.to_json(F.create_map("c_name", rule)), F.lit("}")).alias("value")
     )
     return feeds.parse_tech_rules(documents)
 
@@ -255,6 +267,23 @@ def report_vulnerable_by_package(w: World) -> DataFrame:
     return reports.vulnerable_by_package(by_url)
 
 
+@query("evaluate_scan", _BY_URL_SQL + """
+SELECT 'available' AS report, '' AS key, count(*) AS results FROM result_site
+UNION ALL SELECT 'with guesses', '', count(*) FROM result_site WHERE guesses > 0
+UNION ALL SELECT 'guesses', CAST(guesses AS VARCHAR), count(*) FROM result_site GROUP BY guesses
+UNION ALL SELECT 'package', package_name, count(DISTINCT url) FROM result_guess GROUP BY package_name
+UNION ALL SELECT 'packages', CAST(n AS VARCHAR), count(*) FROM (
+    SELECT s.url, count(DISTINCT g.package_name) AS n FROM result_site s LEFT JOIN result_guess g USING (site_id) GROUP BY s.url) GROUP BY n
+UNION ALL SELECT 'vulnerable', 'total', count(*) FROM result_site
+UNION ALL SELECT 'vulnerable', 'total_with_guess', count(*) FROM rated
+UNION ALL SELECT 'vulnerable', 'most_recent_vulnerable', count(*) FROM rated WHERE most_recent
+UNION ALL SELECT 'vulnerable', 'all_vulnerable', count(*) FROM rated WHERE all_versions
+UNION ALL SELECT 'vulnerable', 'any_vulnerable', count(*) FROM rated WHERE any_version""")
+def evaluate_scan(w: World) -> DataFrame:
+    """All reports of a scan as one table."""
+    return evaluate.evaluate_scan(_stored(w), w.index, w.vulnerable, w.workspace("evaluate"))
+
+
 # --- whole scans and streams -------------------------------------------------
 
 

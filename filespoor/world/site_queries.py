@@ -491,3 +491,11 @@ def iteration_trace(w: World) -> DataFrame:
     return content_inference(w).trace.select(
         "site_id", "round", "probed", "n_assets", "n_guesses", "decisiveness", "gain", "useless_reason", "streak", "stopped"
     )
+
+
+@query("useless_streak")
+def useless_streak(w: World) -> DataFrame:
+    """Longest run of rounds without progress per site."""
+    return content_inference(w).trace.groupBy("site_id").agg(
+        F.max("streak").alias("longest"), F.count("useless_reason").alias("useless_rounds"), F.max("round").alias("rounds")
+    )

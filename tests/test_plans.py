@@ -204,7 +204,8 @@ def test_scan_batch_resumes_and_stream_equals_batch(spark):
     params = infer.InferenceParams(min_absolute_support=5.0, max_iterations=3)
 
     def run(some_sites, rows, stored):
-        return scan.scan_batch(some_sites, rows, rules, index, tables, stored, "t", Workspace(spark, "scan"), params)
+        return scan.scan_batch(
+            some_sites, rows, rules, index, tables, stored, "t", Workspace(spark, "scan"), params, list_versions=True)
 
     path = space.folder("results")
     scan_results.append_results(run(listed.filter("site_id = 1"), crawl, none), path)
@@ -217,6 +218,9 @@ def test_scan_batch_resumes_and_stream_equals_batch(spark):
     assert one["result"][0]["software_version"]["release_date"] == "1970-01-05T00:00:00"
     matched = one["result"][0]["positive_matches"]
     assert {"http://one.example/f0.js", "http://one.example/f11.js"} <= {a["url"] for a in matched}
+    by_url = {a["url"].rsplit("/", 1)[1]: a for a in matched}
+    names = [[v["name"] for v in by_url["f11.js"][k]] for k in ("expected_versions", "using_versions")]
+    assert names == [["1.0", "2.0", "3.0", "4.0", "5.0", "6.0"], ["4.0"]]
     assert matched[0]["checksum"] == checksum(b"f0 of 0").hex()
 
     landing, streamed = space.folder("landing"), space.folder("streamed")
