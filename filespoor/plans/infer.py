@@ -132,13 +132,13 @@ def infer_sites(
         "assets-0",
     )
 
-    def match(part: DataFrame) -> DataFrame:
-        return scoring.site_scores(part, tables.packed)
+    def match(part: DataFrame, few_assets: bool) -> DataFrame:
+        return scoring.site_scores(part, tables.packed, few_assets=few_assets)
 
     def rank(scored: DataFrame) -> DataFrame:
         return scoring.best_guesses(scoring.with_strength(scored, params), params).select(*GUESS_COLUMNS)
 
-    scored = save(match(assets), "scores-0")
+    scored = save(match(assets, False), "scores-0")
     zero = [F.lit(0).cast("bigint").alias(c) for c in (*scoring.SCORE_COLUMNS, "strength_nano")]
     # first estimates come first in the list, without strength; the order among them is open
     first = estimates.distinct().select("site_id", "version_id", F.lit(0).alias("rank"), *zero)
@@ -176,7 +176,7 @@ def infer_sites(
         )
         requested = probes.select(*ASSET_COLUMNS)
         all_assets.append(requested)
-        scored = save(scoring.add_scores(scored, match(requested)), f"scores-{number}")
+        scored = save(scoring.add_scores(scored, match(requested, True)), f"scores-{number}")
         new_guesses = save(rank(scored), f"guesses-{number}")
         served = probes.groupBy("site_id").agg(
             F.bool_or("success").alias("served"), F.count(F.lit(1)).alias("probed")
