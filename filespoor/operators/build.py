@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from filespoor.functions.fingerprint import fingerprint
-from filespoor.functions.text import basename, file_type, is_canonical, matches_at_start
+from filespoor.functions.text import file_type, is_canonical, matches_at_start
 from filespoor.functions.urls import join_paths, strip_slash
 
 VERSION_KEY = ["package_id", "internal_identifier"]

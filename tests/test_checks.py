@@ -9,7 +9,7 @@ FOLDER = "/root/testdata/sf0.001"
 # nothing to find in the smallest tables
 MAY_BE_EMPTY = {
     "files_of_version", "cve_versions", "cve_stats", "update_cve", "compare_versions", "previous_version",
-    "version_delta", "delta_listing", "delta_count", "pairwise_delta_counts",
+    "version_delta", "delta_listing", "delta_count", "pairwise_delta_counts", "cve_stats_table",
 }
 
 
