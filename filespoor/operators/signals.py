@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.errors import IllegalArgumentException
 from pyspark.sql import Column, DataFrame, functions as F
 
 from filespoor import fixed_values as fv
@@ -120,13 +121,28 @@ def _text_rules(pages: DataFrame, rules: DataFrame, kind: str, text: str) -> Dat
     return pages.select("site_id", F.explode(hits).alias("app"))
 
 
+def split_rules(rules: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Rules whose pattern can be used, and the others, which match nothing."""
+    pattern_class = rules.sparkSession._jvm.java.util.regex.Pattern
+    bad = []
+    for row in rules.select("pattern").distinct().toLocalIterator():
+        try:
+            pattern_class.compile(row.pattern)
+        except IllegalArgumentException:
+            bad.append(row.pattern)
+    is_bad = F.col("pattern").isin(bad) if bad else F.lit(False)
+    return rules.filter(~is_bad), rules.filter(is_bad)
+
+
 def tech_rule_match(pages: DataFrame, rules: DataFrame) -> DataFrame:
     """``(site_id, app)`` where any header, meta, html or script rule of the app fits.
 
     ``pages(site_id, html, headers, metas, script_srcs)``. Patterns ignore case; header
     and meta patterns are anchored at the start, the others are searched.
     """
-    cleaned = rules.withColumn("pattern", clean_rule_pattern(F.col("pattern")))
+    cleaned, _ = split_rules(
+        rules.filter(F.col("pattern").isNotNull()).withColumn("pattern", clean_rule_pattern(F.col("pattern")))
+    )
     scripts = pages.select("site_id", F.explode("script_srcs").alias("script_src"))
     return (
         _field_rules(pages, cleaned, "headers", "headers", "name", "value")

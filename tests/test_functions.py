@@ -133,3 +133,8 @@ def test_page_signals(spark):
     rows = {r.site_id: r for r in page_signals(df, "site_id", "html", ("link", "script", "style")).collect()}
     assert rows[1].refs == ["a.css", "b.js"] and rows[1].script_srcs == ["b.js"]
     assert rows[1].metas[0].content == "X & Y" and rows[2].refs == []
+
+
+def test_page_that_cannot_be_read_keeps_earlier_signals(spark):
+    df = spark.createDataFrame([(1, "<link href=a.css><![foo[x]]><link href=b.css>")], "site_id BIGINT, html STRING")
+    assert page_signals(df, "site_id", "html", ("link",)).first().refs[0] == "a.css"

@@ -194,12 +194,14 @@ def test_generator_needs_exactly_one_tag(spark):
 
 def test_rules(spark):
     rules = spark.createDataFrame(
-        [("H", "headers", "X-By", "php"), ("M", "meta", "generator", r"word\;version:\1"), ("T", "html", None, "<b>\\s*hi"), ("S", "script", None, "jq.*\\.js$"), ("N", "html", None, "absent")],
+        [("H", "headers", "X-By", "php"), ("M", "meta", "generator", r"word\;version:\1"), ("T", "html", None, "<b>\\s*hi"), ("S", "script", None, "jq.*\\.js$"), ("N", "html", None, "absent"),
+         ("BAD", "html", None, "(unclosed"), ("BAD", "headers", "X-By", "[z-a]")],
         "app STRING, kind STRING, field STRING, pattern STRING")
     pages = spark.createDataFrame(
         [(1, "<B> HI", [("x-by", "PHP/7")], [("Generator", "Wordy")], ["/jquery.JS"]), (2, "none", [("x-by", "no php")], [("generator", "a word")], [])],
         "site_id INT, html STRING, headers ARRAY<STRUCT<name: STRING, value: STRING>>, metas ARRAY<STRUCT<name: STRING, content: STRING>>, script_srcs ARRAY<STRING>")
     assert {(r.site_id, r.app) for r in signals.tech_rule_match(pages, rules).collect()} == {(1, a) for a in "HMTS"}
+    assert signals.split_rules(rules)[1].count() == 2
 
 
 def test_included_assets(spark):
