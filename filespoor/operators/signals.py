@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterable
+
 from pyspark.errors import IllegalArgumentException
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from filespoor import fixed_values as fv
 from filespoor.functions import urls
@@ -99,16 +101,12 @@ def _field_rules(pages: DataFrame, rules: DataFrame, kind: str, pairs: str, name
     return fields.join(wanted, "_field").filter(F.rlike("_value", F.col("_regex"))).select("site_id", "app")
 
 
-def _text_rules(pages: DataFrame, rules: DataFrame, kind: str, text: str) -> DataFrame:
-    """Rules on free text. Patterns are constants of the plan and compiled once per task.
+def _text_rules(pages: DataFrame, patterns: list[tuple[str, str]], text: str) -> DataFrame:
+    """``(app, pattern)`` rules on free text; patterns become constants of the plan.
 
-    Rules are a small catalogue that is part of the program's set-up; they are taken in
-    blocks, so their number is not limited. Pages are read once.
+    They are compiled once per task and taken in blocks, so their number is not limited.
+    Pages are read once.
     """
-    patterns = [
-        (row.app, row.pattern)
-        for row in rules.filter(F.col("kind") == kind).select("app", "pattern").distinct().toLocalIterator()
-    ]
     if not patterns:
         return pages.select("site_id", F.lit(None).cast("string").alias("app")).filter(F.lit(False))
     blocks = [
@@ -121,34 +119,41 @@ def _text_rules(pages: DataFrame, rules: DataFrame, kind: str, text: str) -> Dat
     return pages.select("site_id", F.explode(hits).alias("app"))
 
 
-def split_rules(rules: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Rules whose pattern can be used, and the others, which match nothing."""
-    pattern_class = rules.sparkSession._jvm.java.util.regex.Pattern
+def invalid_patterns(spark: SparkSession, patterns: Iterable[str]) -> list[str]:
+    """Patterns that cannot be compiled; rules with them match nothing."""
+    pattern_class = spark._jvm.java.util.regex.Pattern
     bad = []
-    for row in rules.select("pattern").distinct().toLocalIterator():
+    for pattern in set(patterns):
         try:
-            pattern_class.compile(row.pattern)
+            pattern_class.compile(pattern)
         except IllegalArgumentException:
-            bad.append(row.pattern)
-    is_bad = F.col("pattern").isin(bad) if bad else F.lit(False)
-    return rules.filter(~is_bad), rules.filter(is_bad)
+            bad.append(pattern)
+    return bad
 
 
 def tech_rule_match(pages: DataFrame, rules: DataFrame) -> DataFrame:
     """``(site_id, app)`` where any header, meta, html or script rule of the app fits.
 
     ``pages(site_id, html, headers, metas, script_srcs)``. Patterns ignore case; header
-    and meta patterns are anchored at the start, the others are searched.
+    and meta patterns are anchored at the start, the others are searched. The rules are a
+    small catalogue that belongs to the set-up and is read once.
     """
-    cleaned, _ = split_rules(
-        rules.filter(F.col("pattern").isNotNull()).withColumn("pattern", clean_rule_pattern(F.col("pattern")))
+    cleaned = rules.filter(F.col("pattern").isNotNull()).withColumn(
+        "pattern", clean_rule_pattern(F.col("pattern"))
     )
+    catalogue = cleaned.select("kind", "app", "pattern").distinct().collect()
+    bad = invalid_patterns(rules.sparkSession, [row.pattern for row in catalogue])
+    usable = cleaned.filter(~F.col("pattern").isin(bad)) if bad else cleaned
+    text = {
+        kind: [(row.app, row.pattern) for row in catalogue if row.kind == kind and row.pattern not in bad]
+        for kind in ("html", "script")
+    }
     scripts = pages.select("site_id", F.explode("script_srcs").alias("script_src"))
     return (
-        _field_rules(pages, cleaned, "headers", "headers", "name", "value")
-        .unionByName(_field_rules(pages, cleaned, "meta", "metas", "name", "content"))
-        .unionByName(_text_rules(pages, cleaned, "html", "html"))
-        .unionByName(_text_rules(scripts, cleaned, "script", "script_src"))
+        _field_rules(pages, usable, "headers", "headers", "name", "value")
+        .unionByName(_field_rules(pages, usable, "meta", "metas", "name", "content"))
+        .unionByName(_text_rules(pages, text["html"], "html"))
+        .unionByName(_text_rules(scripts, text["script"], "script_src"))
         .distinct()
     )
 
