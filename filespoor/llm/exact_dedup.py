@@ -40,11 +40,9 @@ def exact_dedup(
     """
     rows = _rows(docs, prefix_chars)
     keys = space.save(rows.select("length", "head"), "keys")
+    counted = keys.groupBy("length", "head").agg(F.count("*").alias("n"))
     lengths = keys.groupBy("length").agg(F.count("*").alias("n")).filter("n > 1").select("length")
-    heads = (
-        keys.join(lengths, "length", "left_semi").groupBy("length", "head").agg(F.count("*").alias("n")).filter("n > 1")
-        .select("length", "head", F.lit(True).alias("open"))
-    )
+    heads = counted.join(lengths, "length", "left_semi").filter("n > 1").select("length", "head", F.lit(True).alias("open"))
     if digest_all:
         rows = rows.select("doc_id", "n_chars", "length", "head", F.sha2("bare", 256).alias("sha"))
         marked = rows.join(heads, ["length", "head"], "left")

@@ -35,9 +35,10 @@ def line_dedup(docs: DataFrame, space: Workspace, min_chars: int = MIN_CHARS, mi
         keyed.filter(F.length("key") >= min_chars)
         .select("id", "row", "pos", F.xxhash64("key").alias("h1"), F.xxhash64(F.lit(1), "key").alias("h2")), "lines"
     )
-    shared = (
+    # written, so that the join below deals out both of its sides and can split a common line
+    shared = space.save(
         hashed.select("h1", "h2", "id").distinct().groupBy("h1", "h2")
-        .agg(F.count("*").alias("n"), F.min("id").alias("first")).filter(F.col("n") >= min_docs).drop("n")
+        .agg(F.count("*").alias("n"), F.min("id").alias("first")).filter(F.col("n") >= min_docs).drop("n"), "shared"
     )
     dropped = (
         hashed.join(shared, ["h1", "h2"]).filter("id <> first")
