@@ -33,9 +33,10 @@ def lower_ascii(text: Column) -> Column:
     return F.when(plain, F.lower(text)).otherwise(F.translate(text, UPPER, UPPER.lower()))
 
 
-def same(left: DataFrame, right: DataFrame, *names: str) -> Column:
-    """Equality of the named columns in which nulls are equal."""
+def join_same(left: DataFrame, right: DataFrame, names: tuple[str, ...], how: str = "inner") -> DataFrame:
+    """Joins on the named columns, in which nulls are equal. Other columns of ``right`` have names of their own."""
+    other = right.withColumnsRenamed({n: f"_right_{n}" for n in names})
     condition = F.lit(True)
-    for name in names:
-        condition = condition & left[name].eqNullSafe(right[name])
-    return condition
+    for n in names:
+        condition = condition & F.col(n).eqNullSafe(F.col(f"_right_{n}"))
+    return left.join(other, condition, how).drop(*(f"_right_{n}" for n in names))

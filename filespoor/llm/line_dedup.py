@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from filespoor.llm.common import LAST_ID, SPACE, lower_ascii, same, table, text_of
+from filespoor.llm.common import LAST_ID, SPACE, join_same, lower_ascii, table, text_of
 from filespoor.llm.registry import query
 from filespoor.session import Workspace
 
@@ -44,7 +44,7 @@ def line_dedup(docs: DataFrame, space: Workspace, min_chars: int = MIN_CHARS, mi
         hashed.join(shared, ["h1", "h2"]).filter("id <> first")
         .groupBy("id", "row").agg(F.array_sort(F.collect_set("pos")).alias("gone"))
     )
-    whole = rows.join(dropped, same(rows, dropped, "id", "row"), "left").select(
+    whole = join_same(rows, dropped, ("id", "row"), "left").select(
         "doc_id", F.split("text", "\n", -1).alias("lines"), F.coalesce("gone", F.expr("array()")).alias("gone")
     )
     # what lies between two dropped positions stays
