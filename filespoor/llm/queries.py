@@ -1,4 +1,4 @@
 """All registered queries of this folder."""
 
-from filespoor.llm import bpe, exact_dedup, line_dedup, packing, quality, token_count, url_filter  # noqa: F401
+from filespoor.llm import bpe, exact_dedup, line_dedup, packing, quality, simhash, token_count, url_filter  # noqa: F401
 from filespoor.llm.registry import CHECKS, QUERIES  # noqa: F401
