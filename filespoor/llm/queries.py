@@ -1,4 +1,6 @@
 """All registered queries of this folder."""
 
-from filespoor.llm import bpe, exact_dedup, language, line_dedup, packing, quality, simhash, token_count, url_filter  # noqa: F401
+from filespoor.llm import (  # noqa: F401
+    bpe, exact_dedup, language, line_dedup, packing, quality, simhash, token_count, toxicity, url_filter,
+)
 from filespoor.llm.registry import CHECKS, QUERIES  # noqa: F401
