@@ -47,16 +47,20 @@ def default_scheme(url: Column) -> Column:
 
 
 def natural_key(name: Column) -> Column:
-    """Sort key in natural order: texts compared as text, digit runs as numbers."""
+    """Sort key in natural order: texts compared as text, digit runs as numbers.
+
+    Numbers of any length are compared by their number of digits, then by the digits.
+    """
     texts = F.split(name, r"\d+", -1)
-    numbers = F.regexp_extract_all(name, F.lit(r"(\d+)"), F.lit(1))
+    numbers = F.transform(
+        F.regexp_extract_all(name, F.lit(r"(\d+)"), F.lit(1)), lambda digits: F.ltrim(digits, F.lit("0"))
+    )
     return F.transform(
         texts,
         lambda text, i: F.struct(
             text.alias("text"),
-            F.coalesce(F.try_element_at(numbers, i + 1).try_cast("decimal(38,0)"), F.lit(-1)).alias(
-                "number"
-            ),
+            F.coalesce(F.length(F.try_element_at(numbers, i + 1)), F.lit(-1)).alias("size"),
+            F.try_element_at(numbers, i + 1).alias("digits"),
         ),
     )
 

@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
-from filespoor.functions.fingerprint import fingerprint
-from filespoor.functions.text import file_type, is_canonical, matches_at_start
+from filespoor.functions.fingerprint import index_entry
+from filespoor.functions.text import file_type, matches_at_start
 from filespoor.functions.urls import join_paths, strip_slash
 
 VERSION_KEY = ["package_id", "internal_identifier"]
@@ -62,16 +62,10 @@ def fingerprint_files(placed: DataFrame, raw: bool = False) -> DataFrame:
     typed = placed.withColumn("file_type", file_type(F.col("file_name"))).filter(
         F.col("file_type").isNotNull()
     )
-    summed = typed.withColumn("checksum", fingerprint(F.col("file_type"), F.col("content"), raw))
     hidden = F.startswith(F.col("file_name"), F.lit("."))
-    unparsed = F.col("checksum").isNull() & is_canonical(F.col("file_type"))
-    plain = summed.filter(~unparsed)
-    dotfiles = (
-        summed.filter(unparsed & hidden)
-        .withColumn("file_type", F.lit("dotfile"))
-        .withColumn("checksum", fingerprint(F.lit("dotfile"), F.col("content"), True))
-    )
-    return plain.unionByName(dotfiles).drop("content", "file_name")
+    made = typed.withColumn("_entry", index_entry(F.col("file_type"), hidden, F.lit(raw), F.col("content")))
+    kept = made.drop("content", "file_name", "file_type").filter("_entry.keep")
+    return kept.withColumns({c: F.col(f"_entry.{c}") for c in ("file_type", "checksum")}).drop("_entry")
 
 
 def upsert_packages(existing: DataFrame, incoming: DataFrame, update: bool = True) -> DataFrame:

@@ -13,6 +13,7 @@ from filespoor.functions.text import basename, clean_rule_pattern, file_type, gl
 from filespoor.operators.skew import salted_join
 
 RULE_BLOCK = 250
+MAX_RULES = 100_000  # set-up data that becomes part of the plan
 
 
 def keep_scheme(url: Column) -> Column:
@@ -90,29 +91,38 @@ def packages_by_glob(packages: DataFrame, glob: str, any_name: bool = False) ->
     return packages.filter(hit)
 
 
-def _field_rules(pages: DataFrame, rules: DataFrame, kind: str, pairs: str, name: str, value: str) -> DataFrame:
-    """Rules on named fields: equal names first, then the pattern from the start."""
-    fields = pages.select("site_id", F.explode(pairs).alias("_pair")).select(
-        "site_id", F.lower(f"_pair.{name}").alias("_field"), F.col(f"_pair.{value}").alias("_value")
+def _field_rules(pages: DataFrame, rules: DataFrame) -> DataFrame:
+    """Header and meta rules: equal names first, then the pattern from the start. One pass over the pages."""
+
+    def pairs(kind: str, column: str, value: str) -> Column:
+        made = F.transform(
+            column, lambda x: F.struct(F.lit(kind).alias("kind"), F.lower(x["name"]).alias("field"), x[value].alias("value"))
+        )
+        return F.coalesce(made, F.array().cast("array<struct<kind:string,field:string,value:string>>"))
+
+    fields = pages.select(
+        "site_id", F.inline(F.concat(pairs("headers", "headers", "value"), pairs("meta", "metas", "content")))
     )
-    wanted = rules.filter(F.col("kind") == kind).select(
-        "app", F.lower("field").alias("_field"), F.concat(F.lit("(?i)^(?:"), "pattern", F.lit(")")).alias("_regex")
+    wanted = rules.filter(F.col("kind").isin("headers", "meta")).select(
+        "app", "kind", F.lower("field").alias("field"), F.concat(F.lit("(?i)^(?:"), "pattern", F.lit(")")).alias("_regex")
     )
-    return fields.join(wanted, "_field").filter(F.rlike("_value", F.col("_regex"))).select("site_id", "app")
+    return fields.join(wanted, ["kind", "field"]).filter(F.rlike("value", F.col("_regex"))).select("site_id", "app")
 
 
-def _text_rules(pages: DataFrame, patterns: list[tuple[str, str]], text: str) -> DataFrame:
-    """``(app, pattern)`` rules on free text; patterns become constants of the plan.
+def _text_rules(pages: DataFrame, patterns: list[tuple[str, str, str]]) -> DataFrame:
+    """``(kind, app, pattern)`` rules on the page and its script sources; patterns become constants of the plan.
 
-    They are compiled once per task and taken in blocks, so their number is not limited.
-    Pages are read once.
+    They are compiled once per task and taken in blocks. Pages are read once.
     """
     if not patterns:
         return pages.select("site_id", F.lit(None).cast("string").alias("app")).filter(F.lit(False))
+
+    def hit(kind: str, pattern: str) -> Column:
+        regex = F.lit(f"(?i){pattern}")
+        return F.rlike("html", regex) if kind == "html" else F.exists("script_srcs", lambda x: F.rlike(x, regex))
+
     blocks = [
-        F.array_compact(
-            F.array(*[F.when(F.rlike(text, F.lit(f"(?i){p}")), F.lit(app)) for app, p in patterns[i : i + RULE_BLOCK]])
-        )
+        F.array_compact(F.array(*[F.when(hit(kind, p), F.lit(app)) for kind, app, p in patterns[i : i + RULE_BLOCK]]))
         for i in range(0, len(patterns), RULE_BLOCK)
     ]
     hits = blocks[0] if len(blocks) == 1 else F.concat(*blocks)
@@ -136,26 +146,20 @@ def tech_rule_match(pages: DataFrame, rules: DataFrame) -> DataFrame:
 
     ``pages(site_id, html, headers, metas, script_srcs)``. Patterns ignore case; header
     and meta patterns are anchored at the start, the others are searched. The rules are a
-    small catalogue that belongs to the set-up and is read once.
+    small catalogue that belongs to the set-up; more than ``MAX_RULES`` are refused.
     """
     cleaned = rules.filter(F.col("pattern").isNotNull()).withColumn(
         "pattern", clean_rule_pattern(F.col("pattern"))
     )
-    catalogue = cleaned.select("kind", "app", "pattern").distinct().collect()
-    bad = invalid_patterns(rules.sparkSession, [row.pattern for row in catalogue])
-    usable = cleaned.filter(~F.col("pattern").isin(bad)) if bad else cleaned
-    text = {
-        kind: [(row.app, row.pattern) for row in catalogue if row.kind == kind and row.pattern not in bad]
-        for kind in ("html", "script")
-    }
-    scripts = pages.select("site_id", F.explode("script_srcs").alias("script_src"))
-    return (
-        _field_rules(pages, usable, "headers", "headers", "name", "value")
-        .unionByName(_field_rules(pages, usable, "meta", "metas", "name", "content"))
-        .unionByName(_text_rules(pages, text["html"], "html"))
-        .unionByName(_text_rules(scripts, text["script"], "script_src"))
-        .distinct()
+    catalogue = cleaned.select("kind", "app", "pattern").distinct().limit(MAX_RULES + 1).collect()
+    if len(catalogue) > MAX_RULES:
+        raise ValueError(f"more than {MAX_RULES} rules: not a catalogue of technologies")
+    bad = set(invalid_patterns(rules.sparkSession, [row.pattern for row in catalogue]))
+    usable = cleaned.filter(~F.col("pattern").isin(*bad)) if bad else cleaned
+    text = sorted(
+        (row.kind, row.app, row.pattern) for row in catalogue if row.kind in ("html", "script") and row.pattern not in bad
     )
+    return _field_rules(pages, usable).unionByName(_text_rules(pages, text)).distinct()
 
 
 def rule_versions(matches: DataFrame, packages: DataFrame, versions: DataFrame) -> DataFrame:

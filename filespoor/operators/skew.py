@@ -13,12 +13,13 @@ SALTS = 64
 
 def hot_keys(rows: DataFrame, on: list[str], hot_rows: int = HOT_ROWS) -> DataFrame:
     """Keys with more than ``hot_rows`` rows; rows are counted with a map-side combine."""
-    return (
-        rows.groupBy(*on)
-        .agg(F.count(F.lit(1)).alias("_rows"))
-        .filter(F.col("_rows") > hot_rows)
-        .select(*on)
-    )
+    return counted_hot_keys(rows, on, hot_rows).select(*on)
+
+
+def counted_hot_keys(rows: DataFrame, on: list[str], hot_rows: int = HOT_ROWS) -> DataFrame:
+    """Hot keys with ``_parts``, the number of shares of about ``hot_rows`` rows that each is worth."""
+    counted = rows.groupBy(*on).agg(F.count(F.lit(1)).alias("_rows")).filter(F.col("_rows") > hot_rows)
+    return counted.select(*on, F.ceil(F.col("_rows") / hot_rows).cast("int").alias("_parts"))
 
 
 def salted_join(
@@ -32,31 +33,32 @@ def salted_join(
 ) -> DataFrame:
     """Join ``left`` to ``right`` on ``on``, spreading keys that are hot in ``left``.
 
-    Rows of ``left`` with a hot key are spread over ``salts`` sub-keys, and the rows of
-    ``right`` with such a key are repeated once per sub-key; all other rows keep sub-key
-    0. Every pair of the plain join appears exactly once. NULL keys match nothing, as in
-    a plain join, and are spread as well. ``hot`` are the hot keys if they are known.
+    Rows of ``left`` with a hot key are spread over as many sub-keys as they are worth,
+    and the rows of ``right`` with such a key are repeated once per sub-key; all other
+    rows keep sub-key 0. Every pair of the plain join appears exactly once. NULL keys
+    match nothing, as in a plain join, and are spread over ``salts`` sub-keys. ``hot`` are
+    the hot keys if they are known; each then gets ``salts`` sub-keys.
 
     The table of hot keys is broadcast: it has at most ``rows(left) / hot_rows`` rows,
     a million keys for 10**12 rows.
     """
     if how not in ("inner", "left", "left_semi", "left_anti"):
         raise ValueError(f"unsupported join type {how}")
-    keys = hot_keys(left, on, hot_rows) if hot is None else hot.select(*on)
-    marked = F.broadcast(keys.withColumn("_hot", F.lit(True)))
-    spread = F.pmod(F.xxhash64(*[F.col(f"`{c}`") for c in left.columns]), F.lit(salts)).cast("int")
+    keys = counted_hot_keys(left, on, hot_rows) if hot is None else hot.select(*on, F.lit(salts).alias("_parts"))
+    marked = F.broadcast(keys)
+    shares = F.coalesce("_parts", F.lit(salts))
+    spread = F.pmod(F.xxhash64(*[F.col(f"`{c}`") for c in left.columns]), shares).cast("int")
     no_key = reduce(or_, [F.col(c).isNull() for c in on])
     salted_left = (
         left.join(marked, on, "left")
-        .withColumn("_salt", F.when(F.col("_hot") | no_key, spread).otherwise(F.lit(0)))
-        .drop("_hot")
+        .withColumn("_salt", F.when(F.col("_parts").isNotNull() | no_key, spread).otherwise(F.lit(0)))
+        .drop("_parts")
     )
-    every_salt = F.sequence(F.lit(0), F.lit(salts - 1))
     salted_right = (
         right.join(marked, on, "left")
         .withColumn(
-            "_salt", F.explode(F.when(F.col("_hot"), every_salt).otherwise(F.array(F.lit(0))))
+            "_salt", F.explode(F.sequence(F.lit(0), F.coalesce(F.col("_parts") - 1, F.lit(0))))
         )
-        .drop("_hot")
+        .drop("_parts")
     )
     return salted_left.join(salted_right, [*on, "_salt"], how).drop("_salt")

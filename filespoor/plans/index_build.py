@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from filespoor.operators import build
+from filespoor.session import Workspace
 from filespoor.sources.index_store import Index, empty_index, mark_indexed, read_index, write_index
 
 
@@ -32,13 +33,16 @@ def build_index(
     definitions: DataFrame,
     available: DataFrame,
     release_files: DataFrame,
+    workspace: Workspace,
     raw: bool = False,
 ) -> Index:
-    """The index with all available versions that were missing.
+    """The index with all available versions that were missing and have files.
 
     ``available(package, name, internal_identifier, release_date)`` lists versions,
     ``release_files(package, version, path, content)`` holds their files; ``version`` is
-    the internal identifier. Only files of missing versions are read on.
+    the internal identifier. Only files of missing versions are read on, once: their
+    checksums are written and all tables come from them. A version without any file here
+    is listed, but stays missing until its files come.
     """
     incoming = definitions.select(F.col("package").alias("name"), "vendor", "alternative_names")
     packages = build.upsert_packages(index.packages, incoming)
@@ -51,10 +55,15 @@ def build_index(
         "package", F.col("internal_identifier").alias("version"), "version_id"
     )
     wanted = release_files.join(todo, ["package", "version"])
-    found = fingerprinted_files(wanted, definitions, raw).select("version_id", *build.FILE_KEY)
-    files = build.static_files_dim(index.files, found)
+    found = workspace.save(
+        fingerprinted_files(wanted, definitions, raw).select("version_id", *build.FILE_KEY), "found"
+    )
+    files = workspace.save(build.static_files_dim(index.files, found), "files")
+    # also versions of which every file is ignored have been read
+    come = release_files.select("package", "version").distinct()
+    done = todo.join(come, ["package", "version"], "left_semi")
     uses = index.uses.unionByName(build.static_file_uses(found, files)).distinct()
-    marked = mark_indexed(versions, todo, F.current_timestamp())
+    marked = mark_indexed(versions, done, F.current_timestamp())
     return Index(packages=packages, versions=marked, files=files, uses=uses)
 
 
@@ -68,7 +77,8 @@ def update_index(
 ) -> Index:
     """Write the next snapshot of the index and read it back."""
     current = read_index(spark, old_path) if old_path else empty_index(spark)
-    write_index(build_index(current, definitions, available, release_files), new_path)
+    space = Workspace(spark, "index-build")
+    write_index(build_index(current, definitions, available, release_files, space), new_path)
     return read_index(spark, new_path)
 
 

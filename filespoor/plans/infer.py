@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from filespoor.functions import urls
 from filespoor.operators import entropy, matching, scoring
-from filespoor.operators.skew import salted_join
+from filespoor.operators.skew import HOT_ROWS, hot_keys, salted_join
 from filespoor.params import InferenceParams
 from filespoor.session import Workspace
 from filespoor.sources.crawl import with_success
@@ -132,13 +132,15 @@ def infer_sites(
         "assets-0",
     )
 
-    def match(part: DataFrame, few_assets: bool) -> DataFrame:
+    def match(part: DataFrame) -> DataFrame:
+        # the part is written, so counting its sites is cheap; the split is planned only if a site needs it
+        few_assets = hot_keys(part, ["site_id"], HOT_ROWS).isEmpty()
         return scoring.site_scores(part, tables.packed, few_assets=few_assets)
 
     def rank(scored: DataFrame) -> DataFrame:
         return scoring.best_guesses(scoring.with_strength(scored, params), params).select(*GUESS_COLUMNS)
 
-    scored = save(match(assets, False), "scores-0")
+    scored = save(match(assets), "scores-0")
     zero = [F.lit(0).cast("bigint").alias(c) for c in (*scoring.SCORE_COLUMNS, "strength_nano")]
     # first estimates come first in the list, without strength; the order among them is open
     first = estimates.distinct().select("site_id", "version_id", F.lit(0).alias("rank"), *zero)
@@ -176,7 +178,7 @@ def infer_sites(
         )
         requested = probes.select(*ASSET_COLUMNS)
         all_assets.append(requested)
-        scored = save(scoring.add_scores(scored, match(requested, True)), f"scores-{number}")
+        scored = save(scoring.add_scores(scored, match(requested)), f"scores-{number}")
         new_guesses = save(rank(scored), f"guesses-{number}")
         served = probes.groupBy("site_id").agg(
             F.bool_or("success").alias("served"), F.count(F.lit(1)).alias("probed")
@@ -253,10 +255,10 @@ def _outcome(state: DataFrame, number: int) -> DataFrame:
 
 
 def complete_retrieval_plan(packages: DataFrame, versions: DataFrame, tables: MatchTables) -> DataFrame:
-    """All telling paths of the indexed versions of the chosen packages, as one set."""
+    """``(webroot_path, rank)``: all telling paths of the indexed versions of the chosen packages, best first."""
     chosen = versions.filter(F.col("indexed").isNotNull()).join(
         packages.select("package_id").distinct(), "package_id", "left_semi"
     )
     return entropy.top_paths(
         entropy.path_entropy(chosen.select(F.lit(0).alias("set_id"), "version_id"), tables.path_checksums), None
-    ).drop("set_id", "rank")
+    ).drop("set_id")

@@ -71,7 +71,11 @@ def new_results(incoming: DataFrame, stored: DataFrame) -> DataFrame:
 
 
 def append_results(incoming: DataFrame, path: str) -> None:
-    incoming.write.mode("append").partitionBy("scan_identifier").parquet(path)
+    """Store results; of a scan each URL has one, the first stored. A new store starts empty."""
+    spark = incoming.sparkSession
+    spark.createDataFrame([], schema.SCAN_RESULT).write.mode("append").partitionBy("scan_identifier").parquet(path)
+    fresh = new_results(incoming, read_results(spark, path))
+    fresh.write.mode("append").partitionBy("scan_identifier").parquet(path)
 
 
 def read_results(spark: SparkSession, path: str) -> DataFrame:

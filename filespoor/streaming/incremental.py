@@ -6,11 +6,12 @@ failure writes the same rows again, because what is stored already is left out.
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, functions as F, types as T
 
-from filespoor.sources.scan_results import append_results, check_identifier, new_results, read_results
+from filespoor.sources.scan_results import append_results, check_identifier
 
 
 def _run(source: DataFrame, checkpoint: str, handle: Callable[[DataFrame, int], None]) -> None:
@@ -38,11 +39,7 @@ def incremental_scan(
     check_identifier(identifier)
 
     def handle(batch: DataFrame, _: int) -> None:
-        spark = batch.sparkSession
-        incoming = scan(batch).withColumn("scan_identifier", F.lit(identifier))
-        if _exists(spark, results_path):
-            incoming = new_results(incoming, read_results(spark, results_path))
-        append_results(incoming, results_path)
+        append_results(scan(batch).withColumn("scan_identifier", F.lit(identifier)), results_path)
 
     _run(source, checkpoint, handle)
 
@@ -56,21 +53,20 @@ def incremental_index(
     """Fingerprint a stream of release files into ``path``.
 
     ``fingerprint`` turns the files of one batch into rows with a ``version_id``. All
-    files of a version have to arrive in one batch; versions of earlier batches are not
-    indexed again. The rows of a batch have a folder of their own that a repeated batch
-    replaces.
+    files of a version have to arrive in one batch; versions that are stored already, by
+    earlier batches or other streams, are not indexed again. The rows of a batch have a
+    folder of their own, by stream and batch, that a repeated batch replaces.
     """
+    stream = hashlib.sha256(checkpoint.encode()).hexdigest()[:16]
 
     def handle(batch: DataFrame, number: int) -> None:
+        spark = batch.sparkSession
         rows = fingerprint(batch)
-        if number > 0 and _exists(batch.sparkSession, path):
-            done = batch.sparkSession.read.parquet(path).filter(F.col("batch") < number)
-            rows = rows.join(done.select("version_id").distinct(), "version_id", "left_anti")
-        rows.write.mode("overwrite").parquet(f"{path}/batch={number}")
+        stored = T.StructType([*rows.schema, T.StructField("stream", T.StringType()), T.StructField("batch", T.LongType())])
+        spark.createDataFrame([], stored).write.mode("append").partitionBy("stream", "batch").parquet(path)
+        own = (F.col("stream") == stream) & (F.col("batch") == number)
+        done = spark.read.schema(stored).parquet(path).filter(~own).select("version_id").distinct()
+        fresh = rows.join(done, "version_id", "left_anti").select(*rows.columns)
+        fresh.write.mode("overwrite").parquet(f"{path}/stream={stream}/batch={number}")
 
     _run(source, checkpoint, handle)
-
-
-def _exists(spark: SparkSession, path: str) -> bool:
-    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return folder.getFileSystem(spark._jsc.hadoopConfiguration()).exists(folder)

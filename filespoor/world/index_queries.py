@@ -195,7 +195,8 @@ member AS (SELECT version_id FROM software_version WHERE is_indexed AND package_
 entropy AS (
     SELECT c.webroot_path, count(DISTINCT c.version_id) AS version_count, count(DISTINCT c.checksum) AS checksum_count
     FROM member JOIN path_checksum c USING (version_id) GROUP BY c.webroot_path)
-SELECT * FROM entropy WHERE NOT ((SELECT count(*) FROM member) > 1
+SELECT *, CAST(row_number() OVER (ORDER BY version_count + checksum_count DESC, webroot_path) AS INTEGER) AS rank
+FROM entropy WHERE NOT ((SELECT count(*) FROM member) > 1
     AND version_count = (SELECT count(*) FROM member) AND checksum_count = 1)""")
 def complete_retrieval_plan(w: World) -> DataFrame:
     chosen = signals.packages_by_glob(w.packages, "nation_1*", any_name=True)
@@ -706,7 +707,7 @@ def build_index(w: World) -> DataFrame:
     space = w.workspace("build_index")
     path = space.folder("index")
     index_store.write_index(
-        index_build.build_index(index_store.empty_index(w.spark), packages, available, release_files), path
+        index_build.build_index(index_store.empty_index(w.spark), packages, available, release_files, space), path
     )
     built = index_store.read_index(w.spark, path)
     used = index.version_files(built.files, built.uses)

@@ -205,7 +205,7 @@ def test_scan_batch_resumes_and_stream_equals_batch(spark):
 
     def run(some_sites, rows, stored):
         return scan.scan_batch(
-            some_sites, rows, rules, index, tables, stored, "t", Workspace(spark, "scan"), params, list_versions=True)
+            some_sites, rows, rules, index, tables, stored, "t", Workspace(spark, "scan"), params)
 
     path = space.folder("results")
     scan_results.append_results(run(listed.filter("site_id = 1"), crawl, none), path)
