@@ -45,6 +45,7 @@ MIN_DOCS = 7  # toxic rows of the sample that have a telling word
 MIN_CONTEXTS = 0.5  # different neighbours of a telling word, as a share of its toxic rows
 MIN_PRECISION, Z = 0.5, 2.6  # lower bound of its precision, at so many standard deviations
 PREFIXES = (4, 5, 6, 7, 8)
+MOSTLY = 0.8
 BASE = 0.01  # score of a text without a telling word
 THRESHOLD = 0.3
 
@@ -209,12 +210,25 @@ def learn(docs: DataFrame, labels: DataFrame, logs: np.ndarray, toxic_rows: int
             t, c = toxic / max(1, used[1]) * share, (clean + 0.5) / max(1, used[0]) * (1 - share)
             likely[feature] = t / (t + c)
             often[feature] = toxic
+    likely = _longest(likely, often)
     # other words of a text that many rows repeat stand between the same neighbours; at most ``likely`` rows
     contexts = rows.filter("toxic = 1").mapInArrow(_contexts(logs, set(likely)), "feature string, context long")
     varied = contexts.groupBy("feature").agg(F.countDistinct("context").alias("n")).collect()
     return {f: likely[f] for f, n in varied if n >= MIN_CONTEXTS * often[f]}
 
 
+def _longest(likely: dict[str, float], often: dict[str, int]) -> dict[str, float]:
+    """Without beginnings that say less than a longer feature which makes up nearly all of their toxic rows."""
+    weaker = set()
+    for feature, p in likely.items():
+        stem = feature.removesuffix("-")
+        for n in PREFIXES:
+            short = f"{stem[:n]}-"
+            if n < len(stem) and likely.get(short, p) < p and often[feature] >= MOSTLY * often[short]:
+                weaker.add(short)
+    return {f: p for f, p in likely.items() if f not in weaker}
+
+
 def _contexts(logs: np.ndarray, likely: set[str]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         decoder, known = Decoder(logs), {}

@@ -91,6 +91,12 @@ def test_decoder(decoder, written, meant):
     assert decoder.restore(f"the {written} people") == f"the {meant} people"
 
 
+def test_beginnings_give_way_to_longer_features():
+    likely = {"lose-": 0.87, "loser": 0.99, "stem-": 0.97, "stemma": 0.98, "stemmb": 0.98, "kin-": 0.9}
+    often = {"lose-": 50, "loser": 48, "stem-": 40, "stemma": 10, "stemmb": 9, "kin-": 9}
+    assert set(toxicity._longest(likely, often)) == set(likely) - {"lose-"}
+
+
 def test_toxicity_held_out(spark, space):
     docs, labels = (spark.read.parquet(f"/root/testdata/sf0.1/{n}.parquet") for n in ("documents", "labels"))
     found = toxicity.toxicity(docs, labels.filter(f"not ({toxicity.HELD_OUT})"), space).join(labels, "doc_id").filter(toxicity.HELD_OUT)
