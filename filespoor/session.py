@@ -47,6 +47,12 @@ class Workspace:
         self.path = f"{shared_root(spark)}/{label}-{uuid.uuid4().hex}"
         self._count = 0
 
+    def close(self) -> None:
+        """Delete the tables; what still reads them has to be finished."""
+        jvm, conf = self.spark._jvm, self.spark._jsc.hadoopConfiguration()
+        folder = jvm.org.apache.hadoop.fs.Path(self.path)
+        folder.getFileSystem(conf).delete(folder, True)
+
     def folder(self, name: str) -> str:
         self._count += 1
         return f"{self.path}/{self._count:03d}-{name}"

@@ -76,10 +76,15 @@ def version_refs(refs: DataFrame, defs: DataFrame) -> DataFrame:
 
 
 def read_manifest(spark: SparkSession, path: str) -> DataFrame:
-    """A package manifest as ``(stanza, position)``, one row per stanza."""
-    return spark.read.option("lineSep", "\n\n").text(path).select(
-        F.col("value").alias("stanza"), F.monotonically_increasing_id().alias("position")
+    """A package manifest as ``(stanza, position)``, one row per stanza.
+
+    Positions rise by file name, place of the split in its file, and place in the split.
+    """
+    meta = F.col("_metadata")
+    place = F.struct(
+        meta["file_path"].alias("file"), meta["file_block_start"].alias("start"), F.monotonically_increasing_id().alias("id")
     )
+    return spark.read.option("lineSep", "\n\n").text(path).select(F.col("value").alias("stanza"), place.alias("position"))
 
 
 def package_manifest(stanzas: DataFrame, package: str | None = None) -> DataFrame:
@@ -95,6 +100,17 @@ def package_manifest(stanzas: DataFrame, package: str | None = None) -> DataFram
     return fields.groupBy("name", "version").agg(F.max_by("filename", "position").alias("filename"))
 
 
+def manifest_versions(manifest: DataFrame) -> DataFrame:
+    """``(package, name, internal_identifier, release_date)`` of a manifest, ready for an index build.
+
+    The file of a version identifies it; a manifest knows no dates.
+    """
+    return manifest.select(
+        F.col("name").alias("package"), F.col("version").alias("name"), F.col("filename").alias("internal_identifier"),
+        F.lit(None).cast("timestamp").alias("release_date"),
+    )
+
+
 def archive_versions(mapping: DataFrame, cached: DataFrame) -> DataFrame:
     """Version identifiers that can be downloaded or are cached."""
     return mapping.select("package", "version").union(cached.select("package", "version")).distinct()

@@ -18,25 +18,25 @@ def ranked_sites(spark: SparkSession, path: str, rank: int, count: int) -> DataF
 
 
 def url_list(spark: SparkSession, path: str) -> DataFrame:
-    """``(position, url)`` of a file with one URL per line.
+    """``(position, url)`` of one or more files with one URL per line.
 
-    The line number comes from the scan order of one file, whose splits are numbered in
-    order; lines are counted per split first, so no split passes through another.
+    Files follow each other by name, and their splits by offset; lines are counted per
+    split first, so no split passes through another.
     """
+    meta = F.col("_metadata")
     lines = spark.read.text(path).select(
-        F.monotonically_increasing_id().alias("_id"), F.col("value").alias("url")
+        F.monotonically_increasing_id().alias("_id"), F.col("value").alias("url"),
+        meta["file_path"].alias("_file"), meta["file_block_start"].alias("_start"),
     )
-    split, place = F.shiftright("_id", 33), F.col("_id").bitwiseAND(F.lit((1 << 33) - 1))
-    placed = lines.select(split.alias("_split"), place.alias("_place"), "url")
-    # one row per split, so the running sum is over a handful of rows
-    earlier = W.orderBy("_split").rowsBetween(W.unboundedPreceding, -1)
-    starts = (
-        placed.groupBy("_split")
-        .agg(F.count(F.lit(1)).alias("_size"))
-        .select("_split", F.coalesce(F.sum("_size").over(earlier), F.lit(0)).alias("_start"))
+    # one row per split, so the running sum is over a handful of rows; ids rise within a split
+    earlier = W.orderBy("_file", "_start").rowsBetween(W.unboundedPreceding, -1)
+    splits = (
+        lines.groupBy("_file", "_start")
+        .agg(F.count(F.lit(1)).alias("_size"), F.min("_id").alias("_first"))
+        .select("_file", "_start", "_first", F.coalesce(F.sum("_size").over(earlier), F.lit(0)).alias("_before"))
     )
-    return placed.join(starts, "_split").select(
-        (F.col("_start") + F.col("_place")).alias("position"), "url"
+    return lines.join(splits, ["_file", "_start"]).select(
+        (F.col("_before") + F.col("_id") - F.col("_first")).alias("position"), "url"
     )
 
 

@@ -36,17 +36,15 @@ def package_versions_union(w: World) -> DataFrame:
     return index_store.versions_of(chosen, w.versions).select("version_id", "package_id", "name")
 
 
-@query("static_file_uses", "SELECT version_id, file_id FROM static_file_use")
+@query("static_file_uses", """
+SELECT DISTINCT version_id, src_path, webroot_path, checksum FROM static_file_use JOIN static_file USING (file_id)""")
 def static_file_uses(w: World) -> DataFrame:
     found = w.table("lineitem").select(
         F.col("l_suppkey").alias("version_id"), F.col("l_partkey").alias("file_id")
     ).join(w.files, "file_id").drop("file_id")
-    # several parts share a key, so uses are checked by the smallest part of each key
+    # several parts share a key, so uses are compared by what their files are
     files = w.files.groupBy(*build.FILE_KEY).agg(F.min("file_id").alias("file_id"))
-    keys = build.static_file_uses(found, files)
-    return keys.join(files, "file_id").join(w.files.withColumnRenamed("file_id", "part"), build.FILE_KEY).join(
-        w.uses.withColumnRenamed("file_id", "part"), ["version_id", "part"]
-    ).select("version_id", F.col("part").alias("file_id"))
+    return build.static_file_uses(found, files).join(files, "file_id").select("version_id", *build.FILE_KEY)
 
 
 @query("static_files_dim", """
@@ -340,12 +338,12 @@ def compare_versions(w: World) -> DataFrame:
     """First and last release of the package with most versions, given by their names."""
     indexed = w.index.indexed_versions()
     package = indexed.groupBy("package_id").count().orderBy(F.desc("count"), "package_id").limit(1)
-    ends = indexed.join(package, "package_id").agg(
-        F.min_by("version_id", F.struct("release_date", "version_id")).alias("old_version_id"),
-        F.max_by("version_id", F.struct("release_date", "version_id")).alias("new_version_id"),
+    ends = indexed.join(package, "package_id").groupBy("package_id").agg(
+        F.min_by("name", F.struct("release_date", "version_id")).alias("old"),
+        F.max_by("name", F.struct("release_date", "version_id")).alias("new"),
     )
-    chosen = delta.version_delta(ends, delta.files_at_path(w.used_files))
-    return delta.delta_listing(chosen).select("webroot_path", "line")
+    names = ends.join(w.packages, "package_id").select(w.packages["name"], "old", "new").first()  # one row
+    return compare.compare_versions(w.index, w.used_files, *names).select("webroot_path", "line")
 
 
 @query("most_recent_version", """
@@ -587,8 +585,8 @@ def version_refs(w: World) -> DataFrame:
 
 
 @query("package_manifest", """
-SELECT n_name AS name, concat(CAST(s_suppkey % 3 AS VARCHAR), '.0') AS version,
-       arg_max(concat('pool/', s_name, '.deb'), s_suppkey) AS filename
+SELECT n_name AS package, concat(CAST(s_suppkey % 3 AS VARCHAR), '.0') AS name,
+       arg_max(concat('pool/', s_name, '.deb'), s_suppkey) AS internal_identifier, CAST(NULL AS VARCHAR) AS release_date
 FROM supplier JOIN nation ON s_nationkey = n_nationkey GROUP BY ALL""")
 def package_manifest(w: World) -> DataFrame:
     names = w.packages.select("package_id", F.col("name").alias("package"))
@@ -599,7 +597,13 @@ def package_manifest(w: World) -> DataFrame:
         ).alias("stanza"),
         F.col("version_id").alias("position"),
     )
-    return releases.package_manifest(stanzas)
+    # one file per range of stanzas, read back by the manifest reader in the order of their positions
+    path = w.workspace("manifest").folder("packages")
+    stanzas.repartitionByRange(4, "position").sortWithinPartitions("position").select(
+        F.concat("stanza", F.lit("\n")).alias("value")
+    ).write.text(path)
+    versions = releases.manifest_versions(releases.package_manifest(releases.read_manifest(w.spark, path)))
+    return versions.withColumn("release_date", F.col("release_date").cast("string"))
 
 
 _PLACED_SQL = """,
@@ -646,11 +650,20 @@ def ignore_paths(w: World) -> DataFrame:
 
 @query("classify_for_index", _PLACED_SQL + """
 SELECT doc_id, webroot_path, CASE WHEN webroot_path LIKE '%.js' THEN 'javascript' ELSE 'text' END AS file_type
-FROM placed WHERE webroot_path NOT LIKE '%.JSON5'""")
+FROM placed WHERE webroot_path NOT LIKE '%.JSON5'
+UNION ALL SELECT doc_id, concat('f', CAST(doc_id AS VARCHAR), ['.css', '.LESS', '.ini', '.ttf', '.po', '.xhtml', '.jpeg', '.js', '.json', '.swf', '.rst', '.xml', '.yml', '']
+    [CAST(doc_id % 14 AS INTEGER) + 1]), ['css', 'css', 'config', 'font', 'gettext', 'html', 'image', 'javascript', 'json', 'media', 'text', 'xml', 'yaml', 'extensionless']
+    [CAST(doc_id % 14 AS INTEGER) + 1] FROM documents
+UNION ALL SELECT doc_id, concat('.f', CAST(doc_id AS VARCHAR)), 'dotfile' FROM documents""")
 def classify_for_index(w: World) -> DataFrame:
+    """The placed files, and names of all types made from the documents."""
     from filespoor.functions.text import file_type
 
-    typed = _placed(w).withColumn("file_type", file_type(F.col("file_name")))
+    endings = F.array(*map(F.lit, (".css", ".LESS", ".ini", ".ttf", ".po", ".xhtml", ".jpeg", ".js", ".json", ".swf", ".rst", ".xml", ".yml", "")))
+    number = F.col("doc_id").cast("string")
+    names = F.array(F.concat(F.lit("f"), number, F.get(endings, (F.col("doc_id") % 14).cast("int"))), F.concat(F.lit(".f"), number))
+    made = w.table("documents").select("doc_id", F.explode(names).alias("webroot_path")).withColumn("file_name", F.col("webroot_path"))
+    typed = _placed(w).select("doc_id", "webroot_path", "file_name").unionByName(made).withColumn("file_type", file_type(F.col("file_name")))
     return typed.filter(F.col("file_type").isNotNull()).select("doc_id", "webroot_path", "file_type")
 
 
@@ -666,7 +679,7 @@ def fingerprint(w: World) -> DataFrame:
 
 
 @query("normalize", """
-SELECT json_extract_string(props, '$.k') AS k, count(*) AS copies, CAST(1 AS BIGINT) AS forms FROM events GROUP BY 1""")
+SELECT json_extract_string(props, '$.k') AS k, count(*) AS copies, CAST(1 AS BIGINT) AS forms, CAST(1 AS BIGINT) AS sharing FROM events GROUP BY 1""")
 def normalize(w: World) -> DataFrame:
     """Spacing and key order do not change the canonical checksum of structured content."""
     from filespoor.functions.fingerprint import canonical_checksum
@@ -676,9 +689,12 @@ def normalize(w: World) -> DataFrame:
         F.get_json_object("props", "$.k").alias("k"),
         canonical_checksum(F.lit("json"), F.encode(spaced, "UTF-8")).alias("checksum"),
     )
-    return summed.groupBy("k").agg(
-        F.count(F.lit(1)).alias("copies"), F.count_distinct("checksum").alias("forms")
+    by_k = summed.groupBy("k").agg(
+        F.count(F.lit(1)).alias("copies"), F.count_distinct("checksum").alias("forms"), F.min("checksum").alias("checksum")
     )
+    # different contents have different forms
+    sharing = by_k.groupBy("checksum").agg(F.count(F.lit(1)).alias("sharing"))
+    return by_k.join(sharing, "checksum").select("k", "copies", "forms", "sharing")
 
 
 @query("build_index", """,

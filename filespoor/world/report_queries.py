@@ -39,8 +39,9 @@ SELECT position, concat('http://', regexp_replace(url, '^https?://', '')) AS url
 def url_list_sites(w: World) -> DataFrame:
     """Page URLs as a list file; the slice is the feature."""
     path = w.workspace("urls").folder("txt")
-    listed = w.table("pages").orderBy("page_id").select(F.regexp_replace("url", "^https?://", "").alias("value"))
-    listed.coalesce(1).write.text(path)
+    # several files; their lines are numbered over all files in order
+    listed = w.table("pages").repartitionByRange(4, "page_id").sortWithinPartitions("page_id")
+    listed.select(F.regexp_replace("url", "^https?://", "").alias("value")).write.text(path)
     chosen = sites.slice_sites(sites.url_list(w.spark, path), 30, 5)
     return sites.site_urls(chosen, "url").select("position", "url")
 

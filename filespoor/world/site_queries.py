@@ -129,17 +129,25 @@ def clean_path_name_query(w: World) -> DataFrame:
 
 
 @query("included_assets", _PAGE_URL_SQL + _HREF_SQL + """
-SELECT DISTINCT h.page_id AS site_id, concat(scheme, '://', host, '/', CASE WHEN path IN ('', '/') THEN '' ELSE concat(trim(path, '/'), '/') END, ltrim(ref, '/')) AS url
-FROM href h JOIN page_url USING (page_id) WHERE NOT contains(ref, '.') AND NOT contains(ref, ':')""")
+,
+ref AS (
+    SELECT page_id, ref FROM href
+    UNION SELECT page_id, unnest(['css/site.CSS', 'https://cdn.example/lib.js?v=1', 'mailto:me@example.com', 'data.unknown', '.htaccess', 'ftp://x.example/a.js']) FROM pages),
+typed AS (
+    SELECT *, regexp_extract(ref, '^([A-Za-z][A-Za-z0-9+.-]*):', 1) AS own_scheme, split_part(regexp_extract(ref, '[^/]*$'), '?', 1) AS name FROM ref)
+SELECT DISTINCT h.page_id AS site_id, CASE WHEN own_scheme <> '' THEN ref ELSE
+    concat(scheme, '://', host, '/', CASE WHEN path IN ('', '/') THEN '' ELSE concat(trim(path, '/'), '/') END, ltrim(ref, '/')) END AS url
+FROM typed h JOIN page_url USING (page_id)
+WHERE own_scheme IN ('', 'http', 'https') AND (NOT contains(name, '.') OR starts_with(name, '.') OR lower(regexp_extract(name, '[^.]*$')) IN (
+    'conf', 'dist', 'ini', 'css', 'less', 'scss', 'ttf', 'mo', 'po', 'htm', 'html', 'xhtml', 'gif', 'ico', 'jpeg', 'jpg', 'png', 'svg', 'js', 'json',
+    'swf', 'xap', 'markdown', 'md', 'rst', 'txt', 'xml', 'yaml', 'yml'))""")
 def included_assets(w: World) -> DataFrame:
-    """Links of the pages that name files without an extension."""
-    pages = w.table("pages")
-    parsed = page_signals(pages, "page_id", "html", ("a",)).join(pages.select("page_id", "url"), "page_id")
-    plain = parsed.select(
-        F.col("page_id").alias("site_id"), "url",
-        F.filter("refs", lambda r: ~F.contains(r, F.lit(".")) & ~F.contains(r, F.lit(":"))).alias("refs"),
-    )
-    return signals.included_assets(plain, F.col("url"), analysis_only=False)
+    """All links of the pages, with some of other kinds added to each page."""
+    pages = w.table("pages").repartition(w.spark.sparkContext.defaultParallelism)
+    parsed = page_signals(pages, "page_id", "html", ("a",), ("url",))
+    added = ("css/site.CSS", "https://cdn.example/lib.js?v=1", "mailto:me@example.com", "data.unknown", ".htaccess", "ftp://x.example/a.js")
+    linked = parsed.select(F.col("page_id").alias("site_id"), "url", F.concat("refs", F.array(*map(F.lit, added))).alias("refs"))
+    return signals.included_assets(linked, F.col("url"), analysis_only=False)
 
 
 # --- page signals ------------------------------------------------------------
@@ -149,18 +157,19 @@ digit AS (SELECT n_name AS app, concat('<!-- AD \\d*', CAST(n_nationkey % 10 AS
 matched AS (
     SELECT page_id AS site_id, app FROM pages JOIN digit ON regexp_matches(html, concat('(?i)', pattern))
     UNION SELECT page_id, 'alt-1' FROM pages WHERE regexp_matches(url, '^https')
-    UNION SELECT page_id, 'alt-2' FROM pages WHERE regexp_matches(html, '<meta charset="utf-8">'))
+    UNION SELECT page_id, 'alt-2' FROM pages WHERE regexp_matches(html, '<meta charset="utf-8">')
+    UNION SELECT page_id, 'alt-3' FROM pages WHERE regexp_matches(url, '(?i)PAGE=\\d+'))
 """
 
 
 def _rule_matches(w: World) -> DataFrame:
-    """Rules from the nations on the text of pages, and on headers made from their URL."""
+    """Rules from the nations on the text of pages, and on headers and script sources made from their URL."""
     rules = w.table("nation").select(
         F.col("n_name").alias("app"), F.lit("html").alias("kind"), F.lit(None).cast("string").alias("field"),
         F.concat(F.lit("<!-- AD \\d*"), (F.col("n_nationkey") % 10).cast("string"), F.lit(" -->\\;version:\\1")).alias("pattern"),
     ).union(
         w.spark.createDataFrame(
-            [("alt-1", "headers", "X-Scheme", "HTTPSS"), ("alt-2", "meta", "CHARSET", "UTF")],
+            [("alt-1", "headers", "X-Scheme", "HTTPSS"), ("alt-2", "meta", "CHARSET", "UTF"), ("alt-3", "script", None, "PAGE=\\d+")],
             "app STRING, kind STRING, field STRING, pattern STRING",
         )
     )
@@ -170,7 +179,7 @@ def _rule_matches(w: World) -> DataFrame:
         F.array(F.struct(F.lit("x-scheme").alias("name"), F.concat(urls.scheme(F.col("url")), F.lit("s")).alias("value"))).alias("headers"),
         F.when(F.contains("html", F.lit('<meta charset="utf-8">')),
                F.array(F.struct(F.lit("charset").alias("name"), F.lit("utf-8").alias("content")))).alias("metas"),
-        F.array(F.lit("")).alias("script_srcs"),
+        F.array(F.lit(""), "url").alias("script_srcs"),
     )
     return signals.tech_rule_match(text, rules)
 
@@ -339,7 +348,7 @@ def best_guesses(w: World) -> DataFrame:
 
 
 @query("best_tie_group", """
-SELECT site_id, version_id FROM best_guess JOIN site_support USING (site_id) WHERE strength_nano = best_nano""")
+SELECT site_id, version_id FROM (SELECT *, max(strength_nano) OVER (PARTITION BY site_id) AS top FROM best_guess) WHERE strength_nano = top""")
 def best_tie_group(w: World) -> DataFrame:
     return scoring.best_tie_group(_best(w)).select("site_id", "version_id")
 
@@ -359,7 +368,8 @@ def guess_support(w: World) -> DataFrame:
 
 @query("decisiveness", """
 SELECT site_id, CASE WHEN n_guesses = 1 THEN best_nano / 1e9 ELSE (n_guesses * best_nano - total)::DOUBLE / n_guesses / 1e9 END AS decisiveness
-FROM site_support JOIN (SELECT site_id, CAST(sum(strength_nano) AS BIGINT) AS total FROM best_guess GROUP BY site_id) USING (site_id)""")
+FROM (SELECT site_id, count(*) AS n_guesses, max(strength_nano) AS best_nano, CAST(sum(strength_nano) AS BIGINT) AS total
+      FROM best_guess GROUP BY site_id)""")
 def decisiveness(w: World) -> DataFrame:
     return scoring.decisiveness(_best(w))
 
@@ -374,14 +384,11 @@ def initial_candidates(w: World) -> DataFrame:
 
 
 @query("guess_label", """
-SELECT site_id, version_id, concat(name, ' (+', CAST(n_pos AS VARCHAR), '[', CAST(pos_micro AS VARCHAR), ']-', CAST(n_neg AS VARCHAR), '[', CAST(neg_micro AS VARCHAR), '])') AS label
+SELECT site_id, version_id, concat(name, ' (+', CAST(n_pos AS VARCHAR), '[', CAST(pos_micro // 1000000 AS VARCHAR), '.', lpad(CAST(pos_micro % 1000000 AS VARCHAR), 6, '0'),
+    ']-', CAST(n_neg AS VARCHAR), '[', CAST(neg_micro // 1000000 AS VARCHAR), '.', lpad(CAST(neg_micro % 1000000 AS VARCHAR), 6, '0'), '])') AS label
 FROM best_guess JOIN software_version USING (version_id)""")
 def guess_label(w: World) -> DataFrame:
-    """Labels with strengths in whole micro units, whose text is the same everywhere."""
-    label = F.format_string(
-        "%s (+%d[%d]-%d[%d])", "name", "n_pos", "pos_micro", "n_neg", "neg_micro"
-    )
-    return _best(w).join(w.versions, "version_id").select("site_id", "version_id", label.alias("label"))
+    return _best(w).join(w.versions, "version_id").select("site_id", "version_id", scoring.guess_label(F.col("name")).alias("label"))
 
 
 @query("probe_prefix", """,

@@ -73,7 +73,7 @@ def main() -> int:
     import __spark_entry__ as entry
 
     folder, names = sys.argv[1], sys.argv[2:]
-    spark = build_session("compare", "local[8]", spark__sql__shuffle__partitions="8", spark__ui__enabled="false",
+    spark = build_session("compare", "local[4]", spark__sql__shuffle__partitions="8", spark__ui__enabled="false",
                           spark__driver__memory="12g", spark__driver__maxResultSize="4g")
     spark.sparkContext.setLogLevel("ERROR")
     con = duck(folder)
