@@ -25,12 +25,19 @@ GUESS_COLUMNS = ["site_id", "version_id", "rank", *scoring.SCORE_COLUMNS, "stren
 
 @dataclass(frozen=True)
 class Inference:
-    """``sites``: outcome per site. ``guesses``: answer. ``trace``: one row per round and site."""
+    """What is known of every site, and the record of how it came about.
+
+    ``sites``: outcome per site with its finish reason. ``guesses``: answer. ``trace``: one
+    row per round and site. ``probes``: one row per requested path of a round. ``listed``:
+    the guesses after each round, round 0 being the first ones.
+    """
 
     sites: DataFrame
     guesses: DataFrame
     assets: DataFrame
     trace: DataFrame
+    probes: DataFrame
+    listed: DataFrame
 
 
 ASSET_COLUMNS = ["site_id", "url", "webroot_path", "success", "checksum", "found", "weight_micro"]
@@ -161,6 +168,8 @@ def infer_sites(
         _outcome(state.join(guesses.select("site_id").distinct(), "site_id", "left_anti"), 0)
     ]
     traces: list[DataFrame] = []
+    rounds: list[DataFrame] = []
+    listed: list[DataFrame] = [guesses.select(*GUESS_COLUMNS).withColumn("round", F.lit(0))]
     all_assets: list[DataFrame] = [assets]
 
     for number in range(1, params.max_iterations + 1):
@@ -176,10 +185,12 @@ def infer_sites(
             scoring.probe_prefix(request(fresh, responses, params, strict_paths), params.min_assets_per_iteration),
             f"probes-{number}",
         )
+        rounds.append(probes.select(*ASSET_COLUMNS, "rank").withColumn("round", F.lit(number)))
         requested = probes.select(*ASSET_COLUMNS)
         all_assets.append(requested)
         scored = save(scoring.add_scores(scored, match(requested)), f"scores-{number}")
         new_guesses = save(rank(scored), f"guesses-{number}")
+        listed.append(new_guesses.withColumn("round", F.lit(number)))
         served = probes.groupBy("site_id").agg(
             F.bool_or("success").alias("served"), F.count(F.lit(1)).alias("probed")
         )
@@ -210,6 +221,13 @@ def infer_sites(
                 | ((F.col("n_guesses") == 1) & F.col("enough"))
                 | F.lit(number == params.max_iterations),
             )
+            .withColumn(
+                "finish_reason",
+                F.when(F.col("n_guesses") == 0, "no guess left")
+                .when(F.col("streak") >= params.max_iterations_without_improvement, "no improvement")
+                .when((F.col("n_guesses") == 1) & F.col("enough"), "decided")
+                .when(F.lit(number == params.max_iterations), "iteration limit"),
+            )
             .withColumn("decisiveness", F.col("new_decisiveness"))
             .drop("new_decisiveness"),
             f"state-{number}",
@@ -232,6 +250,8 @@ def infer_sites(
         guesses=scoring.best_tie_group(answers),
         assets=reduce(DataFrame.unionByName, all_assets),
         trace=reduce(DataFrame.unionByName, traces),
+        probes=reduce(DataFrame.unionByName, rounds),
+        listed=reduce(DataFrame.unionByName, listed),
     )
 
 
@@ -250,6 +270,7 @@ def _outcome(state: DataFrame, number: int) -> DataFrame:
         column("n_guesses", "bigint"),
         column("n_assets", "bigint"),
         column("support", "double"),
+        F.coalesce(column("finish_reason", "string"), F.lit("no guess")).alias("finish_reason"),
         F.coalesce(column("enough", "boolean"), F.lit(False)).alias("has_result"),
     )
 

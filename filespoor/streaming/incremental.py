@@ -7,10 +7,13 @@ failure writes the same rows again, because what is stored already is left out.
 from __future__ import annotations
 
 import hashlib
+import uuid
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, functions as F, types as T
+from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
+from filespoor.plans.index_build import update_index
+from filespoor.sources.index_store import Index, empty_index, read_index
 from filespoor.sources.scan_results import append_results, check_identifier
 
 
@@ -70,3 +73,46 @@ def incremental_index(
         fresh.write.mode("overwrite").parquet(f"{path}/stream={stream}/batch={number}")
 
     _run(source, checkpoint, handle)
+
+
+_SNAPSHOT = T.StructType([
+    T.StructField("sequence", T.LongType()), T.StructField("snapshot", T.StringType()),
+    T.StructField("stream", T.StringType()), T.StructField("batch", T.LongType()),
+])
+
+
+def _snapshots(spark: SparkSession, path: str) -> DataFrame:
+    """The log of finished snapshots; a new one starts empty."""
+    spark.createDataFrame([], _SNAPSHOT).write.mode("append").parquet(f"{path}/log")
+    return spark.read.schema(_SNAPSHOT).parquet(f"{path}/log")
+
+
+def latest_index(spark: SparkSession, path: str) -> Index:
+    """The index of the last finished snapshot."""
+    last = _snapshots(spark, path).orderBy(F.desc("sequence")).first()
+    return read_index(spark, last.snapshot) if last else empty_index(spark)
+
+
+def incremental_snapshots(
+    source: DataFrame, definitions: DataFrame, available: DataFrame, path: str, checkpoint: str
+) -> None:
+    """Extend an index by a stream of release files, one snapshot per batch.
+
+    A snapshot gets a folder of its own and counts once it is logged; a batch that is
+    repeated after that adds nothing. All files of a version have to arrive in one batch.
+    One stream at a time may write to ``path``.
+    """
+    stream = hashlib.sha256(checkpoint.encode()).hexdigest()[:16]
+
+    def handle(batch: DataFrame, number: int) -> None:
+        spark = batch.sparkSession
+        log = _snapshots(spark, path)
+        if log.filter((F.col("stream") == stream) & (F.col("batch") == number)).limit(1).count():
+            return
+        last = log.orderBy(F.desc("sequence")).first()
+        target = f"{path}/snapshots/{uuid.uuid4().hex}"
+        update_index(spark, last.snapshot if last else None, target, definitions, available, batch)
+        entry = (last.sequence + 1 if last else 0, target, stream, number)
+        spark.createDataFrame([entry], _SNAPSHOT).coalesce(1).write.mode("append").parquet(f"{path}/log")
+
+    _run(source, checkpoint, handle)

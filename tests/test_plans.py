@@ -71,6 +71,10 @@ def test_inference_equals_brute_force(spark, seed):
     assert {s: sorted(v) for s, v in answers.items()} == {s: a for s, (a, _) in want.items() if a}
     assert answers and len(answers) < len(listed)
     assert result.trace.count() == sum(rounds.values())
+    record = result.probes.groupBy("site_id").agg({"round": "max"}).collect()
+    assert record and all(last <= rounds[site] for site, last in record)
+    assert {r.finish_reason for r in result.sites.collect()} <= {"no guess", "no guess left", "no improvement", "decided", "iteration limit"}
+    assert result.listed.filter("round = 0").count() > 0
 
 
 DEFS = [("alpha", "A", ["al"], "tags", r"^v(\d+)$", 1, None, False, [("/", "/")], None),
@@ -119,6 +123,75 @@ def test_index_build_update_and_gc(spark):
     assert index_build.select_definitions(defs, "AL*").count() == 1
 
 
+def test_version_without_files_stays_missing(spark):
+    defs, available, files = inputs(spark)
+    space = Workspace(spark, "late")
+    first, second = space.folder("one"), space.folder("two")
+    built = index_build.update_index(spark, None, first, defs, available, files.filter("version <> 'v2'"))
+    assert built.versions.count() == 3 and built.indexed_versions().count() == 2
+    assert index_build.update_index(spark, first, second, defs, available, files).indexed_versions().count() == 3
+
+
+def test_streams_lose_and_repeat_nothing(spark):
+    from filespoor.streaming import incremental
+
+    space = Workspace(spark, "streams")
+    rows = space.folder("in")
+    spark.createDataFrame([(1, "a"), (1, "b")], "version_id BIGINT, path STRING").coalesce(1).write.parquet(rows)
+    index = space.folder("index")
+
+    def stream(folder):
+        return spark.readStream.schema("version_id BIGINT, path STRING").parquet(folder)
+
+    incremental.incremental_index(stream(rows), lambda b: b, index, space.folder("p1"))
+    more = space.folder("more")
+    spark.createDataFrame([(1, "c"), (2, "d")], "version_id BIGINT, path STRING").coalesce(1).write.parquet(more)
+    incremental.incremental_index(stream(more), lambda b: b, index, space.folder("p2"))
+    assert sorted((r.version_id, r.path) for r in spark.read.parquet(index).collect()) == [(1, "a"), (1, "b"), (2, "d")]
+
+    def scanned(batch):
+        return batch.selectExpr("concat('u', version_id) url", "current_timestamp() scan_time", "path result")
+
+    results = space.folder("results")
+    incremental.incremental_scan(stream(rows), scanned, results, space.folder("p3"), "t")
+    incremental.incremental_scan(stream(more), scanned, results, space.folder("p4"), "t")
+    assert sorted(r.url for r in scan_results.read_results(spark, results).collect()) == ["u1", "u2"]
+    with_id = scanned(spark.createDataFrame([(3, "x"), (3, "y")], "version_id BIGINT, path STRING")).selectExpr("*", "'t' scan_identifier")
+    scan_results.append_results(with_id, results)
+    scan_results.append_results(with_id, results)
+    assert scan_results.read_results(spark, results).count() == 3
+
+
+def test_stream_of_releases_yields_index_snapshots(spark):
+    from filespoor.streaming import incremental
+
+    defs, available, files = inputs(spark)
+    space = Workspace(spark, "snapshots")
+    rows, path, progress = space.folder("in"), space.folder("index"), space.folder("progress")
+    assert incremental.latest_index(spark, path).versions.count() == 0
+    files.filter("version <> 'v2'").coalesce(1).write.parquet(rows)
+
+    def run():
+        source = spark.readStream.schema(schema.RELEASE_FILE).parquet(rows)
+        incremental.incremental_snapshots(source, defs, available, path, progress)
+        return incremental.latest_index(spark, path)
+
+    assert run().indexed_versions().count() == 2
+    files.filter("version = 'v2'").coalesce(1).write.mode("append").parquet(rows)
+    assert run().indexed_versions().count() == 3
+    last = run()
+    assert last.indexed_versions().count() == 3 and last.files.count() == 5
+
+
+def test_natural_key_compares_long_numbers(spark):
+    from filespoor.functions.text import natural_key
+    from pyspark.sql import functions as F
+
+    names = ["a2", "a010", "a" + "9" * 45, "a1" + "0" * 45, "b"]
+    df = spark.createDataFrame([(n,) for n in reversed(names)], "n STRING")
+    assert [r.n for r in df.orderBy(natural_key(F.col("n"))).collect()] == names
+
+
 def test_definitions_table(spark):
     defs = releases.definitions(spark)
     assert defs.count() == 19 and defs.filter("version_group > 0").count() == 7
