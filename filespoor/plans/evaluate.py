@@ -14,10 +14,12 @@ from filespoor.sources.index_store import Index
 def evaluate_scan(results: DataFrame, index: Index, vulnerable: DataFrame, workspace: Workspace) -> DataFrame:
     """``(report, key, results)`` of every report over the results of a scan.
 
-    The flags per result, which need the index, are worked out once and written.
+    The guesses, which are parsed, and the flags per result, which need the index, are
+    worked out once and written.
     """
+    rows = workspace.save(reports.guesses(results), "guesses")
     by_url = workspace.save(
-        reports.vulnerability_by_url(results, index.packages, index.versions, vulnerable), "by-url"
+        reports.vulnerability_by_url(rows, index.packages, index.versions, vulnerable), "by-url"
     )
     totals = reports.vulnerable_totals(results, by_url)
     names = totals.columns
@@ -26,8 +28,8 @@ def evaluate_scan(results: DataFrame, index: Index, vulnerable: DataFrame, works
         _keyed("available", F.lit(""), reports.available_count(results)),
         _keyed("with guesses", F.lit(""), reports.result_count(results)),
         _keyed("guesses", F.col("guesses"), reports.guess_counts(results)),
-        _keyed("package", F.col("package_name"), reports.package_counts(results)),
-        _keyed("packages", F.col("packages"), reports.distinct_package_counts(results)),
+        _keyed("package", F.col("package_name"), reports.package_counts(rows)),
+        _keyed("packages", F.col("packages"), reports.distinct_package_counts(results, rows)),
         _keyed("vulnerable", F.col("key"), totals.selectExpr(f"stack({len(names)}, {pairs}) AS (key, results)")),
     ]
     return reduce(DataFrame.unionByName, parts)

@@ -226,14 +226,15 @@ def report_guess_counts(w: World) -> DataFrame:
 
 @query("report_package_counts", "SELECT package_name, count(DISTINCT url) AS results FROM result_guess GROUP BY package_name")
 def report_package_counts(w: World) -> DataFrame:
-    return reports.package_counts(_stored(w))
+    return reports.package_counts(reports.guesses(_stored(w)))
 
 
 @query("report_distinct_packages", """
 SELECT CAST(0 AS BIGINT) AS packages, count(*) AS results FROM result_site WHERE guesses = 0
 UNION SELECT n, count(*) FROM (SELECT url, count(DISTINCT package_name) AS n FROM result_guess GROUP BY url) GROUP BY n""")
 def report_distinct_packages(w: World) -> DataFrame:
-    return reports.distinct_package_counts(_stored(w))
+    results = _stored(w)
+    return reports.distinct_package_counts(results, reports.guesses(results))
 
 
 _BY_URL_SQL = """,
@@ -256,7 +257,8 @@ SELECT (SELECT count(*) FROM result_site) AS total, count(*) AS total_with_guess
        count(*) FILTER (all_versions) AS all_vulnerable, count(*) FILTER (any_version) AS any_vulnerable FROM rated""")
 def report_vulnerable(w: World) -> DataFrame:
     results = _stored(w)
-    by_url = reports.vulnerability_by_url(results, w.packages, w.versions, w.vulnerable)
+    rows = w.workspace("report").save(reports.guesses(results), "guesses")
+    by_url = reports.vulnerability_by_url(rows, w.packages, w.versions, w.vulnerable)
     return reports.vulnerable_totals(results, by_url)
 
 
@@ -264,7 +266,8 @@ def report_vulnerable(w: World) -> DataFrame:
 SELECT package_name, count(*) AS total, count(*) FILTER (most_recent) AS most_recent_vulnerable,
        count(*) FILTER (all_versions) AS all_vulnerable, count(*) FILTER (any_version) AS any_vulnerable FROM rated GROUP BY package_name""")
 def report_vulnerable_by_package(w: World) -> DataFrame:
-    by_url = reports.vulnerability_by_url(_stored(w), w.packages, w.versions, w.vulnerable)
+    rows = w.workspace("report").save(reports.guesses(_stored(w)), "guesses")
+    by_url = reports.vulnerability_by_url(rows, w.packages, w.versions, w.vulnerable)
     return reports.vulnerable_by_package(by_url)
 
 
