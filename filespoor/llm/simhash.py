@@ -143,10 +143,13 @@ def links(prints: DataFrame, space: Workspace, most: int = MAX_BITS, runs: int =
     """
     if runs <= most:
         raise ValueError("runs must be more than the differing bits")
-    dealt = space.save(grid(prints, cells(runs, runs - most)), "cells")
-    many = dealt.groupBy("cell").agg(F.count("*").alias("n")).filter("n > 1")
-    # a cell in blocks of about ``block`` members; each pair of blocks is a group
-    sized = dealt.join(many, "cell").withColumn("blocks", F.expr(f"cast(ceil(n / {block}) as int)"))
+    dealt = grid(prints, cells(runs, runs - most))
+    large = space.save(
+        dealt.groupBy("cell").agg(F.count("*").alias("n")).filter(F.col("n") > block)
+        .select("cell", F.expr(f"cast(ceil(n / {block}) as int) blocks")), "large"
+    )
+    # a large cell in blocks of about ``block`` members; each pair of blocks is a group
+    sized = dealt.join(large, "cell", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
     own = F.expr("cast(pmod(xxhash64(fp), blocks) as int)")
     groups = sized.withColumn("own", own).select(
         "cell", "blocks", "fp", "own", F.explode(F.expr("sequence(0, blocks - 1)")).alias("other")
