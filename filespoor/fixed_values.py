@@ -82,3 +82,9 @@ DEFINITIONS = (
 
 # Packages whose version name is derived from the whole tag: 6-2-1 -> 6.2.1
 DASHED_TAG_PACKAGES = ("TYPO3",)
+
+# --- patterns of names -------------------------------------------------------
+DASHED_TAG, DOTTED_TAG = r"(\d+)-(\d+)-(\d+)(.*)", "$1.$2.$3-$4"
+VERSION_GROUP = "version_name"
+RULE_VERSION = r"\\;version:.*$"
+NOT_IN_PATH_NAMES = r"[^A-Za-z0-9\-_.()=\[\]{}\\]"

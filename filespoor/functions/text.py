@@ -15,15 +15,15 @@ def basename(url: Column) -> Column:
     return F.substring_index(F.substring_index(url, "/", -1), "?", 1)
 
 
-def file_type(name: Column, analysis_only: bool = False) -> Column:
-    """Type of a file by its name, NULL for none.
+def file_type(name: Column, analysis_only: bool = False, types: tuple = fv.FILE_TYPES) -> Column:
+    """Type of a file by its name, NULL for none. ``types`` are rows like those of ``FILE_TYPES``.
 
     A known extension wins over the leading dot of a dotfile.
     """
     lower = F.lower(name)
     extension = F.when(F.contains(lower, F.lit(".")), F.substring_index(lower, ".", -1))
     kinds = F.when(F.lit(False), F.lit(None).cast("string"))
-    for kind, extensions, for_analysis, for_index, _ in fv.FILE_TYPES:
+    for kind, extensions, for_analysis, for_index, _ in types:
         if for_analysis if analysis_only else for_index:
             kinds = kinds.when(extension.isin(*extensions), F.lit(kind))
     kinds = kinds.when(F.startswith(name, F.lit(".")), F.lit("dotfile"))
@@ -32,13 +32,8 @@ def file_type(name: Column, analysis_only: bool = False) -> Column:
     return kinds
 
 
-def is_canonical(kind: Column) -> Column:
-    """Whether files of this type are fingerprinted on their canonical form."""
-    return kind.isin(*[name for name, _, _, _, basis in fv.FILE_TYPES if basis == "canonical"])
-
-
 def clean_path_name(name: Column) -> Column:
-    return F.regexp_replace(F.replace(name, F.lit("/"), F.lit("_")), r"[^A-Za-z0-9\-_.()=\[\]{}\\]", "")
+    return F.regexp_replace(F.replace(name, F.lit("/"), F.lit("_")), fv.NOT_IN_PATH_NAMES, "")
 
 
 def default_scheme(url: Column) -> Column:
@@ -67,13 +62,13 @@ def natural_key(name: Column) -> Column:
 
 def dashed_tag_name(tag: Column) -> Column:
     """``X_6-2-1rc`` -> ``x_6.2.1-rc``: dots between the first three numbers, lower case."""
-    dotted = F.lower(F.regexp_replace(tag, r"(\d+)-(\d+)-(\d+)(.*)", "$1.$2.$3-$4"))
+    dotted = F.lower(F.regexp_replace(tag, fv.DASHED_TAG, fv.DOTTED_TAG))
     return F.regexp_replace(dotted, "-$", "")
 
 
 def clean_rule_pattern(pattern: Column) -> Column:
     """Cut the version extraction part of a technology rule."""
-    return F.regexp_replace(pattern, r"\\;version:.*$", "")
+    return F.regexp_replace(pattern, fv.RULE_VERSION, "")
 
 
 def glob_regex(glob: str) -> str:
@@ -85,7 +80,7 @@ def java_regex(pattern: str | None) -> tuple[str | None, int]:
     """A Python pattern without named groups, and the number of its ``version_name`` group."""
     if pattern is None:
         return None, 0
-    group = re.compile(pattern).groupindex.get("version_name", 0)
+    group = re.compile(pattern).groupindex.get(fv.VERSION_GROUP, 0)
     return re.sub(r"\(\?P<\w+>", "(", pattern), group
 
 

@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Mapping
+
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
-from filespoor.functions.fingerprint import index_entry
+from filespoor import fixed_values as fv
+from filespoor.functions.fingerprint import NORMALIZERS, index_entry
 from filespoor.functions.text import file_type, matches_at_start
 from filespoor.functions.urls import join_paths, strip_slash
 
@@ -53,17 +56,23 @@ def drop_ignored(placed: DataFrame) -> DataFrame:
     return placed.filter(~ignored).drop("ignore_paths")
 
 
-def fingerprint_files(placed: DataFrame, raw: bool = False) -> DataFrame:
+def fingerprint_files(
+    placed: DataFrame, raw: bool = False, types: tuple = fv.FILE_TYPES,
+    normalizers: Mapping[str, Callable[[bytes], bytes]] = NORMALIZERS,
+) -> DataFrame:
     """Classify by name and replace ``content`` by ``file_type`` and ``checksum``.
 
+    ``types`` and ``normalizers`` say which types there are and how files of a type are
+    brought into canonical form; others can be added to those of the package.
+
     Structured files that cannot be parsed are dropped, unless their name also has a
     leading dot: those count as dotfiles and keep their raw checksum.
     """
-    typed = placed.withColumn("file_type", file_type(F.col("file_name"))).filter(
+    typed = placed.withColumn("file_type", file_type(F.col("file_name"), types=types)).filter(
         F.col("file_type").isNotNull()
     )
     hidden = F.startswith(F.col("file_name"), F.lit("."))
-    made = typed.withColumn("_entry", index_entry(F.col("file_type"), hidden, F.lit(raw), F.col("content")))
+    made = typed.withColumn("_entry", index_entry(F.col("file_type"), hidden, F.col("content"), raw, normalizers))
     kept = made.drop("content", "file_name", "file_type").filter("_entry.keep")
     return kept.withColumns({c: F.col(f"_entry.{c}") for c in ("file_type", "checksum")}).drop("_entry")
 

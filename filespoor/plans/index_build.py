@@ -22,10 +22,13 @@ def available_with_ids(available: DataFrame, packages: DataFrame) -> DataFrame:
     return available.join(ids, "package").select("package_id", "package", "name", "internal_identifier", "release_date")
 
 
-def fingerprinted_files(release_files: DataFrame, definitions: DataFrame, raw: bool = False) -> DataFrame:
-    """``(package, version, src_path, webroot_path, file_type, checksum)`` of release files."""
+def fingerprinted_files(release_files: DataFrame, definitions: DataFrame, raw: bool = False, **kinds) -> DataFrame:
+    """``(package, version, src_path, webroot_path, file_type, checksum)`` of release files.
+
+    ``kinds`` are ``types`` and ``normalizers`` of ``fingerprint_files``.
+    """
     placed = build.drop_ignored(build.expand_path_map(release_files, definitions))
-    return build.fingerprint_files(placed, raw)
+    return build.fingerprint_files(placed, raw, **kinds)
 
 
 def build_index(
@@ -35,6 +38,7 @@ def build_index(
     release_files: DataFrame,
     workspace: Workspace,
     raw: bool = False,
+    **kinds,
 ) -> Index:
     """The index with all available versions that were missing and have files.
 
@@ -56,7 +60,7 @@ def build_index(
     )
     wanted = release_files.join(todo, ["package", "version"])
     found = workspace.save(
-        fingerprinted_files(wanted, definitions, raw).select("version_id", *build.FILE_KEY), "found"
+        fingerprinted_files(wanted, definitions, raw, **kinds).select("version_id", *build.FILE_KEY), "found"
     )
     files = workspace.save(build.static_files_dim(index.files, found), "files")
     # also versions of which every file is ignored have been read

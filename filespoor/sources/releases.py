@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from collections.abc import Callable, Mapping
+
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from filespoor import fixed_values as fv, schema
 from filespoor.functions.text import dashed_tag_name, java_regex, matches_at_start
@@ -46,12 +48,15 @@ def read_release_files(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(schema.RELEASE_FILE).parquet(path)
 
 
-def version_refs(refs: DataFrame, defs: DataFrame) -> DataFrame:
+def version_refs(
+    refs: DataFrame, defs: DataFrame, derive: Mapping[str, Callable[[Column], Column]] | None = None
+) -> DataFrame:
     """``(package, name, internal_identifier, release_date)`` of accepted tags.
 
     A tag must fit the version pattern from its start and not the exclude pattern. The
     named group gives the version name, the whole tag if there is none; packages with
-    dashed tags derive the name from the whole tag.
+    dashed tags derive the name from the whole tag. ``derive`` has, by package, functions
+    of the tag that make the name instead.
     """
     tag = F.regexp_extract("ref", "^refs/tags/(.*)$", 1)
     tags = refs.filter(F.startswith("ref", F.lit("refs/tags/"))).withColumn("tag", tag)
@@ -67,6 +72,8 @@ def version_refs(refs: DataFrame, defs: DataFrame) -> DataFrame:
         .when(F.col("version_pattern").isNotNull() & (F.col("version_group") > 0), group)
         .otherwise(F.col("tag"))
     )
+    for package, make in (derive or {}).items():
+        name = F.when(F.col("package") == package, make(F.col("tag"))).otherwise(name)
     return joined.filter(fits & ~excluded).select(
         "package",
         name.alias("name"),

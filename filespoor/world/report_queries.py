@@ -338,7 +338,14 @@ def content_crawl(w: World) -> tuple[DataFrame, DataFrame, index_store.Index, Da
         languages, versions, keyed.drop("version_id").distinct(), keyed.select("version_id", "file_id")
     )
     site_list = runs.select("site_id", host.alias("url"))
-    return site_list, pages.unionByName(bodies), index, w.spark.createDataFrame([], schema.TECH_RULE)
+    # each language is named by its generator tag and by a pattern of the page
+    rules = languages.select(
+        F.col("name").alias("app"), F.explode(F.array(
+            F.struct(F.lit("meta").alias("kind"), F.lit("Generator").alias("field"), F.col("name").alias("pattern")),
+            F.struct(F.lit("html").alias("kind"), F.lit(None).cast("string").alias("field"), F.concat(F.lit('content="'), "name", F.lit('"')).alias("pattern")),
+        )).alias("rule")
+    ).select("app", "rule.*")
+    return site_list, pages.unionByName(bodies), index, rules
 
 
 @query("scan_batch")

@@ -25,4 +25,13 @@ def test_query_equals_check(spark, duck, name):
 
 
 def test_entry_has_rows(spark):
-    assert entry.entry(spark).limit(1).count() == 1
+    """The flagship with generated code, as in production; the other tests switch it off."""
+    names = ("spark.sql.codegen.wholeStage", "spark.sql.codegen.factoryMode")
+    before = [spark.conf.get(name) for name in names]
+    try:
+        spark.conf.set(names[0], "true")
+        spark.conf.set(names[1], "FALLBACK")
+        assert entry.entry(spark).count() > 1000
+    finally:
+        for name, value in zip(names, before):
+            spark.conf.set(name, value)

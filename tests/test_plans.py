@@ -123,6 +123,20 @@ def test_index_build_update_and_gc(spark):
     assert index_build.select_definitions(defs, "AL*").count() == 1
 
 
+def test_own_types_normalizers_and_names(spark):
+    from filespoor import fixed_values as fv
+    from filespoor.functions.fingerprint import NORMALIZERS
+
+    defs, _, files = inputs(spark)
+    types = (*fv.FILE_TYPES, ("archive", ("tar",), False, True, "canonical"))
+    kinds = {"types": types, "normalizers": NORMALIZERS | {"archive": lambda content: content.upper()}}
+    found = {r.src_path: (r.file_type, bytes(r.checksum)) for r in index_build.fingerprinted_files(files, defs, **kinds).collect()}
+    assert found["x.tar"] == ("archive", checksum(b"T")) and found["a.js"][0] == "javascript" and "bad.json" not in found
+    refs = spark.createDataFrame([("alpha", "refs/tags/v1", 1000, 0), ("beta", "refs/tags/r1", 3000, 0)], schema.TAG_REF)
+    named = releases.version_refs(refs, defs, {"alpha": lambda tag: F.concat(F.lit("release "), tag)})
+    assert {(r.package, r.name) for r in named.collect()} == {("alpha", "release v1"), ("beta", "r1")}
+
+
 def test_version_without_files_stays_missing(spark):
     defs, available, files = inputs(spark)
     space = Workspace(spark, "late")
