@@ -57,10 +57,12 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def fit(labelled: DataFrame, rows: int = SAMPLE_ROWS) -> tuple[list[str], np.ndarray]:
     """Languages and log probabilities (language, bucket) from ``labelled`` (doc_id, lang, text).
 
-    At most ``rows`` rows are read for it, chosen by a hash of their ids; at most MAX_LANGUAGES of their languages stay.
+    The rows of at most ``rows`` ids are read for it, chosen by a hash; at most MAX_LANGUAGES of their languages stay.
     """
-    known = labelled.filter("lang is not null and text is not null").select("doc_id", F.col("lang").cast("string"), F.col("text").cast("string"))
-    sample = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
+    known = labelled.filter("doc_id is not null and lang is not null and text is not null")
+    # ids first, so that no task gets the texts of all tasks' candidates
+    chosen = known.select("doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
+    sample = known.join(F.broadcast(chosen.distinct()), "doc_id", "left_semi").select(F.col("lang").cast("string"), F.col("text").cast("string"))
     counted = sample.select("lang", "text").mapInArrow(_count, "lang string, bucket long, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n"))
     # at most ``rows`` languages, BUCKETS each
     found: dict[str, np.ndarray] = {}
