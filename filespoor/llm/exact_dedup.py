@@ -51,9 +51,10 @@ def exact_dedup(
     hashed = space.save(marked.select("doc_id", "n_chars", "open", "sha"), "hashed")
     left = hashed.filter("open")
     # the greatest (length, -id) is the longest text and the smallest id; null ids sort lowest
-    groups = left.groupBy("sha").agg(
+    # written, so that the join below deals out both of its sides and can split a large group
+    groups = space.save(left.groupBy("sha").agg(
         F.count("*").alias("group_size"), F.max(F.struct("n_chars", (-F.col("doc_id")).alias("neg"))).alias("best")
-    ).select("sha", "group_size", (-F.col("best.neg")).alias("keep_id"))
+    ).select("sha", "group_size", (-F.col("best.neg")).alias("keep_id")), "groups")
     columns = ("doc_id", "keep_id", "group_size", F.expr("doc_id <=> keep_id").alias("kept"), F.col("sha").alias("text_sha256"))
     alone = hashed.filter("open is null").withColumns({"keep_id": F.col("doc_id"), "group_size": F.lit(1).cast("long")})
     return left.join(groups, "sha").select(*columns).unionByName(alone.select(*columns))
