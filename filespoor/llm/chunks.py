@@ -14,7 +14,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 BATCH_CHARS = 1_000_000
-CACHE_SIZE = 400_000
+CACHE_SIZE = 800_000  # more than the different words of a usual task; about 170 MB
 
 # white space other than the space and line feed, also what only Python takes for white space
 _OTHER_SPACE = re.compile("[\t\x0b-\r\x1c-\x1f\x85\xa0  -     　]")

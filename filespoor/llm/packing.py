@@ -9,7 +9,9 @@ length and the sums of the tasks before, so no length, however frequent, is sort
 from __future__ import annotations
 
 import os
+import sys
 import zlib
+from array import array
 from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
@@ -37,14 +39,16 @@ def _tokenizer(path: str) -> Tokenizer:
 
 
 def _encoder(path: str):
+    """Ids of chunks as little-endian bytes."""
     tokenizer = _tokenizer(path)
-    pack = {n: f"<{n}I" for n in range(1, 64)}
 
     def encode(texts: list[str]) -> list[bytes]:
-        from struct import pack as packed
-
         found = tokenizer.encode_batch_fast(texts, add_special_tokens=False)
-        return [packed(pack.get(len(ids), f"<{len(ids)}I"), *ids) for ids in (x.ids for x in found)]
+        ids = [array("I", x.ids) for x in found]
+        if sys.byteorder == "big":
+            for x in ids:
+                x.byteswap()
+        return [x.tobytes() for x in ids]
 
     return encode
 
@@ -136,7 +140,8 @@ def pack(
     planned = spark.createDataFrame(
         list(steps.items()), "length long, steps array<struct<rank:long, first:long, each:long, at:long>>"
     )
-    ranked = cut.join(bases, ["part", "length"]).withColumn("rank", F.expr("base + place"))
+    # sums of all tasks, which grow with the input: not to be broadcast
+    ranked = cut.join(bases.hint("merge"), ["part", "length"]).withColumn("rank", F.expr("base + place"))
     # the plan has at most ``size`` rows of some steps each
     slots = ranked.join(F.broadcast(planned), "length").withColumn(
         "step", F.expr("element_at(filter(steps, s -> s.rank <= rank), -1)")
