@@ -3,7 +3,8 @@
 The text gives a likelihood per language from hashed letter triples. Declared markup languages and address suffixes give
 likelihoods counted over all rows against the languages that the texts alone suggest. Hosts give priors: counts of those
 languages per host, smoothed towards the domain, the domain towards the top-level suffix, that towards all rows; a row's
-own vote is taken out of its host's counts. All counts are grouped aggregations that are summed up before the shuffle.
+own vote is taken out of its host's counts. All counts are grouped aggregations that are summed up before the shuffle, and
+each language counts, however rare: rows are kept per value and language, arrays are as long as there are languages.
 """
 
 from __future__ import annotations
@@ -21,8 +22,8 @@ from filespoor.llm.registry import query
 from filespoor.llm.url_filter import with_parts
 from filespoor.session import Workspace
 
-SAMPLE_ROWS = 4000  # labelled rows that the letter model is fitted on, at most
-MAX_LANGUAGES = 16
+SAMPLE_ROWS = 4000  # labelled ids that the letter model is fitted on, in equal parts from all languages
+LEAST_ROWS = 20  # ids of a language, even if that makes more than SAMPLE_ROWS
 BUCKETS = 1 << 15
 EVIDENCE = 60  # letter triples that a text counts for at most: they depend on each other
 STRENGTH = 5.0  # of a parent in the smoothing, in rows
@@ -54,24 +55,44 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         })
 
 
+def choose(known: DataFrame, rows: int = SAMPLE_ROWS) -> DataFrame:
+    """lang, doc_id: the ids of ``known`` (doc_id, lang) to fit on, chosen by a hash within each language.
+
+    Each language gives the same number of ids, or all that it has: ``rows`` in all, but LEAST_ROWS at least. Only ids
+    below a bound of the hash are sent on, a few more than are needed, so no task sorts those of a common language.
+    """
+    sizes = known.groupBy("lang").agg(F.approx_count_distinct("doc_id").alias("ids")).collect()  # one row a language
+    part = max(LEAST_ROWS, -(-rows // max(1, len(sizes))))
+    bounds = known.sparkSession.createDataFrame([(r.lang, (2 * part + 100) / max(1, r.ids) - 0.5) for r in sizes], "lang string, bound double")
+    hashed = known.withColumn("order", F.xxhash64("doc_id"))
+    few = hashed.join(F.broadcast(bounds), "lang").filter(F.col("order") / F.lit(2.0**64) <= F.col("bound"))
+    ids: dict[str, list[tuple[int, int]]] = {}
+    for lang, order, doc_id in few.select("lang", "order", "doc_id").distinct().collect():
+        ids.setdefault(lang, []).append((order, doc_id))
+    chosen = [(lang, doc_id) for lang, found in ids.items() for _, doc_id in sorted(found)[:part]]
+    return known.sparkSession.createDataFrame(chosen, "lang string, doc_id long")
+
+
 def fit(labelled: DataFrame, rows: int = SAMPLE_ROWS) -> tuple[list[str], np.ndarray]:
     """Languages and log probabilities (language, bucket) from ``labelled`` (doc_id, lang, text).
 
-    The rows of at most ``rows`` ids are read for it, chosen by a hash; at most MAX_LANGUAGES of their languages stay.
+    The rows of the ids that ``choose`` takes are read for it. All languages with a labelled row stay.
     """
-    known = labelled.filter("doc_id is not null and lang is not null and text is not null")
+    known = labelled.filter("doc_id is not null and lang is not null and text is not null").select(
+        F.col("doc_id").cast("long").alias("doc_id"), F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text")
+    )
     # ids first, so that no task gets the texts of all tasks' candidates
-    chosen = known.select("doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
-    sample = known.join(F.broadcast(chosen.distinct()), "doc_id", "left_semi").select(F.col("lang").cast("string"), F.col("text").cast("string"))
+    sample = known.join(F.broadcast(choose(known.select("doc_id", "lang"), rows)), ["lang", "doc_id"], "left_semi")
     counted = sample.select("lang", "text").mapInArrow(_count, "lang string, bucket long, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n"))
-    # at most ``rows`` languages, BUCKETS each
-    found: dict[str, np.ndarray] = {}
-    for lang, bucket, n in counted.collect():
-        found.setdefault(lang, np.zeros(BUCKETS))[bucket] = n
-    langs = sorted(sorted(found, key=lambda x: (-found[x].sum(), x))[:MAX_LANGUAGES])
+    # BUCKETS rows a language at most
+    found = counted.toArrow()
+    names = found.column("lang").to_pylist()
+    langs = sorted(set(names))
     if not langs:
         return [], np.zeros((0, BUCKETS), np.float32)
-    table_ = np.stack([found[x] for x in langs]) + 0.05
+    place = {x: i for i, x in enumerate(langs)}
+    table_ = np.full((len(langs), BUCKETS), 0.05)
+    table_[[place[x] for x in names], found.column("bucket").to_numpy()] += found.column("n").to_numpy()
     return langs, np.log(table_ / table_.sum(axis=1, keepdims=True)).astype(np.float32)
 
 
@@ -109,27 +130,32 @@ def page_evidence(pages: DataFrame) -> DataFrame:
     return rows.groupBy("doc_id").agg(*(F.mode(c, True).alias(c) for c in ("page_host", "declared", "address")))
 
 
-def _votes(size: int) -> list[Column]:
-    return [F.sum((F.col("vote") == i).cast("long")).alias(f"v{i}") for i in range(size)]
+def _votes(rows: DataFrame, by: tuple[str, ...], size: int) -> DataFrame:
+    """``by`` and v, the number of votes for each language, from ``rows`` (by, vote, n). Null votes count for none."""
+    sums = rows.groupBy(*by, "vote").agg(F.sum("n").alias("n")).groupBy(*by).agg(
+        F.map_from_entries(F.collect_list(F.expr("if(vote is null, null, struct(vote, n))"))).alias("m")
+    )
+    return sums.select(*by, F.expr(f"transform(sequence(0, {size - 1}), i -> coalesce(try_element_at(m, i), 0L))").alias("v"))
+
 
+def _numbers(values: list[float]) -> Column:
+    return F.array(*(F.lit(float(x)) for x in values))
 
-def _sums(size: int) -> list[Column]:
-    return [F.sum(f"v{i}").alias(f"v{i}") for i in range(size)]
 
+_WHOLE = "aggregate(v, 0L, (s, x) -> s + x)"
 
-def _smoothed(size: int, parent: str) -> Column:
-    total = "+".join(f"v{i}" for i in range(size))
-    return F.array(*(F.expr(f"(v{i} + {STRENGTH} * {parent}[{i}]) / ({total} + {STRENGTH})") for i in range(size)))
 
+def _smoothed(parent: str) -> Column:
+    return F.expr(f"zip_with(v, {parent}, (x, p) -> (x + {STRENGTH}D * p) / (whole + {STRENGTH}D))")
 
-def _likelihood(rows: DataFrame, column: str, base: list[float], total: int) -> DataFrame:
+
+def _likelihood(rows: DataFrame, column: str, base: list[float]) -> DataFrame:
     """log P(value | language) of each value of ``column``, up to a part that is the same for all languages."""
-    size = len(base)
-    counts = rows.filter(F.col(column).isNotNull() & F.col("vote").isNotNull()).groupBy(column).agg(*_votes(size))
-    whole = "+".join(f"v{i}" for i in range(size))
+    known = rows.filter(F.col(column).isNotNull() & F.col("vote").isNotNull())
+    counts = _votes(known.groupBy(column, "vote").agg(F.count("*").alias("n")), (column,), len(base))
+    counts = counts.withColumns({"whole": F.expr(_WHOLE), "base": _numbers(base)})
     # P(value | l) / P(value) = P(l | value) / P(l), with P(l | value) smoothed towards P(l)
-    logs = [F.expr(f"ln((v{i} + {base[i]}) / ({whole} + 1.0) / {base[i]})") for i in range(size)]
-    return counts.select(column, F.array(*logs).alias(f"{column}_log"))
+    return counts.select(column, F.expr("zip_with(v, base, (x, b) -> ln((x + b) / (whole + 1D) / b))").alias(f"{column}_log"))
 
 
 def identify(docs: DataFrame, pages: DataFrame, space: Workspace, min_prob: float = MIN_PROB, rows: int = SAMPLE_ROWS) -> DataFrame:
@@ -155,28 +181,30 @@ def identify(docs: DataFrame, pages: DataFrame, space: Workspace, min_prob: floa
     named = named.withColumns({"domain": F.substring_index("host", ".", -2), "top": F.substring_index("host", ".", -1)})
     named = space.save(named, "evidence")
 
-    hosts = space.save(named.groupBy("host", "domain", "top").agg(*_votes(size)), "hosts")
-    votes = [v or 0 for v in hosts.agg(*_sums(size)).first()]  # one row
+    hosts = space.save(named.groupBy("host", "domain", "top", "vote").agg(F.count("*").alias("n")), "hosts")
+    votes = dict(hosts.groupBy("vote").agg(F.sum("n")).collect())  # one row a language
+    votes = [votes.get(i, 0) for i in range(size)]
     total = sum(votes)
     base = [(v + 1) / (total + size) for v in votes]
-    tops = hosts.groupBy("top").agg(*_sums(size)).withColumn("base", F.array(*map(F.lit, base)))
-    tops = tops.select("top", _smoothed(size, "base").alias("top_prior"))
-    domains = join_same(hosts.groupBy("domain", "top").agg(*_sums(size)), tops, ("top",))
-    domains = domains.select("domain", _smoothed(size, "top_prior").alias("domain_prior"))
-    priors = space.save(join_same(hosts.drop("top"), domains, ("domain",)).drop("domain"), "priors")
-    declared = space.save(_likelihood(named, "declared", base, total), "declared")
-    address = space.save(_likelihood(named, "address", base, total), "address")
+    tops = _votes(hosts, ("top",), size).withColumns({"whole": F.expr(_WHOLE), "base": _numbers(base)})
+    tops = tops.select("top", _smoothed("base").alias("top_prior"))
+    domains = join_same(_votes(hosts, ("domain", "top"), size), tops, ("top",)).withColumn("whole", F.expr(_WHOLE))
+    domains = domains.select("domain", _smoothed("top_prior").alias("domain_prior"))
+    priors = join_same(_votes(hosts, ("host", "domain"), size), domains, ("domain",)).drop("domain")
+    priors = space.save(priors.withColumn("whole", F.expr(_WHOLE)), "priors")
+    declared = space.save(_likelihood(named, "declared", base), "declared")
+    address = space.save(_likelihood(named, "address", base), "address")
 
     joined = join_same(named.drop("domain", "top"), priors, ("host",))
     joined = joined.join(declared, "declared", "left").join(address, "address", "left")
-    own = [f"(v{i} - if(vote <=> {i}, 1, 0))" for i in range(size)]
-    rest = f"({'+'.join(own)} + {STRENGTH})"
-    terms = [
-        f"ln(({own[i]} + {STRENGTH} * domain_prior[{i}]) / {rest}) + least(n, {EVIDENCE}) * means[{i}]"
-        f" + coalesce(declared_log[{i}], 0.0) + coalesce(address_log[{i}], 0.0)" for i in range(size)
-    ]
+    # the row's own vote is taken out
+    own = f"(v[i] - if(vote <=> i, 1, 0) + {STRENGTH}D * domain_prior[i]) / (whole - if(vote is null, 0, 1) + {STRENGTH}D)"
+    terms = (
+        f"transform(sequence(0, {size - 1}), i -> ln({own}) + least(n, {EVIDENCE}) * means[i]"
+        " + coalesce(declared_log[i], 0D) + coalesce(address_log[i], 0D))"
+    )
     names = F.array(*map(F.lit, langs))
-    fused = joined.withColumn("logs", F.expr(f"array({', '.join(terms)})")).withColumn("top", F.array_max("logs"))
+    fused = joined.withColumn("logs", F.expr(terms)).withColumn("top", F.array_max("logs"))
     fused = fused.withColumn("prob", F.expr("1 / aggregate(logs, 0D, (s, x) -> s + exp(x - top))"))
     best = F.when(F.col("n") > 0, F.element_at(names, F.array_position("logs", F.col("top")).cast("int")))
     return fused.select(

@@ -74,6 +74,26 @@ def test_language_odd_input(spark, frame, space):
     assert language.identify(frame([(1, "text", None, None)]), pages.limit(0), space).first().kept is False
 
 
+def test_language_many(spark, frame, space):
+    rnd = random.Random(3)
+    names = [f"l{i:02}" for i in range(24)]
+    words = {x: ["".join(rnd.choices("abcdefghijklmnopqrstuvwxyz", k=6)) for _ in range(30)] for x in names}
+    # 20 languages are rare and stand with one another on hosts, four have nearly all rows
+    langs = [x for i, x in enumerate(names) for _ in range(300 if i < 4 else 6)]
+    rows = [(i, " ".join(rnd.choices(words[x], k=40)), x, f"h{i % 5}") for i, x in enumerate(langs)]
+    pages = spark.createDataFrame([], "url string, html string")
+    found = language.identify(frame(rows), pages, space, rows=48).collect()
+    assert len(found) == len(rows)
+    assert all(r.kept and r.language == r.text_language == langs[r.doc_id] for r in found)
+
+
+def test_language_sample(spark):
+    known = spark.createDataFrame([(i, "en") for i in range(3000)] * 2 + [(i, "fr") for i in range(7)], "doc_id long, lang string")
+    sizes = Counter(r.lang for r in language.choose(known, 1000).collect())
+    assert sizes == {"en": 500, "fr": 7}
+    assert language.choose(known.limit(0)).count() == 0
+
+
 @pytest.fixture(scope="module")
 def decoder(spark):
     from filespoor.session import Workspace
