@@ -27,8 +27,8 @@ def identify(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality rules keep, without lines that their host repeats; n_chars follows the text."""
-    kept = quality.clean(docs, quality.judge(docs, Workspace(spark, "pipeline-quality")))
+    """Documents that the quality rules keep, without lines that their host repeats, on a large host too; n_chars follows the text."""
+    kept = quality.clean(docs, quality.judge(docs, Workspace(spark, "pipeline-quality"), line_most=quality.LINE_MOST))
     if "n_chars" in docs.columns:
         kept = kept.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
     return kept.select(*docs.columns)

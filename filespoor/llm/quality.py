@@ -26,6 +26,8 @@ MIN_WORDS, MAX_REPEAT = 50, 50  # words; percent of words in repeated windows
 WINDOW = 3
 # a line is boilerplate in more than so many documents of a host and more than this percentage of them
 LINE_DOCS, LINE_PERCENT = 20, 2
+# and, where asked for, in more than so many documents of a host of any size
+LINE_MOST = 1000
 # a document that keeps less than this percentage of its words is rejected
 LEFT_PERCENT = 25
 KEY = ("doc_id", "host", "content")
@@ -97,7 +99,7 @@ def measure(docs: DataFrame) -> DataFrame:
 
 def judge(
     docs: DataFrame, space: Workspace, line_docs: int = LINE_DOCS, line_percent: int = LINE_PERCENT,
-    left_percent: int = LEFT_PERCENT, min_words: int = MIN_WORDS, max_repeat: int = MAX_REPEAT,
+    left_percent: int = LEFT_PERCENT, min_words: int = MIN_WORDS, max_repeat: int = MAX_REPEAT, line_most: int | None = None,
 ) -> DataFrame:
     """One row per row of ``docs`` (doc_id, source, text) with its measures and the verdict.
 
@@ -105,7 +107,8 @@ def judge(
     cut_lines (hashes of those lines), kept. The host is ``source``; a null host is one host of its own. A null text has
     no words and fails. Copies of a text on a host count as one document and share their fate; the first of a host's
     documents with a line (smallest doc_id, null last) and its copies keep it. Rows that repeat are judged alike.
-    Other columns are ignored.
+    With ``line_most``, a line in more than so many documents of a host goes whatever share of them that is. Other columns
+    are ignored.
     """
     rows = space.save(measure(docs), "measured")
     lines = rows.select(*KEY, F.inline("lines"))
@@ -115,7 +118,10 @@ def judge(
         .filter(F.col("n") > line_docs), "counted"
     )
     hosts = rows.groupBy("host", "content").agg(F.count("*").alias("copies")).groupBy("host").agg(F.count("*").alias("docs"))
-    often = join_same(counted, hosts, ("host",)).filter(100 * F.col("n") > line_percent * F.col("docs"))
+    shared = 100 * F.col("n") > line_percent * F.col("docs")
+    if line_most is not None:
+        shared = shared | (F.col("n") > line_most)
+    often = join_same(counted, hosts, ("host",)).filter(shared)
     common = space.save(often.select("host", "h", "first"), "common")
     cut = join_same(lines, common, ("host", "h")).filter("content <> first")
     # repeated rows give a line's words once

@@ -49,6 +49,19 @@ def test_quality_rules(frame, space):
     assert quality.judge(frame([]), space).count() == 0
 
 
+def test_lines_of_a_large_host(spark, frame, space, monkeypatch):
+    own = [" ".join(f"word{i}x{j}" for j in range(60)) for i in range(1600)]
+    shared = "an offer that thirty texts of the host share"
+    # 30 of 1,600 documents are under 2 %
+    docs = frame([(i, f"{t}\n{shared}" if i < 30 else t, "en", "hot") for i, t in enumerate(own)])
+    assert quality.judge(docs, space).filter("cut_words > 0").count() == 0
+    assert quality.judge(docs, space, line_most=30).filter("cut_words > 0").count() == 0
+    assert {r.doc_id for r in quality.judge(docs, space, line_most=29).filter("cut_words = 9").collect()} == set(range(1, 30))
+    monkeypatch.setattr(quality, "LINE_MOST", 29)
+    kept = {r.doc_id: r.text for r in dict(corpus_pipeline.STAGES)["quality_rules"](spark, docs, FOLDER).collect()}
+    assert len(kept) == len(own) and [i for i, t in kept.items() if shared in t] == [0]
+
+
 def test_language_accuracy(spark, space):
     docs, pages = (spark.read.parquet(f"{FOLDER}/{n}.parquet") for n in ("documents", "pages"))
     # the labels of half of the rows are hidden from the model
