@@ -3,6 +3,10 @@
 An Aho-Corasick automaton reports all vocabulary pieces that end at a place, longest first; dynamic programming over
 places carries only the best score and its number of pieces. Ties fall as in the tokenizer: of equal scores the piece that
 starts first wins, and a character without a piece of its own counts as its bytes (or one unknown piece for a run of them).
+
+No unigram vocabulary is given. The query reads the pieces of a BPE model as one, with minus their merge ranks as scores, so
+its counts are those of that unigram reading, not of the tokenizer the file belongs to: 218,524 tokens against 191,304 of
+sentencepiece over the first 200 texts of sf0.001, equal for 6 of them.
 """
 
 from __future__ import annotations
