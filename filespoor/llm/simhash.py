@@ -4,7 +4,8 @@ A fingerprint of 64 bits is cut into 32 segments of two bits, and each segment i
 Manhattan distance of two such vectors is at most the number of differing bits, so fingerprints that differ in few bits are
 close there too. The vector is cut into 7 runs of segments; at a distance of at most 4 some 3 runs agree, as each
 difference spoils one run. So each fingerprint goes to one cell of the unit grid for every 3 of the 7 runs, close pairs
-meet in a cell, and in a cell bounds and bits are checked in numpy blocks.
+meet in a cell, and in a cell the bits are checked in numpy blocks. The equal runs stand in for the lower bound: the
+Manhattan distance itself is not computed, as the exact bits, one operation a pair, leave nothing for it to sort out.
 
 A cell with n linked members gives n - 1 links, not all pairs: what is asked for are components. Cells that hold more
 than BLOCK fingerprints are dealt out as pairs of blocks, so no task has more than two blocks in hand. Only distinct
