@@ -6,6 +6,9 @@ a character trigram model of all documents and fixed channel costs. Characters w
 one path, so only words with signs, runs of three equal letters or spaced letters are decoded. The restored words, and
 their beginnings, are scored with what labelled rows say about them.
 
+Scored as they stand are letters spaced by more than one space or other white space, fewer than four spaced or dotted
+letters, letters that are only doubled, and words of digits or signs without a letter.
+
 The trigram counts are summed per task, then by group; what reaches the driver is bounded by the alphabet. The labelled
 sample is bounded, and so are the words that its counts single out.
 """
