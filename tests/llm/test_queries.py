@@ -18,7 +18,7 @@ def test_query_equals_check(spark, name):
 def test_all_registered():
     names = set(entry.queries())
     assert set(QUERIES) | {"pipeline"} <= names
-    assert {f"op{n}" for n in range(1, 11)} == {x.split("_")[0] for x in QUERIES}
+    assert {f"op{n}" for n in range(1, 14)} == {x.split("_")[0] for x in QUERIES}
 
 
 def test_url_filter(spark):
