@@ -33,6 +33,27 @@ def _byte_names() -> dict[str, int]:
     return {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(other)}
 
 
+_SPACE, _LETTER, _DIGIT, _SIGN, _LINE, _HARD = range(6)
+
+
+def _kinds() -> np.ndarray:
+    """Classes of bytes: the pattern's words are stretches of one class, and take one space before them."""
+    kinds = np.full(256, _HARD, np.uint8)
+    for byte in range(33, 127):
+        kinds[byte] = _LETTER if chr(byte).isalpha() else _DIGIT if chr(byte).isdigit() else _SIGN
+    # apostrophes may begin an ending such as 's, "<" a special token
+    kinds[[ord("'"), ord("<")]] = _HARD
+    kinds[ord("\n")] = _LINE  # alone between other characters it is a word of its own
+    return kinds
+
+
+def _cut(symbol: np.ndarray, counts: np.ndarray) -> list[bytes]:
+    """Consecutive ids as bytes, ``counts`` of them each."""
+    flat = symbol.astype("<u4").tobytes()
+    ends = (np.cumsum(counts) * 4).tolist()
+    return [flat[a:b] for a, b in zip([0, *ends[:-1]], ends)]
+
+
 class Bpe:
     """A vocabulary with its merges, read from a tokenizer file."""
 
@@ -54,6 +75,9 @@ class Bpe:
         self.made = np.array([vocab[a + b] for a, b in merges], np.int32)
         order = np.argsort(keys)
         self.keys, self.ranks = keys[order], order.astype(np.int32)
+        self.kinds = _kinds()
+        if any(token[:1] != "<" for token in self.special):
+            self.kinds[:] = _HARD
         self.pattern = regex.compile(public_tokenizers.PATTERN)
         self.cut = regex.compile("(" + "|".join(map(regex.escape, self.special)) + ")") if self.special else None
 
@@ -66,8 +90,13 @@ class Bpe:
         """The ids of each word as little-endian unsigned 32-bit integers. Words aren't empty."""
         if not words:
             return []
-        symbol = self.start[np.frombuffer(b"".join(words), np.uint8)]
-        word = np.repeat(np.arange(len(words)), np.fromiter(map(len, words), np.int64, len(words)))
+        lengths = np.fromiter(map(len, words), np.int64, len(words))
+        word, symbol = self._merged(np.frombuffer(b"".join(words), np.uint8), np.repeat(np.arange(len(words), dtype=np.int32), lengths))
+        return _cut(symbol, np.bincount(word, minlength=len(words)))
+
+    def _merged(self, data: np.ndarray, word: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Words' numbers and ids, in order, of bytes that belong to the words ``word`` (not falling)."""
+        symbol = self.start[data]
         rank = np.full(len(symbol), NO_RANK, np.int32)  # of the pair that starts here
         inside = np.flatnonzero(word[:-1] == word[1:])
         rank[inside] = self._rank(symbol[inside], symbol[inside + 1])
@@ -102,12 +131,47 @@ class Bpe:
             rank[near] = self._rank(symbol[near], symbol[near + 1])
         word, symbol = (np.concatenate(x) for x in zip(*done))
         order = np.argsort(word, kind="stable")
-        flat = symbol[order].astype("<u4").tobytes()
-        ends = np.cumsum(np.bincount(word, minlength=len(words))) * 4
-        return [flat[a:b] for a, b in zip([0, *ends[:-1].tolist()], ends.tolist())]
+        return word[order], symbol[order]
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        """The ids of each text; the strings of special tokens give their ids."""
+        """The ids of each text; the strings of special tokens give their ids.
+
+        Texts whose words follow from classes of bytes are cut as one array; others by the pattern.
+        """
+        if not texts:
+            return []
+        encoded = [x.encode() for x in texts]
+        lengths = np.fromiter(map(len, encoded), np.int64, len(encoded))
+        data = np.frombuffer(b"".join(encoded), np.uint8)
+        text = np.repeat(np.arange(len(texts), dtype=np.int32), lengths)
+        first = np.zeros(len(data), bool)
+        first[(np.cumsum(lengths) - lengths)[lengths > 0]] = True
+        kind = self.kinds[data]
+        # two-byte letters: the second byte is one of them behind 0xC3 only, and but for the signs of multiplication and division
+        high = np.flatnonzero(data >= 128)
+        letter = data[high] == 0xC3
+        after = ~first[high] & (data[high - 1] == 0xC3) & (data[high] < 0xC0) & (data[high] != 0x97) & (data[high] != 0xB7)
+        kind[high] = np.where(letter | after, _LETTER, _HARD)
+        kind[(data == 32) & first] = _SPACE
+        lines = np.flatnonzero((kind == _LINE) & ~first)
+        kind[lines[np.isin(kind[lines - 1], (_LINE, _SPACE))]] = _HARD
+        hard = np.bincount(text[kind == _HARD], minlength=len(texts)) > 0
+        hard |= (lengths > 0) & (np.bincount(text[kind != _SPACE], minlength=len(texts)) == 0)
+        opens = first.copy()
+        opens[1:] |= (kind[1:] != kind[:-1]) & (kind[:-1] != _SPACE)
+        plain = ~hard[text]
+        word = np.cumsum(opens[plain], dtype=np.int32) - 1
+        out: list[bytes] = [b""] * len(texts)
+        if len(word):
+            text_of = text[plain][opens[plain]]  # of each word
+            merged, symbol = self._merged(data[plain], word)
+            out = _cut(symbol, np.bincount(text_of[merged], minlength=len(texts)))
+        rest = np.flatnonzero(hard).tolist()
+        for i, ids in zip(rest, self._by_pattern([texts[i] for i in rest])):
+            out[i] = ids
+        return out
+
+    def _by_pattern(self, texts: list[str]) -> list[bytes]:
         words = [[x] if x.isalpha() or x[:1] == " " and x[1:].isalpha() else self._words(x) for x in texts]
         fresh = list(set().union(*words).difference(self.special))
         ids = dict(zip(fresh, self.merge([w.encode() for w in fresh])))

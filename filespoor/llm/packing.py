@@ -8,22 +8,18 @@ length and the sums of the tasks before, so no length, however frequent, is sort
 
 from __future__ import annotations
 
-import os
-import sys
 import zlib
-from array import array
 from collections import Counter
 from collections.abc import Iterator
-from functools import lru_cache
 
 import public_tokenizers
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from tokenizers import Tokenizer
 
 from filespoor.llm import chunks
+from filespoor.llm.bpe import vocabulary
 from filespoor.llm.common import table
 from filespoor.llm.registry import query
 from filespoor.session import Workspace
@@ -32,33 +28,12 @@ VOCABULARY = "byte_bpe_50k.json"
 SIZE, END_ID = 1024, 2
 
 
-@lru_cache(2)
-def _tokenizer(path: str) -> Tokenizer:
-    os.environ["TOKENIZERS_PARALLELISM"] = "false"  # one task, one core
-    return Tokenizer.from_file(path)
-
-
-def _encoder(path: str):
-    """Ids of chunks as little-endian bytes."""
-    tokenizer = _tokenizer(path)
-
-    def encode(texts: list[str]) -> list[bytes]:
-        found = tokenizer.encode_batch_fast(texts, add_special_tokens=False)
-        ids = [array("I", x.ids) for x in found]
-        if sys.byteorder == "big":
-            for x in ids:
-                x.byteswap()
-        return [x.tobytes() for x in ids]
-
-    return encode
-
-
 def pieces(docs: DataFrame, path: str, size: int, end_id: int, with_ids: bool) -> DataFrame:
     """Tokenized documents in pieces of at most ``size`` ids, each numbered within its task and length."""
     end = end_id.to_bytes(4, "little")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cache, part, seen = chunks.Cache(_encoder(path)), TaskContext.get().partitionId(), Counter()
+        cache, part, seen = chunks.Cache(vocabulary(path).encode), TaskContext.get().partitionId(), Counter()
         for batch in batches:
             for first, texts in chunks.parts(batch):
                 rows: list[tuple] = []

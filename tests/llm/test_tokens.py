@@ -33,18 +33,7 @@ def ids_of(data):
 
 
 @settings(max_examples=150, deadline=None)
-@given(st.lists(st.text(st.sampled_from("ab \n\t'sé😀1.<|Tı\xa0 "), max_size=40), min_size=1, max_size=5))
-def test_merges_equal_library(texts):
-    model, tokenizer = bpe.vocabulary(PATH)[0], Tokenizer.from_file(PATH)
-    got = [b"".join(x) for x in chunks.Cache(model.encode).of(texts)]
-    for text, data in zip(texts, got):
-        want = tokenizer.encode(text, add_special_tokens=False).ids
-        assert ids_of(data) == want
-        assert model.decode(data) == tokenizer.decode(want, skip_special_tokens=False)
-
-
-@settings(max_examples=150, deadline=None)
-@given(st.lists(st.text(st.sampled_from("ab \n\t'sé😀1.<|Tı\xa0 "), max_size=40), min_size=1, max_size=5))
+@given(st.lists(st.text(st.sampled_from("ab \n\t'sé×Ãÿ😀1.<|Tı\xa0 "), max_size=40), min_size=1, max_size=5))
 def test_random_merges_equal_library(texts):
     model, tokenizer = bpe.vocabulary(PATH), Tokenizer.from_file(PATH)
     got = [b"".join(x) for x in chunks.Cache(model.encode).of(texts)]
