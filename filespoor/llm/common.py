@@ -40,3 +40,10 @@ def join_same(left: DataFrame, right: DataFrame, names: tuple[str, ...], how: st
     for n in names:
         condition = condition & F.col(n).eqNullSafe(F.col(f"_right_{n}"))
     return left.join(other, condition, how).drop(*(f"_right_{n}" for n in names))
+
+
+def row_keys(docs: DataFrame, names: tuple[str, ...] = ("_k1", "_k2")) -> DataFrame:
+    """``docs`` with a 128-bit key of each row's id, language, source and text; only rows alike in all of them share one."""
+    own = [F.col(c).cast("string") for c in ("doc_id", "lang", "source", "text") if c in docs.columns]
+    empty = [c.isNull() for c in own]
+    return docs.withColumns({n: F.xxhash64(F.lit(i), *empty, *own) for i, n in enumerate(names)})

@@ -96,22 +96,20 @@ def fit(labelled: DataFrame, rows: int = SAMPLE_ROWS) -> tuple[list[str], np.nda
     return langs, np.log(table_ / table_.sum(axis=1, keepdims=True)).astype(np.float32)
 
 
-def score(docs: DataFrame, logs: np.ndarray) -> DataFrame:
-    """doc_id, source, n (letter triples) and the mean log likelihoods of each row of ``docs``; 0 without letters."""
+def score(docs: DataFrame, logs: np.ndarray, row_key: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, ``row_key`` (long), source, n (letter triples) and the mean log likelihoods of each row of ``docs``; 0 without letters."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for start, texts in chunks.parts(batch):
                 found = [triples(x) for x in texts]
                 means = [[float(row[x].mean()) if len(x) else 0.0 for row in logs] for x in found]
-                yield pa.RecordBatch.from_pydict({
-                    "doc_id": batch.column("doc_id").slice(start, len(texts)),
-                    "source": batch.column("source").slice(start, len(texts)),
+                yield pa.RecordBatch.from_pydict({c: batch.column(c).slice(start, len(texts)) for c in ("doc_id", *row_key, "source")} | {
                     "n": pa.array(list(map(len, found)), pa.int64()), "means": pa.array(means, pa.list_(pa.float64())),
                 })
 
-    rows = docs.select(F.col("doc_id").cast("long"), F.col("source").cast("string"), F.col("text").cast("string"))
-    return rows.mapInArrow(run, "doc_id long, source string, n long, means array<double>")
+    rows = docs.select(F.col("doc_id").cast("long"), *row_key, F.col("source").cast("string"), F.col("text").cast("string"))
+    return rows.mapInArrow(run, "doc_id long, " + "".join(f"{c} long, " for c in row_key) + "source string, n long, means array<double>")
 
 
 def page_evidence(pages: DataFrame) -> DataFrame:
@@ -158,23 +156,27 @@ def _likelihood(rows: DataFrame, column: str, base: list[float]) -> DataFrame:
     return counts.select(column, F.expr("zip_with(v, base, (x, b) -> ln((x + b) / (whole + 1D) / b))").alias(f"{column}_log"))
 
 
-def identify(docs: DataFrame, pages: DataFrame, space: Workspace, min_prob: float = MIN_PROB, rows: int = SAMPLE_ROWS) -> DataFrame:
+def identify(
+    docs: DataFrame, pages: DataFrame, space: Workspace, min_prob: float = MIN_PROB, rows: int = SAMPLE_ROWS,
+    row_key: tuple[str, ...] = (),
+) -> DataFrame:
     """One row per row of ``docs`` (doc_id, text, source, lang): doc_id, language, prob, text_language, n_letters, kept.
 
     ``lang`` is the label that the letter model is fitted on and is used for nothing else. ``pages`` (url, html) show
     some of the documents. Rejected are texts without letters, null and empty ones too (language null), and rows whose
     best language has less than ``min_prob``. Ties go to the first language by name. The host of a document is its
     page's, else its ``source``; null is a host of its own. Rows may repeat; an empty table gives no rows; without a
-    labelled row nothing is known and all is rejected. Other columns are ignored.
+    labelled row nothing is known and all is rejected. Other columns are ignored. ``row_key`` names long columns that are
+    returned too.
     """
     langs, logs = fit(docs, rows)
     size = len(langs)
     if not size:
         return docs.select(
-            F.col("doc_id").cast("long").alias("doc_id"), F.lit(None).cast("string").alias("language"), F.lit(0.0).alias("prob"),
+            F.col("doc_id").cast("long").alias("doc_id"), *row_key, F.lit(None).cast("string").alias("language"), F.lit(0.0).alias("prob"),
             F.lit(None).cast("string").alias("text_language"), F.lit(0).cast("long").alias("n_letters"), F.lit(False).alias("kept"),
         )
-    scored = score(docs, logs).withColumn("vote", F.expr("if(n > 0, cast(array_position(means, array_max(means)) as int) - 1, null)"))
+    scored = score(docs, logs, row_key).withColumn("vote", F.expr("if(n > 0, cast(array_position(means, array_max(means)) as int) - 1, null)"))
     scored = space.save(scored, "scored")
     shown = space.save(page_evidence(pages), "pages")
     named = scored.join(shown, "doc_id", "left").withColumn("host", F.coalesce("page_host", "source")).drop("page_host", "source")
@@ -208,7 +210,7 @@ def identify(docs: DataFrame, pages: DataFrame, space: Workspace, min_prob: floa
     fused = fused.withColumn("prob", F.expr("1 / aggregate(logs, 0D, (s, x) -> s + exp(x - top))"))
     best = F.when(F.col("n") > 0, F.element_at(names, F.array_position("logs", F.col("top")).cast("int")))
     return fused.select(
-        "doc_id", best.alias("language"), F.when(F.col("n") > 0, F.col("prob")).otherwise(0.0).alias("prob"),
+        "doc_id", *row_key, best.alias("language"), F.when(F.col("n") > 0, F.col("prob")).otherwise(0.0).alias("prob"),
         F.get(names, F.col("vote")).alias("text_language"), F.col("n").alias("n_letters"),
         F.expr(f"n > 0 and prob >= {min_prob}").alias("kept"),
     )

@@ -59,19 +59,18 @@ def _signed(x: int) -> int:
     return x - 2**64 if x >= 2**63 else x
 
 
-def fingerprints(docs: DataFrame) -> DataFrame:
-    """doc_id and fp (signed) of each row of ``docs`` (doc_id, text). Null is an empty text."""
+def fingerprints(docs: DataFrame, row_key: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, ``row_key`` (long) and fp (signed) of each row of ``docs`` (doc_id, text). Null is an empty text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for start, texts in chunks.parts(batch):
-                yield pa.RecordBatch.from_pydict({
-                    "doc_id": batch.column("doc_id").slice(start, len(texts)),
+                yield pa.RecordBatch.from_pydict({c: batch.column(c).slice(start, len(texts)) for c in ("doc_id", *row_key)} | {
                     "fp": pa.array([_signed(fingerprint(x.encode())) for x in texts], pa.int64()),
                 })
 
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return rows.mapInArrow(run, "doc_id long, fp long")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), *row_key, F.col("text").cast("string").alias("text"))
+    return rows.mapInArrow(run, "doc_id long, " + "".join(f"{c} long, " for c in row_key) + "fp long")
 
 
 def cells(runs: int = RUNS, agree: int = RUNS - MAX_BITS) -> list[int]:
@@ -206,21 +205,32 @@ def components(edges: DataFrame, space: Workspace) -> DataFrame:
             return labels
 
 
-def near_duplicates(docs: DataFrame, space: Workspace, most: int = MAX_BITS, runs: int = RUNS) -> DataFrame:
+def near_duplicates(
+    docs: DataFrame, space: Workspace, most: int = MAX_BITS, runs: int = RUNS, row_key: tuple[str, ...] = ()
+) -> DataFrame:
     """One row per row of ``docs`` (doc_id, text): doc_id, fp, component_id (smallest doc_id reachable, itself included).
 
     Texts without words, null too, have fingerprint zero and are linked like others. Rows that repeat a doc_id are
     nodes of their own fingerprints. Null doc_ids count for links but are no component's id unless all are null.
-    An empty table gives no rows; other columns are ignored.
+    An empty table gives no rows; other columns are ignored. ``row_key`` names long columns that tell rows apart: they are
+    returned too, and ``kept``, true for one row of a component: the smallest doc_id, null last, then the smallest key.
     """
-    printed = space.save(fingerprints(docs), "prints")
-    distinct = space.save(printed.groupBy("fp").agg(F.min("doc_id").alias("least")), "distinct")
+    printed = space.save(fingerprints(docs, row_key), "prints")
+    least = F.min("doc_id") if not row_key else F.min(F.struct(F.expr("doc_id is null").alias("none"), "doc_id", *row_key))
+    distinct = space.save(printed.groupBy("fp").agg(least.alias("least")), "distinct")
     labels = components(space.save(links(distinct.select("fp"), space, most, runs), "links"), space)
     named = distinct.join(labels.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "least", F.coalesce("label", "fp").alias("label"))
     named = space.save(named, "named")
     ids = named.groupBy("label").agg(F.min("least").alias("component_id"))
     final = space.save(named.join(ids, "label").select("fp", "component_id"), "components")
-    return printed.join(final, "fp").select("doc_id", "fp", "component_id")
+    if not row_key:
+        return printed.join(final, "fp").select("doc_id", "fp", "component_id")
+    stays = F.expr("doc_id <=> component_id.doc_id")
+    for c in row_key:
+        stays = stays & (F.col(c) == F.col(f"component_id.{c}"))
+    return printed.join(final, "fp").select("doc_id", *row_key, "fp", "component_id.doc_id", stays.alias("kept")).toDF(
+        "doc_id", *row_key, "fp", "component_id", "kept"
+    )
 
 
 @query("op4_simhash")

@@ -175,3 +175,43 @@ def test_pipeline_stages(spark, frame):
     assert "1" in {str(r.doc_id) for r in kept["simhash"].collect()}
     for name, stage in corpus_pipeline.STAGES:
         assert stage(spark, docs.limit(0), folder).count() == 0
+
+
+def test_pipeline_keeps_one_row_of_each_text_whatever_the_ids(spark, frame):
+    """Ids that stand on several texts, repeated rows and rows alike but for their source."""
+    words = [" ".join(f"{kind}{i}x{i * i % 7} the" for i in range(80)) for kind in ("alpha", "beta", "gamma", "delta")]
+    near = words[0] + " end"
+    rows = [
+        (1, words[0], "en", "h"), (2, words[0], "en", "h"), (2, words[1], "en", "h"), (2, words[1], "en", "h"),
+        (2, words[1], "en", "g"), (2, words[1].replace(" ", "  "), "en", "h"), (3, words[2], None, None), (None, words[3], "en", "h"),
+        (None, words[3], "en", "h"), (1, near, "en", "h"), (4, None, "en", "h"), (4, "", "en", "h"), (5, None, None, None),
+    ]
+    stages, folder = dict(corpus_pipeline.STAGES), "/root/testdata/sf0.001"
+
+    def bare(text):
+        return "".join((text or "").split())
+
+    groups = {}
+    for i, t, *_ in rows:
+        groups.setdefault(bare(t), []).append((-len(t or ""), i is None, i or 0))
+    want = sorted((str(None if min(g)[1] else min(g)[2]), key) for key, g in groups.items())
+    unique = stages["exact_dedup"](spark, frame(rows), folder)
+    assert sorted((str(r.doc_id), bare(r.text)) for r in unique.collect()) == want
+    # near copies: fingerprints of one component, brute force over all pairs
+    from test_dedup import brute_components, fingerprint
+    from filespoor.llm import simhash
+
+    prints = [simhash._signed(fingerprint(t)) for _, t, *_ in rows]
+    label = brute_components(prints)
+    assert label[prints[0]] == label[prints[9]]
+    least = {}
+    for (i, *_), fp in zip(rows, prints):
+        least[label[fp]] = min(least.get(label[fp], (True, 0)), (i is None, i or 0))
+    near_unique = stages["simhash"](spark, frame(rows), folder).collect()
+    got = sorted((label[simhash._signed(fingerprint(r.text))], r.doc_id is None, r.doc_id or 0) for r in near_unique)
+    assert got == sorted((k, *v) for k, v in least.items())
+    # a rejected text of an id goes, its other text stays
+    mixed = [(7, "123 456", "en", "h"), (7, "the house and the garden are with the people of this town", "en", "h")]
+    mixed += [(10 + i, "the garden and the house of the people", "en", "h") for i in range(25)]
+    left = stages["language"](spark, frame(mixed), folder).collect()
+    assert [r.text for r in left if r.doc_id == 7] == [mixed[1][1]]
