@@ -1,7 +1,8 @@
 """The corpus pipeline: language, quality rules, exact and near duplicates, packing.
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame; it is written as Parquet and read again as the next one's
-docs. All but the last return the columns of ``documents``. Texts meet a stage's decisions in one join by document.
+docs. All but the last return the columns of ``documents``. Texts meet a stage's decisions in one join by keys of whole rows,
+so an id that stands on several texts is decided on for each of them.
 """
 
 from __future__ import annotations
@@ -10,19 +11,23 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from filespoor.llm import exact_dedup, language, packing, quality, simhash
-from filespoor.llm.common import join_same, table
+from filespoor.llm.common import row_keys, table
 from filespoor.session import Workspace
 
 
-def _only(docs: DataFrame, decided: DataFrame) -> DataFrame:
-    """The rows of ``docs`` whose doc_id is in ``decided``; null is an id like others."""
-    ids = decided.select(F.col("doc_id").alias("_id")).distinct()
-    return join_same(docs.withColumn("_id", F.col("doc_id").cast("long")), ids, ("_id",), "left_semi").select(*docs.columns)
+KEYS = ("_k1", "_k2")
+
+
+def _only(docs: DataFrame, decided: DataFrame, once: bool = False) -> DataFrame:
+    """The rows of ``docs`` (with KEYS) whose keys are in ``decided``; ``once``: one row of each key."""
+    kept = docs.join(decided.select(*KEYS).distinct(), list(KEYS), "left_semi")
+    return (kept.dropDuplicates(list(KEYS)) if once else kept).drop(*KEYS)
 
 
 def identify(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language is known; others go."""
-    found = language.identify(docs, table(spark, sf_dir, "pages"), Workspace(spark, "pipeline-language"))
+    docs = row_keys(docs, KEYS)
+    found = language.identify(docs, table(spark, sf_dir, "pages"), Workspace(spark, "pipeline-language"), row_key=KEYS)
     return _only(docs, found.filter("kept"))
 
 
@@ -35,15 +40,17 @@ def rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def unique(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One row of each group of equal texts; rows that repeat both id and text are one."""
-    found = exact_dedup.exact_dedup(docs, Workspace(spark, "pipeline-exact"))
-    return _only(docs, found.filter("kept")).dropDuplicates(["doc_id", "text"])
+    """One row of each group of equal texts."""
+    docs = row_keys(docs, KEYS)
+    found = exact_dedup.exact_dedup(docs, Workspace(spark, "pipeline-exact"), row_key=KEYS)
+    return _only(docs, found.filter("kept"), once=True)
 
 
 def near_unique(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document that gives its name to a group of near duplicates."""
-    found = simhash.near_duplicates(docs, Workspace(spark, "pipeline-simhash"))
-    return _only(docs, found.filter("doc_id <=> component_id"))
+    """One row of each group of near duplicates: the document that gives it its name."""
+    docs = row_keys(docs, KEYS)
+    found = simhash.near_duplicates(docs, Workspace(spark, "pipeline-simhash"), row_key=KEYS)
+    return _only(docs, found.filter("kept"), once=True)
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
