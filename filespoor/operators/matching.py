@@ -5,21 +5,20 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, functions as F
 
 from filespoor.operators.index import UNKNOWN_MICRO
 from filespoor.operators.skew import HOT_ROWS, salted_join
+from filespoor.operators.version_sets import VersionSets, intern, no_checksum
 from filespoor.params import MICRO
 
 
 def content_key(assets: DataFrame) -> DataFrame:
     """Checksum of successful assets, an empty value of the same type for failed ones."""
     served = F.when(F.col("success"), F.col("checksum"))
-    return assets.withColumn("checksum", F.coalesce(served, _no_checksum(assets)))
-
-
-def _no_checksum(rows: DataFrame) -> Column:
-    return F.lit("").cast(rows.schema["checksum"].dataType)
+    return assets.withColumn("checksum", F.coalesce(served, no_checksum(assets)))
 
 
 def asset_kinds(assets: DataFrame) -> DataFrame:
@@ -67,77 +66,11 @@ def weigh_assets(
     )
 
 
-MATCH_KEY = ["is_using", "key_path", "key_checksum"]
-
-
-def _asset_keys(weighted: DataFrame) -> DataFrame:
-    """Up to two match keys per asset: its known content, and its path.
-
-    The path key holds the content only if it is known, so all sites with content of
-    their own at a path share one key.
-    """
-    none = _no_checksum(weighted)
-    known = F.when(F.col("found"), F.col("checksum"))
-    by_content = F.struct(
-        F.lit(True).alias("is_using"), F.lit("").alias("key_path"), known.alias("key_checksum")
-    )
-    by_path = F.struct(
-        F.lit(False).alias("is_using"),
-        F.col("webroot_path").alias("key_path"),
-        F.coalesce(known, none).alias("key_checksum"),
-    )
-    keys = F.when(F.col("found"), F.array(by_content, by_path)).otherwise(F.array(by_path))
-    return weighted.select("site_id", "weight_micro", F.inline(keys))
-
-
-def pack_index(by_checksum: DataFrame, by_path: DataFrame) -> DataFrame:
-    """``(is_using, key_path, key_checksum, versions)``: the versions of every content and path.
-
-    Built once per index. An array holds at most all versions, which are a dimension;
-    it is far smaller in a shuffle than a row per version.
-    """
-    none = _no_checksum(by_checksum)
-    users = by_checksum.select(
-        F.lit(True).alias("is_using"), F.lit("").alias("key_path"), F.col("checksum").alias("key_checksum"), "version_id"
-    )
-    providers = by_path.select(
-        F.lit(False).alias("is_using"), F.col("webroot_path").alias("key_path"), none.alias("key_checksum"), "version_id"
-    )
-    return users.unionByName(providers).groupBy(*MATCH_KEY).agg(F.collect_list("version_id").alias("versions"))
-
-
-def _other_content(weighted: DataFrame, packed: DataFrame) -> DataFrame:
-    """For known content at a path: the versions that provide the path with other content."""
-    observed = weighted.filter("found").select("webroot_path", "checksum").distinct()
-    providers = packed.filter(~F.col("is_using")).select(
-        F.col("key_path").alias("webroot_path"), F.col("versions").alias("_providers")
-    )
-    users = packed.filter("is_using").select(
-        F.col("key_checksum").alias("checksum"), F.col("versions").alias("_users")
-    )
-    return (
-        observed.join(providers, "webroot_path")
-        .join(users, "checksum")
-        .select(
-            F.lit(False).alias("is_using"),
-            F.col("webroot_path").alias("key_path"),
-            F.col("checksum").alias("key_checksum"),
-            F.array_except("_providers", "_users").alias("versions"),
-        )
-        .filter(F.size("versions") > 0)
-    )
-
-
-def weighted_matches(weighted: DataFrame, packed: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:
-    """``(site_id, is_using, weight_micro, versions)``, up to two rows per asset.
-
-    ``weighted`` are assets from ``weigh_assets``, ``packed`` is the packed index. A
-    content or path that a large share of all sites has is spread by ``salted_join``.
-    """
-    keys = packed.unionByName(_other_content(weighted, packed))
-    return salted_join(_asset_keys(weighted), keys, MATCH_KEY, hot_rows=hot_rows).select(
-        "site_id", "is_using", "weight_micro", "versions"
-    )
+def pack_index(
+    by_checksum: DataFrame, by_path: DataFrame, save: Callable[[DataFrame, str], DataFrame] = lambda df, name: df
+) -> VersionSets:
+    """The sets of versions of every content and path, interned once per index."""
+    return intern(by_checksum, by_path, save)
 
 
 def matchable_assets(assets: DataFrame, by_checksum: DataFrame) -> DataFrame:

@@ -1,7 +1,7 @@
 """Iterative inference of software versions, for all sites at once.
 
-State lives in written tables, one folder per round. Scores add up over assets, so each
-round matches only the assets it requested. Only the number of undecided sites reaches
+State lives in written tables, one folder per round. Sums by set of versions add up over assets, so
+each round matches only the assets it requested. Only the number of undecided sites reaches
 the driver.
 """
 
@@ -13,8 +13,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, functions as F
 
 from filespoor.functions import urls
-from filespoor.operators import entropy, matching, scoring
-from filespoor.operators.skew import HOT_ROWS, hot_keys, salted_join
+from filespoor.operators import entropy, matching, scoring, version_sets
+from filespoor.operators.skew import salted_join
 from filespoor.params import InferenceParams
 from filespoor.session import Workspace
 from filespoor.sources.crawl import with_success
@@ -139,23 +139,23 @@ def infer_sites(
         "assets-0",
     )
 
-    def match(part: DataFrame) -> DataFrame:
-        # the part is written, so counting its sites is cheap; the split is planned only if a site needs it
-        few_assets = hot_keys(part, ["site_id"], HOT_ROWS).isEmpty()
-        return scoring.site_scores(part, tables.packed, few_assets=few_assets)
+    def rank(sums: DataFrame, others: DataFrame) -> DataFrame:
+        strongest = scoring.strongest(sums, tables.packed, others, params)
+        return scoring.best_guesses(strongest, params).select(*GUESS_COLUMNS)
 
-    def rank(scored: DataFrame) -> DataFrame:
-        return scoring.best_guesses(scoring.with_strength(scored, params), params).select(*GUESS_COLUMNS)
-
-    scored = save(match(assets), "scores-0")
+    # what a site has matched is kept as sums by set of versions
+    sums, others = version_sets.set_sums(assets, tables.packed, save=save)
+    sums, others = save(sums, "sums-0"), save(others, "others-0")
     zero = [F.lit(0).cast("bigint").alias(c) for c in (*scoring.SCORE_COLUMNS, "strength_nano")]
     # first estimates come first in the list, without strength; the order among them is open
     first = estimates.distinct().select("site_id", "version_id", F.lit(0).alias("rank"), *zero)
-    guesses = save(first.unionByName(rank(scored)), "guesses-0")
+    guesses = save(first.unionByName(rank(sums, others)), "guesses-0")
     state = save(
-        located.join(scoring.decisiveness(guesses), "site_id", "left").select(
+        located.join(scoring.decisiveness(guesses), "site_id", "left")
+        .join(assets.groupBy("site_id").agg(F.count(F.lit(1)).alias("assets_so_far")), "site_id", "left").select(
             "site_id",
             "base_url",
+            F.coalesce("assets_so_far", F.lit(0)).alias("assets_so_far"),
             F.lit(0).alias("streak"),
             F.coalesce("decisiveness", F.lit(0.0)).alias("decisiveness"),
         ),
@@ -188,21 +188,23 @@ def infer_sites(
         rounds.append(probes.select(*ASSET_COLUMNS, "rank").withColumn("round", F.lit(number)))
         requested = probes.select(*ASSET_COLUMNS)
         all_assets.append(requested)
-        scored = save(scoring.add_scores(scored, match(requested)), f"scores-{number}")
-        new_guesses = save(rank(scored), f"guesses-{number}")
+        new_sums, new_others = version_sets.set_sums(requested, tables.packed, save=save)
+        sums = save(version_sets.add_sums(sums, new_sums), f"sums-{number}")
+        others = save(version_sets.add_sets(others, new_others), f"others-{number}")
+        new_guesses = save(rank(sums, others), f"guesses-{number}")
         listed.append(new_guesses.withColumn("round", F.lit(number)))
         served = probes.groupBy("site_id").agg(
             F.bool_or("success").alias("served"), F.count(F.lit(1)).alias("probed")
         )
-        counts = reduce(DataFrame.unionByName, [a.select("site_id") for a in all_assets]).groupBy("site_id").agg(
-            F.count(F.lit(1)).alias("n_assets")
-        )
+        so_far = F.col("assets_so_far") + F.coalesce("probed", F.lit(0))
+        counts = active.join(served, "site_id", "left").select("site_id", so_far.alias("n_assets")).filter("n_assets > 0")
         rated = scoring.support(new_guesses, counts, params)
         gain = F.col("new_decisiveness") - F.col("decisiveness")
         no_asset = ~F.coalesce("served", F.lit(False))
         small_gain = gain < params.iteration_min_improvement
         state = save(
             active.join(served, "site_id", "left")
+            .withColumn("assets_so_far", so_far)
             .join(scoring.decisiveness(new_guesses).withColumnRenamed("decisiveness", "new_decisiveness"), "site_id", "left")
             .join(rated, "site_id", "left")
             .withColumn("new_decisiveness", F.coalesce("new_decisiveness", F.lit(0.0)))
@@ -236,12 +238,12 @@ def infer_sites(
         stopped = state.filter("stopped")
         done_states.append(_outcome(stopped, number))
         done_guesses.append(new_guesses.join(stopped.filter("enough").select("site_id"), "site_id", "left_semi"))
-        active = state.filter(~F.col("stopped")).select("site_id", "base_url", "streak", "decisiveness")
+        active = state.filter(~F.col("stopped")).select("site_id", "base_url", "assets_so_far", "streak", "decisiveness")
         if active.isEmpty():
             break
         going = active.select("site_id")
         guesses = new_guesses.join(going, "site_id", "left_semi")
-        scored = scored.join(going, "site_id", "left_semi")
+        sums = sums.join(going, "site_id", "left_semi")
         assets = reduce(DataFrame.unionByName, all_assets).join(going, "site_id", "left_semi")
 
     answers = reduce(DataFrame.unionByName, done_guesses)

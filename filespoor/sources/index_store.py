@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from filespoor import schema
 from filespoor.operators import index as ops
 from filespoor.operators.matching import pack_index
+from filespoor.operators.version_sets import VersionSets
 from filespoor.session import Workspace
 
 TABLES = {
@@ -39,7 +40,7 @@ class MatchTables:
     by_path: DataFrame
     path_checksums: DataFrame
     idf: DataFrame
-    packed: DataFrame
+    packed: VersionSets
 
 
 def derive_match_tables(
@@ -55,7 +56,7 @@ def derive_match_tables(
     by_checksum = save(ops.checksum_versions(pairs), "checksum-versions")
     by_path = save(ops.path_versions(pairs), "path-versions")
     idf = save(ops.idf_weights(by_checksum, versions), "idf")
-    return MatchTables(by_checksum, by_path, pairs, idf, save(pack_index(by_checksum, by_path), "packed"))
+    return MatchTables(by_checksum, by_path, pairs, idf, pack_index(by_checksum, by_path, save))
 
 
 def match_tables(index: Index) -> MatchTables:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import re
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
@@ -41,6 +42,48 @@ def asset_json(*extra: str) -> Column:
     )
 
 
+# key of the empty list of versions
+NO_VERSIONS = hashlib.md5(b"[]").hexdigest()
+_SET_KEY = r'"(?:expected|using)_versions":"([0-9a-f]{32})"'
+SETS = "set_key string, versions string"
+
+
+def set_text(versions: Column) -> Column:
+    """A list of versions as it stands in whole documents; its MD5 is the key of the set."""
+    return F.to_json(versions, {"ignoreNullFields": "false"})
+
+
+def expand_documents(documents: DataFrame, key: list[str], sets: DataFrame) -> DataFrame:
+    """``documents`` (``key``, result) in which the lists of ``sets`` (set_key, versions) stand in place of their keys."""
+    named = documents.select(*key, F.explode(F.array_distinct(F.expr(f"regexp_extract_all(result, r'{_SET_KEY}', 1)"))).alias("set_key"))
+    # a document names few sets, each once
+    lists = named.join(sets, "set_key").groupBy(*key).agg(F.collect_list(F.struct("set_key", "versions")).alias("_lists"))
+    put_in = F.aggregate(
+        "_lists", F.col("result"), lambda text, s: F.replace(text, F.concat(F.lit('"'), s["set_key"], F.lit('"')), s["versions"])
+    )
+    joined = documents.join(lists, key, "left")
+    return joined.withColumn("result", F.when(F.col("_lists").isNull(), F.col("result")).otherwise(put_in)).drop("_lists")
+
+
+def expanded_chars(documents: DataFrame, key: list[str], sets: DataFrame) -> DataFrame:
+    """``(key, result_chars)``: the lengths that whole documents would have, without making them."""
+    named = documents.select(*key, F.explode(F.expr(f"regexp_extract_all(result, r'{_SET_KEY}', 1)")).alias("set_key"))
+    counted = named.groupBy(*key, "set_key").agg(F.count(F.lit(1)).alias("times"))
+    sizes = sets.select("set_key", (F.length("versions") - 34).alias("more"))
+    more = counted.join(sizes, "set_key").groupBy(*key).agg(F.sum(F.col("times") * F.col("more")).alias("more"))
+    return documents.join(more, key, "left").select(*key, (F.length("result") + F.coalesce("more", F.lit(0))).alias("result_chars"))
+
+
+def append_sets(sets: DataFrame, path: str) -> None:
+    """Add the sets that the table lacks."""
+    sets.sparkSession.createDataFrame([], SETS).write.mode("append").parquet(path)
+    sets.join(read_sets(sets.sparkSession, path), "set_key", "left_anti").write.mode("append").parquet(path)
+
+
+def read_sets(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.schema(SETS).parquet(path)
+
+
 def result_documents(sites: DataFrame, guesses: DataFrame, more_recent: DataFrame) -> DataFrame:
     """``(site_id, result)`` for every site.
 

@@ -350,14 +350,17 @@ def content_crawl(w: World) -> tuple[DataFrame, DataFrame, index_store.Index, Da
 
 @query("scan_batch")
 def scan_batch(w: World) -> DataFrame:
-    return _scan(w).select(
-        "url", F.length("result").alias("result_chars"),
+    """Scan results with their version sets kept apart; lengths are those of the whole documents."""
+    results, sets = _scan(w)
+    chars = scan_results.expanded_chars(results.select("url", "result"), ["url"], sets)
+    return results.join(chars, "url").select(
+        "url", F.col("result_chars").cast("int").alias("result_chars"),
         F.coalesce(F.json_array_length(reports.outcome()), F.lit(0)).alias("guesses"),
         F.get_json_object("result", "$.more_recent.name").alias("more_recent"),
     )
 
 
-def _scan(w: World) -> DataFrame:
+def _scan(w: World) -> tuple[DataFrame, DataFrame]:
     space = w.workspace("scan")
     site_list, crawl_rows, index, rules = content_crawl(w)
     saved = index_store.Index(**{
@@ -365,9 +368,11 @@ def _scan(w: World) -> DataFrame:
     })
     tables = index_store.stage_match_tables(saved, space)
     stored = w.spark.createDataFrame([], schema.SCAN_RESULT)
-    return scan.scan_batch(
-        space.save(site_list, "site-list"), space.save(crawl_rows, "crawl"), rules, saved, tables, stored, "content", space
+    path = space.folder("version-sets")
+    results = scan.scan_batch(
+        space.save(site_list, "site-list"), space.save(crawl_rows, "crawl"), rules, saved, tables, stored, "content", space, sets_path=path
     )
+    return space.save(results, "results"), scan_results.read_sets(w.spark, path)
 
 
 def _stream(w: World, table: str) -> DataFrame:

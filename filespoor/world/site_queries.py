@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, functions as F
 from filespoor.functions import urls
 from filespoor.functions.html import page_signals
 from filespoor.functions.text import basename, clean_path_name, default_scheme, file_type
-from filespoor.operators import index as ops, matching, recency, scoring, signals
+from filespoor.operators import index as ops, matching, recency, scoring, signals, version_sets
 from filespoor.params import InferenceParams
 from filespoor.plans.infer import infer_sites
 from filespoor.sources import crawl, index_store
@@ -315,16 +315,23 @@ def new_assets(w: World) -> DataFrame:
     return matching.new_assets(found, known)
 
 
-def _strengths(w: World) -> DataFrame:
-    """Strengths of all sites and versions, from written match tables and weighed assets."""
+def _weighed(w: World):
+    """Written match tables and weighed assets."""
     space = w.workspace("match")
     tables = index_store.stage_match_tables(w.index, space)
-    weighted = space.save(matching.weigh_assets(w.assets, tables.idf), "weighed-assets")
-    return scoring.with_strength(scoring.site_scores(weighted, tables.packed))
+    return space, tables, space.save(matching.weigh_assets(w.assets, tables.idf), "weighed-assets")
+
+
+def _strengths(w: World) -> DataFrame:
+    """Strengths of all sites and versions."""
+    space, tables, weighted = _weighed(w)
+    return scoring.with_strength(scoring.site_scores(weighted, tables.packed, save=space.save))
 
 
 def _best(w: World) -> DataFrame:
-    return scoring.best_guesses(_strengths(w))
+    space, tables, weighted = _weighed(w)
+    sums, others = version_sets.set_sums(weighted, tables.packed, save=space.save)
+    return scoring.best_guesses(scoring.strongest(sums, tables.packed, others))
 
 
 @query("guess_strength", """
