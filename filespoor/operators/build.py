@@ -122,24 +122,39 @@ def upsert_versions(existing: DataFrame, incoming: DataFrame, policy: str = "nam
     )
 
 
-def static_files_dim(existing: DataFrame | None, found: DataFrame) -> DataFrame:
+def file_hash(attempt: int) -> Column:
+    """The id that a file's key tries first, second, ..."""
+    return F.xxhash64(*FILE_KEY, *[F.lit(attempt)] * (attempt > 0))
+
+
+def static_files_dim(
+    existing: DataFrame | None, found: DataFrame, save: Callable[[DataFrame, str], DataFrame] = lambda df, name: df,
+    id_of: Callable[[int], Column] = file_hash,
+) -> DataFrame:
     """Distinct files with an id per ``(src_path, webroot_path, checksum)``.
 
-    Known files keep their id. The id of a new file is a 64-bit hash of its key; files
-    whose hash is already taken are numbered and hashed again, so ids stay distinct.
+    Known files keep their id. The id of a new file is a 64-bit hash of its key. Of new files that meet in an id the first by
+    key gets it, if no file has it yet; the others try another hash, until no two files share an id. A round beyond the
+    first is one over the few files that met.
     """
-    new = found.select(*FILE_KEY, F.lit(None).cast("bigint").alias("file_id"))
-    rows = new if existing is None else new.unionByName(existing.select(*FILE_KEY, "file_id"))
-    distinct = rows.groupBy(*FILE_KEY).agg(F.max("file_id").alias("file_id"))
-    hashed = distinct.withColumn("_hash", F.coalesce("file_id", F.xxhash64(*FILE_KEY)))
-    order = W.partitionBy("_hash").orderBy(F.col("file_id").asc_nulls_last(), *FILE_KEY)
-    place = F.row_number().over(order)
-    return hashed.withColumn("_place", place).select(
-        F.when(F.col("_place") == 1, F.col("_hash"))
-        .otherwise(F.xxhash64(*FILE_KEY, "_place"))
-        .alias("file_id"),
-        *FILE_KEY,
-    )
+    keys = found.select(*FILE_KEY).distinct()
+    if existing is None:
+        assigned, pending = keys.limit(0).select(F.lit(0).cast("bigint").alias("file_id"), *FILE_KEY), keys
+    else:
+        assigned = existing.groupBy(*FILE_KEY).agg(F.max("file_id").alias("file_id")).select("file_id", *FILE_KEY)
+        pending = keys.join(assigned, FILE_KEY, "left_anti")
+    attempt = 0
+    while True:
+        tried = pending.withColumn("file_id", id_of(attempt))
+        free = tried.join(assigned.select("file_id"), "file_id", "left_anti") if existing is not None or attempt else tried
+        first = W.partitionBy("file_id").orderBy(*FILE_KEY)
+        marked = free.withColumn("_place", F.row_number().over(first))
+        taken = save(marked.filter("_place = 1").select("file_id", *FILE_KEY), f"file-ids-{attempt}")
+        assigned = assigned.unionByName(taken)
+        pending = save(pending.join(taken, FILE_KEY, "left_anti"), f"files-without-id-{attempt}")
+        if pending.isEmpty():
+            return assigned
+        attempt += 1
 
 
 def static_file_uses(found: DataFrame, files: DataFrame) -> DataFrame:

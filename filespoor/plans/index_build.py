@@ -62,7 +62,7 @@ def build_index(
     found = workspace.save(
         fingerprinted_files(wanted, definitions, raw, **kinds).select("version_id", *build.FILE_KEY), "found"
     )
-    files = workspace.save(build.static_files_dim(index.files, found), "files")
+    files = workspace.save(build.static_files_dim(index.files, found, workspace.save), "files")
     # also versions of which every file is ignored have been read
     come = release_files.select("package", "version").distinct()
     done = todo.join(come, ["package", "version"], "left_semi")

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from filespoor.operators import build, delta, entropy, index, matching, recency, scoring, signals
 from filespoor.operators.skew import salted_join
 from filespoor.params import InferenceParams
+from filespoor.session import Workspace
 
 PACKAGES = [(1, "Alpha", "A", ["Al", "alf"]), (2, "Beta", "B", []), (3, "Gam%a", "C", [])]
 VERSIONS = [
@@ -152,6 +153,23 @@ def test_file_ids_stay_distinct(spark):
     assert ids["other"] == taken and ids["t"] == 5 and len(set(ids.values())) == 3
 
 
+def test_file_ids_that_meet_again_and_again_stay_distinct(spark):
+    """A hash of 8 bits for up to 200 files: many meet, more than once; old ids stay."""
+    def short(attempt):
+        return F.xxhash64(*build.FILE_KEY, F.lit(attempt)) % 128 + 128
+
+    rows = [(f"s{i}", f"w{i % 7}", bytes([i % 256])) for i in range(200)]
+    schema = "src_path STRING, webroot_path STRING, checksum BINARY"
+    space = Workspace(spark, "ids")
+    old = space.save(build.static_files_dim(None, spark.createDataFrame(rows[:120] * 2, schema), space.save, short), "old")
+    new = build.static_files_dim(old, spark.createDataFrame(rows[60:], schema), space.save, short)
+    before = {r.src_path: r.file_id for r in old.collect()}
+    after = {r.src_path: r.file_id for r in new.collect()}
+    assert len(before) == len(set(before.values())) == 120
+    assert len(after) == len(set(after.values())) == new.count() == 200
+    assert before == {k: after[k] for k in before}
+
+
 def test_upsert_policies(spark, toy):
     _, versions, _ = toy
     incoming = spark.createDataFrame([(1, "id11", "new", 5), (2, "idX", "fresh", 6)], "package_id BIGINT, internal_identifier STRING, name STRING, t BIGINT").select(
