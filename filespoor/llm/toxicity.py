@@ -49,6 +49,7 @@ MIN_CONTEXTS = 0.5  # different neighbours of a telling word, as a share of its
 MIN_PRECISION, Z = 0.5, 2.6  # lower bound of its precision, at so many standard deviations
 PREFIXES = (4, 5, 6, 7, 8)
 MOSTLY = 0.8
+LONG = 200  # stretches up to so many characters are kept in the dictionary
 BASE = 0.01  # score of a text without a telling word
 THRESHOLD = 0.3
 
@@ -101,6 +102,18 @@ def model(counts: list[tuple[int, int]]) -> np.ndarray:
     return np.log((three + 20 * p2) / (three.sum(axis=2, keepdims=True) + 20)).astype(np.float32)
 
 
+Path = tuple | None
+
+
+def spell(path: Path) -> str:
+    """The readings of a chain of (path before, reading), first to last."""
+    out = []
+    while path:
+        path, reading = path
+        out.append(reading)
+    return "".join(reversed(out))
+
+
 class Decoder:
     """Reads stretches through the channel under a trigram model."""
 
@@ -128,10 +141,16 @@ class Decoder:
     def read(self, stretch: str) -> str:
         if (found := self.known.get(stretch)) is not None:
             return found
-        states: dict[tuple[int, int], tuple[float, str]] = {(0, 0): (0.0, "")}
+        # a state's path is a chain of (path before, reading), so a step costs the same at any place
+        states: dict[tuple[int, int], tuple[float, Path]] = {(0, 0): (0.0, None)}
+        done: list[str] = []
         for place in [*self.lattice(stretch), [(" ", 0.0)]]:
-            after: dict[tuple[int, int], tuple[float, str]] = {}
-            for (a, b), (score, text) in states.items():
+            if len(states) == 1:  # what lies before a single state is certain
+                state, (score, path) = states.popitem()
+                done.append(spell(path))
+                states = {state: (score, None)}
+            after: dict[tuple[int, int], tuple[float, Path]] = {}
+            for (a, b), (score, path) in states.items():
                 for reading, cost in place:
                     x, y, total = a, b, score + cost
                     for c in reading:
@@ -139,12 +158,14 @@ class Decoder:
                         total += self.logs[x][y][z]
                         x, y = y, z
                     if (x, y) not in after or total > after[x, y][0]:
-                        after[x, y] = (total, text + reading)
+                        after[x, y] = (total, (path, reading))
             states = after
-        best = max(states.values(), key=lambda s: s[0])[1][:-1]
-        if len(self.known) > chunks.CACHE_SIZE:
-            self.known.clear()
-        self.known[stretch] = best
+        done.append(spell(max(states.values(), key=lambda s: s[0])[1]))
+        best = "".join(done)[:-1]
+        if len(stretch) <= LONG:
+            if len(self.known) > chunks.CACHE_SIZE:
+                self.known.clear()
+            self.known[stretch] = best
         return best
 
     def restore(self, text: str) -> str:
