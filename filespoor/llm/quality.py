@@ -180,7 +180,7 @@ common AS (
   SELECT source, key, count(*) AS n, arg_min(text, doc_id) AS first FROM firsts GROUP BY source, key HAVING count(*) > 20
 ), cut AS (
   SELECT doc_id, sum(f.n) AS n FROM full_lines f JOIN common c USING (source, key) JOIN hosts h USING (source)
-  WHERE 100 * c.n > 2 * h.docs AND f.text <> c.first GROUP BY doc_id
+  WHERE (100 * c.n > 2 * h.docs OR c.n > 1000) AND f.text <> c.first GROUP BY doc_id
 ), measured AS (
   SELECT w.doc_id, len(words) AS n_words, length(regexp_replace(text, '[\x20\x09-\x0D]+', '', 'g')) AS word_chars,
     length(regexp_replace(text, '[^#*$%&|<>]+', '', 'g')) AS n_symbols, coalesce(d.n, 0) AS n_dup_lines,
@@ -195,5 +195,5 @@ FROM failed
 
 @query("op1_quality_rules", SQL)
 def op1(spark: SparkSession, folder: str) -> DataFrame:
-    judged = judge(table(spark, folder, "documents"), Workspace(spark, "quality"))
+    judged = judge(table(spark, folder, "documents"), Workspace(spark, "quality"), line_most=LINE_MOST)
     return judged.select("doc_id", *MEASURES, "cut_words", "base_failed", "kept")
