@@ -4,8 +4,8 @@ A fingerprint of 64 bits is cut into 32 segments of two bits, and each segment i
 Manhattan distance of two such vectors is at most the number of differing bits, so fingerprints that differ in few bits are
 close there too. The vector is cut into 7 runs of segments; at a distance of at most 4 some 3 runs agree, as each
 difference spoils one run. So each fingerprint goes to one cell of the unit grid for every 3 of the 7 runs, close pairs
-meet in a cell, and in a cell the bits are checked in numpy blocks. The equal runs stand in for the lower bound: the
-Manhattan distance itself is not computed, as the exact bits, one operation a pair, leave nothing for it to sort out.
+meet in a cell. In a cell, numpy blocks of pairs are kept if the Manhattan distance of their vectors allows a link, and
+what is left is checked by its bits.
 
 A cell with n linked members gives n - 1 links, not all pairs: what is asked for are components. Cells that hold more
 than BLOCK fingerprints are dealt out as pairs of blocks, so no task has more than two blocks in hand. Only distinct
@@ -33,6 +33,7 @@ MAX_BITS = 4
 RUNS = 7
 BLOCK = 2048
 EVEN = 0x5555555555555555  # the lower bit of each segment
+_EVEN = np.uint64(EVEN)
 _TINY = 64  # cells up to this size are compared many at a time
 
 
@@ -83,6 +84,7 @@ def cells(runs: int = RUNS, agree: int = RUNS - MAX_BITS) -> list[int]:
 def grid(prints: DataFrame, masks: list[int]) -> DataFrame:
     """Each fingerprint (fp) in its cells (cell)."""
     # the number of set bits of each segment, in the segment's place: both bits above, one of them below
+    # (as in ``popcounts``)
     counts = prints.withColumn("next", F.shiftrightunsigned("fp", 1)).select("fp", F.expr(
         f"shiftleft(fp & next & {EVEN}L, 1) | ((fp ^ next) & {EVEN}L)"
     ).alias("counts"))
@@ -90,14 +92,35 @@ def grid(prints: DataFrame, masks: list[int]) -> DataFrame:
     return counts.select("fp", F.explode(F.array(*one)).alias("cell"))
 
 
+def popcounts(fp: np.ndarray) -> np.ndarray:
+    """The set bits of each segment (0, 1 or 2) of unsigned fingerprints, in the segment's place."""
+    high = fp >> np.uint64(1)
+    return ((fp & high & _EVEN) << np.uint64(1)) | ((fp ^ high) & _EVEN)
+
+
+def manhattan(left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """The Manhattan distance of vectors of ``popcounts``; never more than the number of differing bits."""
+    apart = left ^ right  # of a segment: equal 00, by one 01 or 11, by two 10
+    return np.bitwise_count(apart & _EVEN) + 2 * np.bitwise_count((apart >> np.uint64(1)) & ~apart & _EVEN)
+
+
+def _close(fp: np.ndarray, counts: np.ndarray, i: int | np.ndarray, j: np.ndarray, most: int) -> np.ndarray:
+    """Which pairs of places ``i`` and ``j`` are linked, as places in ``j``: by the lower bound, then by all bits."""
+    near = np.flatnonzero(manhattan(counts[i], counts[j]) <= most)
+    first = i if np.isscalar(i) else i[near]
+    return near[np.bitwise_count(fp[first] ^ fp[j[near]]) <= most]
+
+
 def _links(left: np.ndarray, right: np.ndarray, most: int, same: bool) -> tuple[np.ndarray, np.ndarray]:
     """Links enough to join what is linked in two blocks of fingerprints: each joins two sets that were apart."""
     both = left if same else np.r_[left, right]
+    counts = popcounts(both)
     label = np.arange(len(both))
+    place = np.arange(len(both))
     out: list[tuple[int, int]] = []
     for i in range(len(left)):
         first = i + 1 if same else len(left)
-        near = np.flatnonzero(np.bitwise_count(both[first:] ^ both[i]) <= most) + first
+        near = _close(both, counts, i, place[first:], most) + first
         for other, j in zip(*np.unique(label[near], return_index=True)):
             if other != label[i]:
                 out.append((i, near[j]))
@@ -111,6 +134,7 @@ def _links(left: np.ndarray, right: np.ndarray, most: int, same: bool) -> tuple[
 def compare(cell: np.ndarray, fp: np.ndarray, side: np.ndarray, most: int) -> list[tuple[np.ndarray, np.ndarray]]:
     """Links within groups of equal ``cell`` (sorted), fewer than members. Side 0 is compared within itself, or 1 with 2."""
     fp = fp.view(np.uint64)  # bits of signed numbers would be counted without their sign
+    counts = popcounts(fp)
     first = np.flatnonzero(np.r_[True, cell[1:] != cell[:-1]])
     size = np.diff(np.r_[first, len(cell)])
     group = np.repeat(np.arange(len(size)), size)
@@ -120,7 +144,7 @@ def compare(cell: np.ndarray, fp: np.ndarray, side: np.ndarray, most: int) -> li
         if not len(at):
             break
         at = at[(side[at] == 0) | (side[at] != side[at + step])]
-        pairs.append((at[np.bitwise_count(fp[at] ^ fp[at + step]) <= most], step))
+        pairs.append((at[_close(fp, counts, at, at + step, most)], step))
     left = np.concatenate([at for at, _ in pairs])
     right = np.concatenate([at + step for at, step in pairs])
     # groups with as many pairs as members go the way of the large ones
