@@ -1,8 +1,9 @@
 """URL rules and a list of URLs behind a blocked Bloom filter.
 
 Listed canonical URLs are folded into a filter of 64-bit blocks: a hash picks the block, further bits of it set a few bits
-there. The filter is a table (block, bits) that never has more than MAX_BLOCKS rows, whatever the length of the list,
-so it can be broadcast; URLs that pass it, true hits and a few false ones, are joined with the list itself.
+there. The filter is a table (block, bits) whose number of blocks follows the counted length of the list, so that few
+URLs pass by chance. Up to MAX_BLOCKS rows it is broadcast, beyond that joined by the block like any table. URLs that
+pass it, true hits and a few false ones, are joined with the list itself.
 """
 
 from __future__ import annotations
@@ -12,6 +13,7 @@ from pyspark.sql import functions as F
 
 from filespoor.llm.common import lower_ascii, table
 from filespoor.llm.registry import query
+from filespoor.session import Workspace
 
 # (verdict, host, path): a rule fits its host and all subdomains and paths that start with its path
 RULES = (
@@ -20,13 +22,10 @@ RULES = (
     ("block", "example.com", "/de/"),
     ("allow", "org", "/fr/"),
 )
-# domains whose pages make up the list of the query
-LISTED_DOMAINS = (
-    "ads-track.example.com", "casino-win.example.net", "spam-farm.example.org", "adult-x.example.com",
-    "cheap-pills.example.net", "free-bets.example.net",
-)
-MAX_BLOCKS = 2**17  # 16 bytes each: 2 MB of rows
-BITS = 6  # set bits per URL
+# a host with one of these labels, under any suffix and with any subdomain, has its pages on the list of the query
+LISTED_NAMES = ("ads-track", "casino-win", "spam-farm", "adult-x", "cheap-pills", "free-bets")
+MIN_BLOCKS, MAX_BLOCKS = 2**10, 2**20  # 16 bytes each: up to 16 MB of rows are broadcast
+PER_BLOCK, BITS = 4, 6  # URLs per block at most, on average; set bits per URL
 
 
 def with_parts(pages: DataFrame) -> DataFrame:
@@ -69,35 +68,45 @@ def _marks(df: DataFrame, blocks: int) -> DataFrame:
     )
 
 
-def bloom(listed: DataFrame, blocks: int = MAX_BLOCKS) -> DataFrame:
+def blocks_for(urls: int) -> int:
+    """A power of two of blocks with at most PER_BLOCK of ``urls`` each, on average."""
+    return max(MIN_BLOCKS, 1 << (-(-urls // PER_BLOCK) - 1).bit_length())
+
+
+def bloom(listed: DataFrame, blocks: int) -> DataFrame:
     """The filter of ``listed`` (canon): block, bits. At most ``blocks`` rows."""
     return _marks(listed, blocks).groupBy("block").agg(F.bit_or("mask").alias("bits"))
 
 
-def url_filter(pages: DataFrame, listed: DataFrame, rules: tuple = RULES, blocks: int = MAX_BLOCKS) -> DataFrame:
+def url_filter(
+    pages: DataFrame, listed: DataFrame, rules: tuple = RULES, blocks: int | None = None, most_broadcast: int = MAX_BLOCKS
+) -> DataFrame:
     """One row per row of ``pages`` (page_id, url): page_id, host, path, rule, verdict.
 
     The rule's verdict, else block if the canonical URL is in ``listed`` (canon), else allow. URLs without host or path
     are not in any list and allowed. Repeated rows and nulls in page_id are kept; a list may repeat its URLs or be empty.
+    Without ``blocks`` the list is counted, so a list that is costly to make should be written before. A filter of more
+    than ``most_broadcast`` blocks is not broadcast.
     """
+    blocks = blocks or blocks_for(listed.count())
+    marks = bloom(listed, blocks)
+    if blocks <= most_broadcast:
+        marks = F.broadcast(marks)
     rows = with_parts(pages.select("page_id", "url")).select("page_id", "host", "path")
     rows = rows.withColumns({"chosen": rule_of(F.col("host"), F.col("path")), "canon": canonical(F.col("host"), F.col("path"))})
-    ruled = rows.filter("chosen is not null").withColumn("verdict", F.col("chosen.verdict"))
-    open_rows = _marks(rows.filter("chosen is null"), blocks).join(F.broadcast(bloom(listed, blocks)), "block", "left")
-    passed = F.expr("coalesce((bits & mask) = mask, false) and canon <> ''")
-    free = open_rows.filter(~passed).withColumn("verdict", F.lit("allow"))
+    marked = _marks(rows, blocks).join(marks, "block", "left")
+    passed = F.expr("chosen is null and coalesce((bits & mask) = mask, false) and canon <> ''")
+    sure = marked.filter(~passed).withColumn("verdict", F.coalesce("chosen.verdict", F.lit("allow")))
     exact = listed.select("canon").distinct().withColumn("hit", F.lit(True))
-    tested = open_rows.filter(passed).join(exact, "canon", "left").withColumn("verdict", F.expr("if(hit, 'block', 'allow')"))
+    tested = marked.filter(passed).join(exact, "canon", "left").withColumn("verdict", F.expr("if(hit, 'block', 'allow')"))
     out = ("page_id", "host", "path", F.col("chosen.rule").alias("rule"), "verdict")
-    return ruled.select(*out).unionByName(free.select(*out)).unionByName(tested.select(*out))
+    return sure.select(*out).unionByName(tested.select(*out))
 
 
-def listed_of(pages: DataFrame, domains: tuple = LISTED_DOMAINS) -> DataFrame:
-    """Canonical URLs of all pages on the listed domains."""
+def listed_of(pages: DataFrame, names: tuple = LISTED_NAMES) -> DataFrame:
+    """Canonical URLs of all pages whose host has one of ``names`` as a label."""
     rows = with_parts(pages.select("url"))
-    on_list = F.lit(False)
-    for domain in domains:
-        on_list = on_list | _hits(F.col("host"), domain)
+    on_list = F.arrays_overlap(F.split("host", r"\."), F.array(*map(F.lit, names)))
     return rows.filter(on_list).select(canonical(F.col("host"), F.col("path")).alias("canon")).distinct()
 
 
@@ -122,7 +131,7 @@ WITH parts AS (
 ), canon AS (
   SELECT *, regexp_replace(host, '^(www|m)\.', '') || regexp_replace(path, '(\.html|/)$', '') AS canon FROM named
 ), listed AS (
-  SELECT DISTINCT canon FROM canon WHERE {" OR ".join(_sql_hits(d) for d in LISTED_DOMAINS)}
+  SELECT DISTINCT canon FROM canon WHERE list_has_any(string_split(host, '.'), {list(LISTED_NAMES)})
 ), ruled AS (
   SELECT *, CASE {_CASES} END AS chosen, canon IN (SELECT canon FROM listed) AS hit FROM canon
 )
@@ -134,4 +143,4 @@ FROM ruled
 @query("op10_url_filter", SQL)
 def op10(spark: SparkSession, folder: str) -> DataFrame:
     pages = table(spark, folder, "pages")
-    return url_filter(pages, listed_of(pages))
+    return url_filter(pages, Workspace(spark, "urls").save(listed_of(pages), "listed"))
