@@ -13,8 +13,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from filespoor.plans.index_build import update_index
+from filespoor.session import Workspace
 from filespoor.sources.index_store import Index, empty_index, read_index
 from filespoor.sources.scan_results import append_results, check_identifier
+from filespoor.streaming.settling import settled
 
 
 def _run(source: DataFrame, checkpoint: str, handle: Callable[[DataFrame, int], None]) -> None:
@@ -37,7 +39,7 @@ def incremental_scan(
     """Scan the sites of a stream of crawl rows.
 
     ``scan`` turns the rows of one batch into ``(url, scan_time, result)``. All rows of a
-    site have to arrive in one batch. Sites with a stored result are skipped.
+    site have to arrive in one batch; ``settled_scan`` does without that. Sites with a stored result are skipped.
     """
     check_identifier(identifier)
 
@@ -47,6 +49,33 @@ def incremental_scan(
     _run(source, checkpoint, handle)
 
 
+def settled_scan(
+    source: DataFrame,
+    site: str,
+    time: str,
+    quiet_seconds: int,
+    scan: Callable[[DataFrame], DataFrame],
+    results_path: str,
+    checkpoint: str,
+    identifier: str,
+    workspace: Workspace,
+) -> None:
+    """``incremental_scan`` of sites whose rows may come in several batches.
+
+    Rows wait as state until their ``site`` was quiet for ``quiet_seconds`` of ``time``, see ``settled``; what is not due when
+    the input is used up waits for the next run with the same ``checkpoint``. Due rows are written before they are scanned,
+    so that state is read once a batch.
+    """
+    check_identifier(identifier)
+
+    def handle(batch: DataFrame, _: int) -> None:
+        due = workspace.save(batch, "due")
+        if not due.isEmpty():
+            append_results(scan(due).withColumn("scan_identifier", F.lit(identifier)), results_path)
+
+    _run(settled(source, site, time, quiet_seconds), checkpoint, handle)
+
+
 def incremental_index(
     source: DataFrame,
     fingerprint: Callable[[DataFrame], DataFrame],

@@ -8,7 +8,7 @@ from filespoor import schema
 from filespoor.operators import cve, reports
 from filespoor.plans import cve_update, evaluate, scan
 from filespoor.sources import feeds, index_store, scan_results, sites
-from filespoor.streaming import incremental
+from filespoor.streaming import incremental, settling
 from filespoor.world.registry import query
 from filespoor.world.views import World, content_version, site_url
 
@@ -381,6 +381,9 @@ def _stream(w: World, table: str) -> DataFrame:
     return source.parquet(w.folder)
 
 
+_YEAR = 365 * 24 * 3600  # seconds
+
+
 @query("incremental_scan", """
 SELECT concat('http://u', CAST(user_id AS VARCHAR), '.example') AS url, CASE WHEN count(*) FILTER (event_type = 'error') > 0 THEN 'false' ELSE 'array' END AS outcome,
        count(DISTINCT json_extract_string(props, '$.k')) AS paths
@@ -388,11 +391,14 @@ FROM events GROUP BY user_id""")
 def incremental_scan(w: World) -> DataFrame:
     """The event log as a stream of crawl rows, scanned once per site.
 
-    The outcome of a site is a count over its rows here, so that it can be checked.
+    The rows of a site come in several batches and wait as state until the end of the log is told. The outcome of a site is
+    a count over its rows here, so that it can be checked.
     """
     space = w.workspace("stream")
-    results = space.folder("results")
-    source = _stream(w, "events")
+    results, landing, progress = space.folder("results"), space.folder("landing"), space.folder("progress")
+    crawled = w.table("events").select("user_id", "event_type", "props", F.col("ts").cast("timestamp").alias("fetched"))
+    crawled.repartition(4).write.parquet(landing)
+    settling.clock_row(crawled, "fetched", 300 * _YEAR).write.mode("append").parquet(landing)
 
     def scan_rows(batch: DataFrame) -> DataFrame:
         per_site = batch.groupBy("user_id").agg(
@@ -407,9 +413,11 @@ def incremental_scan(w: World) -> DataFrame:
             F.current_timestamp().alias("scan_time"), document.alias("result"),
         )
 
-    incremental.incremental_scan(source, scan_rows, results, space.folder("progress"), "events")
-    # a second run with fresh progress finds every site done
-    incremental.incremental_scan(source, scan_rows, results, space.folder("progress"), "events")
+    source = w.spark.readStream.schema(crawled.schema).option("maxFilesPerTrigger", 2).parquet(landing)
+    # a site may be in the whole log
+    incremental.settled_scan(source, "user_id", "fetched", 100 * _YEAR, scan_rows, results, progress, "events", space)
+    # a second run has nothing to do
+    incremental.settled_scan(source, "user_id", "fetched", 100 * _YEAR, scan_rows, results, progress, "events", space)
     stored = scan_results.read_results(w.spark, results)
     return stored.select(
         "url", F.when(reports.outcome() == "false", "false").otherwise("array").alias("outcome"),

@@ -10,7 +10,7 @@ from filespoor.operators import index as ops
 from filespoor.plans import compare, cve_update, index_build, infer, scan
 from filespoor.session import Workspace
 from filespoor.sources import feeds, index_store, releases, scan_results, sites
-from filespoor.streaming import incremental
+from filespoor.streaming import incremental, settling
 from model import Model
 
 
@@ -176,6 +176,34 @@ def test_streams_lose_and_repeat_nothing(spark):
     assert scan_results.read_results(spark, results).count() == 3
 
 
+def test_rows_wait_until_their_key_is_quiet(spark):
+    space = Workspace(spark, "settling")
+    landing, out = space.folder("in"), space.folder("out")
+    batches = [
+        [("a", 100, [("h", b"1")]), ("b", 105, None)],
+        [("a", 108, []), (None, 109, None)],
+        [("c", 130, [("x", None)])],  # the clock is at 120: a and b are due in the next batch
+        [("b", 125, None), ("a", 103, None), ("c", 131, None)],  # b has to wait again; rows of the due batch are not late yet
+        [("d", 101, None), (None, 1000, None)],  # d is late
+    ]
+    plain = "key STRING, s BIGINT, more ARRAY<STRUCT<n: STRING, v: BINARY>>"
+    for rows in batches:
+        frame = spark.createDataFrame(rows, plain).withColumn("time", F.timestamp_seconds("s"))
+        frame.coalesce(1).write.mode("append").parquet(landing)
+    source = spark.readStream.schema(frame.schema).option("maxFilesPerTrigger", 1).parquet(landing)
+    incremental._run(
+        settling.settled(source, "key", "time", 10),
+        space.folder("progress"), lambda batch, n: batch.withColumn("n", F.lit(n)).write.mode("append").parquet(out),
+    )
+    found = {}
+    for r in spark.read.parquet(out).collect():
+        found.setdefault((r.n, r.key), []).append((r.s, r.more))
+        assert r.time.timestamp() == r.s
+    assert sorted((key, sorted(s for s, _ in rows)) for (_, key), rows in found.items()) == [("a", [100, 103, 108]), ("b", [105, 125]), ("c", [130, 131])]
+    of_a = next(rows for (_, key), rows in found.items() if key == "a")
+    assert sorted((s, [(x.n, bytes(x.v)) for x in more]) for s, more in of_a if more is not None) == [(100, [("h", b"1")]), (108, [])]
+
+
 def test_stream_of_releases_yields_index_snapshots(spark):
     from filespoor.streaming import incremental
 
@@ -321,3 +349,30 @@ def test_scan_batch_resumes_and_stream_equals_batch(spark):
 
     incremental.incremental_scan(source, handle, streamed, space.folder("progress"), "t")
     assert {r.url: json.loads(r.result) for r in scan_results.read_results(spark, streamed).collect()} == rows
+
+    # the rows of each site over three batches, and a fourth one that ends the crawl
+    landing, settled, progress = space.folder("pieces"), space.folder("settled"), space.folder("progress")
+    own = crawl.withColumns({
+        "site": F.concat(F.lit("http://"), F.regexp_extract("url", "//([a-z]+[.]example)", 1)), "fetched": F.timestamp_seconds(F.lit(1000)),
+    })
+    for piece in range(3):
+        own.filter(F.pmod(F.crc32("url"), F.lit(3)) == piece).coalesce(1).write.mode("append").parquet(landing)
+    handled = []
+
+    def scan_settled(batch):
+        handled.append(batch.count())
+        here = listed.join(batch.select(F.col("site").alias("url")).distinct(), "url", "left_semi").select("site_id", "url")
+        return run(here, batch.drop("site", "fetched"), none)
+
+    def stream():
+        source = spark.readStream.schema(own.schema).option("maxFilesPerTrigger", 1).parquet(landing)
+        incremental.settled_scan(source, "site", "fetched", 60, scan_settled, settled, progress, "t", space)
+
+    stream()
+    assert not handled
+    settling.clock_row(own, "fetched", 9000).coalesce(1).write.mode("append").parquet(landing)
+    stream()
+    assert handled == [own.count()]
+    assert {r.url: json.loads(r.result) for r in scan_results.read_results(spark, settled).collect()} == rows
+    stream()
+    assert handled == [own.count()]
