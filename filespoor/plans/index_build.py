@@ -31,6 +31,30 @@ def fingerprinted_files(release_files: DataFrame, definitions: DataFrame, raw: b
     return build.fingerprint_files(placed, raw, **kinds)
 
 
+def _listed(index: Index, definitions: DataFrame, available: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Packages and versions with those that are listed now, and ``(package, version, version_id)`` of missing ones."""
+    incoming = definitions.select(F.col("package").alias("name"), "vendor", "alternative_names")
+    packages = build.upsert_packages(index.packages, incoming)
+    listed = available_with_ids(available, packages)
+    missing = build.missing_versions(listed, index.indexed_versions())
+    versions = build.upsert_versions(index.versions, missing.drop("package"))
+    ids = versions.select("package_id", "internal_identifier", "version_id")
+    todo = missing.join(ids, build.VERSION_KEY).select(
+        "package", F.col("internal_identifier").alias("version"), "version_id"
+    )
+    return packages, versions, todo
+
+
+def _filled(
+    index: Index, packages: DataFrame, versions: DataFrame, found: DataFrame, done: DataFrame, workspace: Workspace
+) -> Index:
+    """The tables with the written checksums ``found`` of the versions ``done``."""
+    files = workspace.save(build.static_files_dim(index.files, found, workspace.save), "files")
+    uses = index.uses.unionByName(build.static_file_uses(found, files)).distinct()
+    marked = mark_indexed(versions, done, F.current_timestamp())
+    return Index(packages=packages, versions=marked, files=files, uses=uses)
+
+
 def build_index(
     index: Index,
     definitions: DataFrame,
@@ -48,27 +72,29 @@ def build_index(
     checksums are written and all tables come from them. A version without any file here
     is listed, but stays missing until its files come.
     """
-    incoming = definitions.select(F.col("package").alias("name"), "vendor", "alternative_names")
-    packages = build.upsert_packages(index.packages, incoming)
-    listed = available_with_ids(available, packages)
-    indexed = index.indexed_versions()
-    missing = build.missing_versions(listed, indexed)
-    versions = build.upsert_versions(index.versions, missing.drop("package"))
-    ids = versions.select("package_id", "internal_identifier", "version_id")
-    todo = missing.join(ids, build.VERSION_KEY).select(
-        "package", F.col("internal_identifier").alias("version"), "version_id"
-    )
+    packages, versions, todo = _listed(index, definitions, available)
     wanted = release_files.join(todo, ["package", "version"])
     found = workspace.save(
         fingerprinted_files(wanted, definitions, raw, **kinds).select("version_id", *build.FILE_KEY), "found"
     )
-    files = workspace.save(build.static_files_dim(index.files, found, workspace.save), "files")
     # also versions of which every file is ignored have been read
     come = release_files.select("package", "version").distinct()
     done = todo.join(come, ["package", "version"], "left_semi")
-    uses = index.uses.unionByName(build.static_file_uses(found, files)).distinct()
-    marked = mark_indexed(versions, done, F.current_timestamp())
-    return Index(packages=packages, versions=marked, files=files, uses=uses)
+    return _filled(index, packages, versions, found, done, workspace)
+
+
+def build_from_checksums(
+    index: Index, definitions: DataFrame, available: DataFrame, checksums: DataFrame, workspace: Workspace
+) -> Index:
+    """``build_index`` from ``checksums(package, version, src_path, webroot_path, checksum)``: no content is moved.
+
+    A row with null ``src_path`` tells only that files of its version have come.
+    """
+    packages, versions, todo = _listed(index, definitions, available)
+    came = workspace.save(checksums.join(todo, ["package", "version"]).select("version_id", *build.FILE_KEY), "came")
+    found = came.filter(F.col("src_path").isNotNull())
+    done = todo.join(came.select("version_id").distinct(), "version_id", "left_semi")
+    return _filled(index, packages, versions, found, done, workspace)
 
 
 def update_index(

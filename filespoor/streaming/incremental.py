@@ -7,14 +7,17 @@ failure writes the same rows again, because what is stored already is left out.
 from __future__ import annotations
 
 import hashlib
+import json
 import uuid
 from collections.abc import Callable
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
-from filespoor.plans.index_build import update_index
+from filespoor.operators import build
+from filespoor.plans.index_build import build_from_checksums, fingerprinted_files, update_index
 from filespoor.session import Workspace
-from filespoor.sources.index_store import Index, empty_index, read_index
+from filespoor.sources.index_store import Index, empty_index, read_index, write_index
 from filespoor.sources.scan_results import append_results, check_identifier
 from filespoor.streaming.settling import settled
 
@@ -89,7 +92,7 @@ def incremental_index(
     earlier batches or other streams, are not indexed again. The rows of a batch have a
     folder of their own, by stream and batch, that a repeated batch replaces.
     """
-    stream = hashlib.sha256(checkpoint.encode()).hexdigest()[:16]
+    stream = _stream_id(checkpoint)
 
     def handle(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
@@ -110,10 +113,42 @@ _SNAPSHOT = T.StructType([
 ])
 
 
+def _folder(spark: SparkSession, path: str):
+    """The Hadoop path and its file system."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return folder, folder.getFileSystem(spark._jsc.hadoopConfiguration())
+
+
 def _snapshots(spark: SparkSession, path: str) -> DataFrame:
-    """The log of finished snapshots; a new one starts empty."""
-    spark.createDataFrame([], _SNAPSHOT).write.mode("append").parquet(f"{path}/log")
-    return spark.read.schema(_SNAPSHOT).parquet(f"{path}/log")
+    """The log of finished snapshots, one file each; a new one starts empty."""
+    folder, files = _folder(spark, f"{path}/log")
+    files.mkdirs(folder)
+    return spark.read.schema(_SNAPSHOT).json(f"{path}/log")
+
+
+def log_snapshot(spark: SparkSession, path: str, entry: tuple[int, str, str, int]) -> bool:
+    """Log a finished snapshot; False if its sequence number has been taken meanwhile.
+
+    The entry is written beside the log and moved in whole; the move fails where there is one already. That is atomic on
+    file systems that rename atomically, as HDFS does; on others one stream at a time may write to ``path``.
+    """
+    jvm = spark._jvm
+    source, files = _folder(spark, f"{path}/pending/{uuid.uuid4().hex}")
+    target, _ = _folder(spark, f"{path}/log/{entry[0]:012d}.json")
+    out = files.create(source)
+    out.write(bytearray(json.dumps(dict(zip(_SNAPSHOT.names, entry))).encode()))
+    out.close()
+    context = jvm.org.apache.hadoop.fs.FileContext.getFileContext(files.getUri(), spark._jsc.hadoopConfiguration())
+    mode = spark.sparkContext._gateway.new_array(jvm.org.apache.hadoop.fs.Options.Rename, 1)
+    mode[0] = jvm.org.apache.hadoop.fs.Options.Rename.NONE
+    try:
+        context.rename(source, target, mode)
+    except Py4JJavaError as error:
+        if error.java_exception.getClass().getSimpleName() != "FileAlreadyExistsException":
+            raise
+        files.delete(source, False)
+        return False
+    return True
 
 
 def latest_index(spark: SparkSession, path: str) -> Index:
@@ -122,26 +157,82 @@ def latest_index(spark: SparkSession, path: str) -> Index:
     return read_index(spark, last.snapshot) if last else empty_index(spark)
 
 
+def _extend(spark: SparkSession, path: str, stream: str, number: int, write: Callable[[str | None, str], object]) -> None:
+    """Write the snapshot of a batch on top of the last one, once.
+
+    ``write(old, new)`` makes the snapshot. Where another stream was faster it is made again on top of that one's, so
+    none is lost.
+    """
+    while True:
+        log = _snapshots(spark, path)
+        if not log.filter((F.col("stream") == stream) & (F.col("batch") == number)).isEmpty():
+            return
+        last = log.orderBy(F.desc("sequence")).first()
+        target = f"{path}/snapshots/{uuid.uuid4().hex}"
+        write(last.snapshot if last else None, target)
+        if log_snapshot(spark, path, (last.sequence + 1 if last else 0, target, stream, number)):
+            return
+
+
+def _stream_id(checkpoint: str) -> str:
+    return hashlib.sha256(checkpoint.encode()).hexdigest()[:16]
+
+
 def incremental_snapshots(
     source: DataFrame, definitions: DataFrame, available: DataFrame, path: str, checkpoint: str
 ) -> None:
     """Extend an index by a stream of release files, one snapshot per batch.
 
     A snapshot gets a folder of its own and counts once it is logged; a batch that is
-    repeated after that adds nothing. All files of a version have to arrive in one batch.
-    One stream at a time may write to ``path``.
+    repeated after that adds nothing. All files of a version have to arrive in one batch; ``settled_index`` does without that.
     """
-    stream = hashlib.sha256(checkpoint.encode()).hexdigest()[:16]
 
     def handle(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
-        log = _snapshots(spark, path)
-        if log.filter((F.col("stream") == stream) & (F.col("batch") == number)).limit(1).count():
-            return
-        last = log.orderBy(F.desc("sequence")).first()
-        target = f"{path}/snapshots/{uuid.uuid4().hex}"
-        update_index(spark, last.snapshot if last else None, target, definitions, available, batch)
-        entry = (last.sequence + 1 if last else 0, target, stream, number)
-        spark.createDataFrame([entry], _SNAPSHOT).coalesce(1).write.mode("append").parquet(f"{path}/log")
+        _extend(
+            spark, path, _stream_id(checkpoint), number,
+            lambda old, new: update_index(spark, old, new, definitions, available, batch),
+        )
 
     _run(source, checkpoint, handle)
+
+
+def settled_index(
+    source: DataFrame,
+    time: str,
+    quiet_seconds: int,
+    definitions: DataFrame,
+    available: DataFrame,
+    path: str,
+    checkpoint: str,
+    workspace: Workspace,
+    raw: bool = False,
+    **kinds,
+) -> None:
+    """``incremental_snapshots`` of versions whose files may come in several batches.
+
+    Files ``(package, version, path, content)`` with a ``time`` are fingerprinted as they come; only their checksums wait as
+    state, until the version was quiet for ``quiet_seconds``, see ``settled``. A row with null ``package`` moves the clock.
+    Several streams may write to ``path``; each version has to come by one of them.
+    """
+    key = ["package", "version"]
+    files = fingerprinted_files(source, definitions, raw, **kinds).select(*key, *build.FILE_KEY, time)
+    # ignored files tell that their version has come
+    nulls = [F.lit(None).cast(files.schema[name].dataType).alias(name) for name in build.FILE_KEY]
+    rows = files.unionByName(source.select(*key, *nulls, time)).withColumn(
+        "release", F.when(F.col("package").isNotNull(), F.to_json(F.struct(*key)))
+    )
+
+    def handle(batch: DataFrame, number: int) -> None:
+        spark = batch.sparkSession
+        due = workspace.save(batch, "due")
+        if due.isEmpty():
+            return
+
+        def write(old: str | None, new: str) -> None:
+            current = read_index(spark, old) if old else empty_index(spark)
+            write_index(build_from_checksums(current, definitions, available, due, workspace), new)
+
+        _extend(spark, path, _stream_id(checkpoint), number, write)
+
+    _run(settled(rows, "release", time, quiet_seconds), checkpoint, handle)

@@ -8,6 +8,7 @@ from filespoor.functions.text import natural_key
 from filespoor.operators import build, delta, entropy, index, recency, signals
 from filespoor.plans import compare, index_build, infer
 from filespoor.sources import index_store, releases
+from filespoor.streaming import incremental, settling
 from filespoor.world.registry import query
 from filespoor.world.views import World
 
@@ -697,13 +698,15 @@ def normalize(w: World) -> DataFrame:
     return by_k.join(sharing, "checksum").select("k", "copies", "forms", "sharing")
 
 
-@query("build_index", """,
+_BUILT_SQL = """,
 dim AS (
     SELECT DISTINCT lang, source, concat(lang, '/', source, '/', CAST(doc_id // 20 AS VARCHAR), '.txt') AS src_path, text FROM documents)
 SELECT lang AS package, source AS version, count(*) AS files, count(DISTINCT text) AS checksums, TRUE AS is_indexed
-FROM dim GROUP BY ALL""")
-def build_index(w: World) -> DataFrame:
-    """A full index of the documents as release files, counted per version."""
+FROM dim GROUP BY ALL"""
+
+
+def _release_inputs(w: World) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Definitions, available versions and release files: the documents, one version per language and source."""
     documents = w.table("documents")
     release_files = documents.select(
         F.col("lang").alias("package"),
@@ -720,12 +723,10 @@ def build_index(w: World) -> DataFrame:
         F.array(F.struct(F.lit("/").alias("webroot"), F.lit("/").alias("src"))).alias("path_map"),
         F.lit(None).cast("string").alias("ignore_paths"),
     )
-    space = w.workspace("build_index")
-    path = space.folder("index")
-    index_store.write_index(
-        index_build.build_index(index_store.empty_index(w.spark), packages, available, release_files, space), path
-    )
-    built = index_store.read_index(w.spark, path)
+    return packages, available, release_files
+
+
+def _version_counts(built: index_store.Index) -> DataFrame:
     used = index.version_files(built.files, built.uses)
     counts = used.groupBy("version_id").agg(
         F.count(F.lit(1)).alias("files"), F.count_distinct("checksum").alias("checksums")
@@ -736,3 +737,32 @@ def build_index(w: World) -> DataFrame:
     return named.select(
         F.col("package_name").alias("package"), F.col("version_name").alias("version"), "files", "checksums", "is_indexed"
     )
+
+
+@query("build_index", _BUILT_SQL)
+def build_index(w: World) -> DataFrame:
+    """A full index of the documents as release files, counted per version."""
+    packages, available, release_files = _release_inputs(w)
+    space = w.workspace("build_index")
+    path = space.folder("index")
+    index_store.write_index(
+        index_build.build_index(index_store.empty_index(w.spark), packages, available, release_files, space), path
+    )
+    return _version_counts(index_store.read_index(w.spark, path))
+
+
+@query("settled_index", _BUILT_SQL)
+def settled_index(w: World) -> DataFrame:
+    """The same from a stream: files of each version come in several batches and wait as checksums."""
+    packages, available, release_files = _release_inputs(w)
+    space = w.workspace("settled_index")
+    landing, path, progress = space.folder("landing"), space.folder("index"), space.folder("progress")
+    timed = release_files.withColumn("fetched", F.timestamp_seconds(F.lit(1_600_000_000)))
+    timed.repartition(4).write.parquet(landing)
+    settling.clock_row(timed, "fetched", 2_000_000_000).write.mode("append").parquet(landing)
+    definitions, listed = space.save(packages, "definitions"), space.save(available, "available")
+    source = w.spark.readStream.schema(timed.schema).option("maxFilesPerTrigger", 3).parquet(landing)
+    # a second run has nothing to do
+    for _ in range(2):
+        incremental.settled_index(source, "fetched", 3600, definitions, listed, path, progress, space)
+    return _version_counts(incremental.latest_index(w.spark, path))

@@ -225,6 +225,55 @@ def test_stream_of_releases_yields_index_snapshots(spark):
     assert last.indexed_versions().count() == 3 and last.files.count() == 5
 
 
+def test_files_of_a_version_come_in_several_batches(spark):
+    from filespoor.streaming import incremental
+
+    defs, available, files = inputs(spark)
+    space = Workspace(spark, "settled-index")
+    path = space.folder("index")
+    plain = index_build.update_index(spark, None, space.folder("plain"), defs, available, files)
+
+    def run(package, progress):
+        """One stream per package, whose versions are torn apart."""
+        landing = space.folder("landing")
+        timed = files.filter(F.col("package") == package).withColumn("fetched", F.timestamp_seconds(F.lit(1000)))
+        timed.repartition(2).write.parquet(landing)
+        settling.clock_row(timed, "fetched", 10_000).write.mode("append").parquet(landing)
+        source = spark.readStream.schema(timed.schema).option("maxFilesPerTrigger", 1).parquet(landing)
+        incremental.settled_index(source, "fetched", 60, defs, available, path, progress, space)
+
+    run("alpha", space.folder("p1"))
+    half = incremental.latest_index(spark, path).indexed_versions()
+    assert half.count() == plain.indexed_versions().count() - 1
+    run("beta", space.folder("p2"))
+    built = incremental.latest_index(spark, path)
+    for name in ("packages", "uses", "files"):
+        table = getattr(plain, name)
+        assert sorted(map(str, getattr(built, name).select(table.columns).collect())) == sorted(map(str, table.collect())), name
+    marked = "version_id", "name", "indexed IS NOT NULL"
+    assert {tuple(r) for r in built.versions.selectExpr(*marked).collect()} == {tuple(r) for r in plain.versions.selectExpr(*marked).collect()}
+
+
+def test_one_snapshot_of_a_number_is_logged(spark):
+    from filespoor.streaming import incremental
+
+    path = Workspace(spark, "log").path
+    assert incremental._snapshots(spark, path).count() == 0
+    assert incremental.log_snapshot(spark, path, (0, "a", "s", 0))
+    assert not incremental.log_snapshot(spark, path, (0, "b", "t", 0))
+    made = []
+
+    def write(old, new):
+        made.append(old)
+        if len(made) == 1:  # another stream is faster
+            assert incremental.log_snapshot(spark, path, (1, "c", "t", 1))
+
+    incremental._extend(spark, path, "s", 1, write)
+    incremental._extend(spark, path, "s", 1, write)
+    assert made == ["a", "c"]
+    assert [(r.sequence, r.stream) for r in incremental._snapshots(spark, path).orderBy("sequence").collect()] == [(0, "s"), (1, "t"), (2, "s")]
+
+
 def test_natural_key_compares_long_numbers(spark):
     from filespoor.functions.text import natural_key
     from pyspark.sql import functions as F
