@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from collections.abc import Iterable
 
-from pyspark.errors import IllegalArgumentException
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from filespoor import fixed_values as fv
@@ -12,8 +11,9 @@ from filespoor.functions import urls
 from filespoor.functions.text import basename, clean_rule_pattern, file_type, glob_regex
 from filespoor.operators.skew import salted_join
 
-RULE_BLOCK = 250
-MAX_RULES = 100_000  # set-up data that becomes part of the plan
+GRAM = 4  # characters of a rule's text that have to be in a page before the rule is tried
+STRETCH = 1 << 16  # characters of a page that are cut into such pieces at a time
+GROUP_DEPTH = 4
 
 
 def keep_scheme(url: Column) -> Column:
@@ -109,57 +109,75 @@ def _field_rules(pages: DataFrame, rules: DataFrame) -> DataFrame:
     return fields.join(wanted, ["kind", "field"]).filter(F.rlike("value", F.col("_regex"))).select("site_id", "app")
 
 
-def _text_rules(pages: DataFrame, patterns: list[tuple[str, str, str]]) -> DataFrame:
-    """``(kind, app, pattern)`` rules on the page and its script sources; patterns become constants of the plan.
+def required_literal(pattern: Column) -> Column:
+    """The longest plain text that each match of ``pattern`` has, in lower case; empty where none is sure.
 
-    They are compiled once per task and taken in blocks. Pages are read once.
+    Classes, groups, escapes and optional characters end a piece of plain text. Patterns with flags, alternatives outside of
+    groups, deeply nested groups or rare escapes count as having none.
     """
-    if not patterns:
-        return pages.select("site_id", F.lit(None).cast("string").alias("app")).filter(F.lit(False))
+    gap = "\x00"
+    text = F.regexp_replace(pattern, r"\\([dDwWsSbBnrt]|[^A-Za-z0-9])", gap)
+    text = F.regexp_replace(text, r"\[\^?\]?[^\[\]]*\]", gap)
+    for _ in range(GROUP_DEPTH):
+        text = F.regexp_replace(text, r"\((?!\?[^:=!<])[^()]*\)", gap)
+    unsure = F.rlike(text, F.lit(r"[()\[\]|\\]"))
+    text = F.regexp_replace(text, r"([*+?}])[?+]", "$1")
+    text = F.regexp_replace(text, r"(?s).(?:[*?]|\{[^}]*\})", gap)
+    pieces = F.split(text, r"[^\x20-\x7e]|[+^$.{}*?]")
+    longest = F.array_max(F.transform(pieces, lambda x: F.struct(F.length(x).alias("size"), x.alias("piece"))))["piece"]
+    return F.when(unsure, F.lit("")).otherwise(F.lower(longest))
+
+
+def _grams(texts: DataFrame) -> DataFrame:
+    """``(site_id, kind, gram)`` of ``texts(site_id, kind, text)``, taken in stretches; each text also has the empty one."""
+    start = F.explode(F.sequence(F.lit(0), F.floor(F.length("text") / STRETCH))).alias("_stretch")
+    part = F.lower(F.substr("text", F.col("_stretch") * STRETCH + 1, F.lit(STRETCH + GRAM - 1)))
+    found = F.regexp_extract_all(part, F.lit(f"(?=([\\x20-\\x7e]{{{GRAM}}}))"), F.lit(1))
+    return texts.select("site_id", "kind", "text", start).select(
+        "site_id", "kind", F.explode(F.concat(F.array(F.lit("")), F.array_distinct(found))).alias("gram")
+    )
+
+
+def _text_rules(pages: DataFrame, rules: DataFrame) -> DataFrame:
+    """Rules on the page and its script sources, found by a piece of text that each of their matches has.
+
+    The pieces of the pages meet those of the rules in a join; only pages that have the piece of a rule are tried with its
+    pattern. A rule without such a text is tried on all pages.
+    """
+    wanted = rules.filter(F.col("kind").isin("html", "script")).select("app", "kind", "pattern").distinct().withColumn(
+        "_literal", required_literal(F.col("pattern"))
+    )
+    keyed = wanted.withColumn("gram", F.when(F.length("_literal") < GRAM, "").otherwise(F.right("_literal", F.lit(GRAM))))
+    html = F.array(F.struct(F.lit("html").alias("kind"), F.col("html").alias("text")))
+    scripts = F.transform("script_srcs", lambda x: F.struct(F.lit("script").alias("kind"), x.alias("text")))
+    texts = pages.select("site_id", F.inline(F.concat(html, F.coalesce(scripts, F.array().cast("array<struct<kind:string,text:string>>")))))
+    texts = texts.filter(F.col("text").isNotNull())
+    tried = _grams(texts).join(keyed, ["kind", "gram"]).select("site_id", "kind", "app", "pattern", "_literal").distinct()
+    fits = F.contains(F.lower("text"), F.col("_literal")) & F.rlike("text", F.concat(F.lit("(?i)"), "pattern"))
+    return texts.join(tried, ["site_id", "kind"]).filter(fits).select("site_id", "app")
 
-    def hit(kind: str, pattern: str) -> Column:
-        regex = F.lit(f"(?i){pattern}")
-        return F.rlike("html", regex) if kind == "html" else F.exists("script_srcs", lambda x: F.rlike(x, regex))
 
-    blocks = [
-        F.array_compact(F.array(*[F.when(hit(kind, p), F.lit(app)) for kind, app, p in patterns[i : i + RULE_BLOCK]]))
-        for i in range(0, len(patterns), RULE_BLOCK)
-    ]
-    hits = blocks[0] if len(blocks) == 1 else F.concat(*blocks)
-    return pages.select("site_id", F.explode(hits).alias("app"))
+def compiles(pattern: Column) -> Column:
+    """Whether a pattern can be compiled."""
+    return F.try_reflect(F.lit("java.util.regex.Pattern"), F.lit("compile"), pattern).isNotNull()
 
 
 def invalid_patterns(spark: SparkSession, patterns: Iterable[str]) -> list[str]:
-    """Patterns that cannot be compiled; rules with them match nothing."""
-    pattern_class = spark._jvm.java.util.regex.Pattern
-    bad = []
-    for pattern in set(patterns):
-        try:
-            pattern_class.compile(pattern)
-        except IllegalArgumentException:
-            bad.append(pattern)
-    return bad
+    """Patterns of a list that cannot be compiled; rules with them match nothing."""
+    listed = spark.createDataFrame([(p,) for p in set(patterns)], "pattern STRING")
+    return [row.pattern for row in listed.filter(~compiles(F.col("pattern"))).collect()]
 
 
 def tech_rule_match(pages: DataFrame, rules: DataFrame) -> DataFrame:
     """``(site_id, app)`` where any header, meta, html or script rule of the app fits.
 
     ``pages(site_id, html, headers, metas, script_srcs)``. Patterns ignore case; header
-    and meta patterns are anchored at the start, the others are searched. The rules are a
-    small catalogue that belongs to the set-up; more than ``MAX_RULES`` are refused.
+    and meta patterns are anchored at the start, the others are searched. Rules are a table of any size; those whose pattern cannot
+    be compiled match nothing.
     """
-    cleaned = rules.filter(F.col("pattern").isNotNull()).withColumn(
-        "pattern", clean_rule_pattern(F.col("pattern"))
-    )
-    catalogue = cleaned.select("kind", "app", "pattern").distinct().limit(MAX_RULES + 1).collect()
-    if len(catalogue) > MAX_RULES:
-        raise ValueError(f"more than {MAX_RULES} rules: not a catalogue of technologies")
-    bad = set(invalid_patterns(rules.sparkSession, [row.pattern for row in catalogue]))
-    usable = cleaned.filter(~F.col("pattern").isin(*bad)) if bad else cleaned
-    text = sorted(
-        (row.kind, row.app, row.pattern) for row in catalogue if row.kind in ("html", "script") and row.pattern not in bad
-    )
-    return _field_rules(pages, usable).unionByName(_text_rules(pages, text)).distinct()
+    cleaned = rules.filter(F.col("pattern").isNotNull()).withColumn("pattern", clean_rule_pattern(F.col("pattern")))
+    usable = cleaned.filter(compiles(F.col("pattern")))
+    return _field_rules(pages, usable).unionByName(_text_rules(pages, usable)).distinct()
 
 
 def rule_versions(matches: DataFrame, packages: DataFrame, versions: DataFrame) -> DataFrame:

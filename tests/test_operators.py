@@ -3,6 +3,7 @@ from collections import Counter
 import pytest
 from pyspark.sql import functions as F
 
+from filespoor import schema
 from filespoor.operators import build, delta, entropy, index, matching, recency, scoring, signals
 from filespoor.operators.skew import salted_join
 from filespoor.params import InferenceParams
@@ -222,6 +223,37 @@ def test_rules(spark):
     assert sorted(signals.invalid_patterns(spark, ["a+", "(unclosed", "[z-a]"])) == ["(unclosed", "[z-a]"]
 
 
+PATTERNS = [
+    "wp-content", "Powered by (?:Foo|Bar)", "foo|barbaz", "colou?rful", "abc{0,2}defg", r"min\.js", "a+?bcde", "[a-f]xyzzy", "(?i)quux",
+    "x{2}yyyy", "((a(b|c))d)?tail", "gen(?=erator)", r"\d+ items", "<link[^>]+href=\"shop", "z", "", "^start", "end$", "(((((deep)))))", "tail(?!or)",
+    "\u00e4\u00f6plain", "line\nbreak", "(?<name>v)ersion", "k(?:elvin)", r"\x41bcd", "no*ne",
+]
+
+
+def test_rules_found_by_text_equal_all_rules_on_all_pages(spark, monkeypatch):
+    monkeypatch.setattr(signals, "STRETCH", 7)  # pieces across stretches
+    pages = [
+        "see WP-Content here", "powered BY bar", "barbaz", "colorful and Colourful", "abdefg ABCDEFG", "jquery.MIN.js", "aabcde", "Fxyzzy", "QUUX",
+        "xxyyyy", "tail tailor", "the generator", "12 items", "<LINK rel=x href=\"shop/1", "start", "the end", "deep", "", "\u00c4\u00f6plain", "\u00e4\u00f6plain", "line\nbreak",
+        "version", "\u212aelvin", "Abcd", "nne", None,
+    ]
+    rows = [(i, p, None, None, ["x", p] if i % 2 else None) for i, p in enumerate(pages)]
+    shown = spark.createDataFrame(rows, "site_id INT, html STRING, headers ARRAY<STRUCT<name: STRING, value: STRING>>, "
+                                  "metas ARRAY<STRUCT<name: STRING, content: STRING>>, script_srcs ARRAY<STRING>")
+    listed = [(f"{kind}{i}", kind, None, p) for i, p in enumerate([*PATTERNS, "(bad", "[z-a]"]) for kind in ("html", "script")]
+    rules = spark.createDataFrame(listed, schema.TECH_RULE)
+    got = {tuple(r) for r in signals.tech_rule_match(shown, rules).collect()}
+    good = rules.filter(signals.compiles(F.col("pattern"))).withColumn("regex", F.concat(F.lit("(?i)"), "pattern"))
+    assert good.count() == 2 * len(PATTERNS)
+    all_pairs = shown.crossJoin(good).where(
+        "(kind = 'html' AND html RLIKE regex) OR (kind = 'script' AND exists(script_srcs, x -> x RLIKE regex))")
+    assert got == {tuple(r) for r in all_pairs.select("site_id", "app").collect()}
+    literals = spark.createDataFrame([(p,) for p in PATTERNS], "pattern STRING").select(signals.required_literal(F.col("pattern")))
+    found = dict(zip(PATTERNS, (r[0] for r in literals.collect())))
+    assert found["wp-content"] == "wp-content" and found["Powered by (?:Foo|Bar)"] == "powered by " and found["colou?rful"] == "rful"
+    assert found["foo|barbaz"] == found["(?i)quux"] == found[PATTERNS[24]] == ""
+
+
 def test_included_assets(spark):
     refs = ["a.css", "/b.js?v=1", "ftp://x/c.js", "http://cdn/d.png", "page.html", "README", "http://[bad/e.js", "a.css"]
     df = spark.createDataFrame([(1, "http://h/sub/", refs)], "site_id INT, url STRING, refs ARRAY<STRING>")
