@@ -103,7 +103,8 @@ def candidate_paths(
         ranked = ranked.join(by_set, "set_id").filter(F.col("rank") <= F.col("_max_depth")).drop("_max_depth")
         options = deepest.join(ranked, "set_id").filter(F.col("rank") <= F.col("_depth")).drop("_depth")
     else:
-        options = wanted.join(ranked, "set_id")
+        # very many sites may share a set
+        options = salted_join(wanted, ranked, ["set_id"])
     unseen = options.drop("rank").join(seen, ["site_id", "webroot_path"], "left_anti")
     return entropy.top_paths(unseen.drop("set_id").withColumnRenamed("site_id", "set_id"), limit).withColumnRenamed(
         "set_id", "site_id"
@@ -285,3 +286,27 @@ def complete_retrieval_plan(packages: DataFrame, versions: DataFrame, tables: Ma
     return entropy.top_paths(
         entropy.path_entropy(chosen.select(F.lit(0).alias("set_id"), "version_id"), tables.path_checksums), None
     ).drop("set_id")
+
+
+def complete_retrieval(
+    sites: DataFrame,
+    guesses: DataFrame,
+    assets: DataFrame,
+    responses: DataFrame,
+    tables: MatchTables,
+    params: InferenceParams = InferenceParams(),
+    strict_paths: bool = False,
+) -> DataFrame:
+    """Every telling path of every site, looked up without an early stop.
+
+    ``sites(site_id, base_url)``, ``guesses(site_id, version_id)``; paths of ``assets`` are left out, ``responses`` come from
+    ``known_responses``. Returns ``(site_id, rank, webroot_path, url, success, found)`` in the order of requests of a site; ``found``
+    says that the content is in the index. Sites with the same versions share one ranking.
+    """
+    paths = candidate_paths(guesses, assets, tables, None).select("site_id", "rank", F.col("webroot_path").alias("path"))
+    wanted = sites.select("site_id", "base_url").join(paths, "site_id").select(
+        "site_id", "rank", "path", urls.join_url(F.col("base_url"), F.col("path")).alias("url")
+    )
+    return request(wanted, responses, params, strict_paths).select(
+        "site_id", "rank", F.col("path").alias("webroot_path"), "url", "success", "found"
+    )

@@ -7,6 +7,7 @@ from collections.abc import Callable, Mapping
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from filespoor import fixed_values as fv, schema
+from filespoor.functions.fingerprint import location_checksum
 from filespoor.functions.text import dashed_tag_name, java_regex, matches_at_start
 
 
@@ -23,23 +24,39 @@ def definitions(spark: SparkSession) -> DataFrame:
 
 
 def file_snapshot(spark: SparkSession, folder: str, glob: str = "*") -> DataFrame:
-    """Release files below ``folder/package/version/``, one row per file with its bytes."""
+    """Release files below ``folder/package/version/``, one row per file with its bytes. Spark lists no empty files."""
+    return _snapshot_files(spark, folder, glob).select("package", "version", "path", "content")
+
+
+def file_snapshot_checksums(spark: SparkSession, folder: str, glob: str = "*") -> DataFrame:
+    """``(package, version, path, length, checksum)`` of the same files, of any size.
+
+    Only names and lengths are listed; tasks read the files in pieces and keep none of them. Files are dealt to tasks by name,
+    as a listing has many in one task. Spark lists no empty files.
+    """
+    listed = _snapshot_files(spark, folder, glob).select("package", "version", "path", "length", "location")
+    dealt = listed.repartition(max(spark.sparkContext.defaultParallelism, 1), "location")
+    return dealt.select("package", "version", "path", "length", location_checksum("location").alias("checksum"))
+
+
+def _snapshot_files(spark: SparkSession, folder: str, glob: str) -> DataFrame:
     layout = r"/([^/]+)/([^/]+)/(.*)$"
     prefix = folder.rstrip("/").rsplit("/", 1)[-1]
-    inner = F.regexp_extract("path", f"/{prefix}{layout}", 0)
     files = (
         spark.read.format("binaryFile")
         .option("recursiveFileLookup", "true")
         .option("pathGlobFilter", glob)
         .load(folder)
-        .select("path", "content")
-        .withColumn("_inner", inner)
+        .withColumnRenamed("path", "location")
+        .withColumn("_inner", F.regexp_extract("location", f"/{prefix}{layout}", 0))
     )
     part = f"^/{prefix}{layout}"
     return files.select(
         F.regexp_extract("_inner", part, 1).alias("package"),
         F.regexp_extract("_inner", part, 2).alias("version"),
         F.regexp_extract("_inner", part, 3).alias("path"),
+        "location",
+        "length",
         "content",
     )
 

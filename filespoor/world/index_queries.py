@@ -544,6 +544,29 @@ def file_snapshot_scan(w: World) -> DataFrame:
     return files.groupBy("package", "version").agg(F.sum(F.octet_length("content").cast("bigint")).alias("bytes"))
 
 
+@query("file_checksums", """
+SELECT concat('lang=', lang) AS package, concat('source=', source) AS version, count(*) AS n_texts,
+       CAST(sum(octet_length(encode(text)) + 1) AS BIGINT) AS bytes, TRUE AS same
+FROM documents GROUP BY ALL""")
+def file_checksums(w: World) -> DataFrame:
+    """The same files hashed where they lie, in pieces, next to checksums of their whole content."""
+    from filespoor.functions.fingerprint import raw_checksum
+
+    path = w.workspace("checksums").folder("files")
+    documents = w.table("documents").select("lang", "source", "text")
+    documents.repartition("lang", "source").write.partitionBy("lang", "source").text(path)
+    key = ["package", "version", "path"]
+    whole = releases.file_snapshot(w.spark, path, "*.txt").select(*key, raw_checksum("content").alias("_whole"))
+    files = releases.file_snapshot_checksums(w.spark, path, "*.txt").join(whole, key)
+    summed = files.groupBy("package", "version").agg(
+        F.sum("length").alias("bytes"), F.bool_and(F.col("checksum") == F.col("_whole")).alias("same")
+    )
+    texts = documents.groupBy(
+        F.concat(F.lit("lang="), "lang").alias("package"), F.concat(F.lit("source="), "source").alias("version")
+    ).agg(F.count(F.lit(1)).alias("n_texts"))
+    return summed.join(texts, ["package", "version"])
+
+
 @query("version_refs", """,
 ref AS (
     SELECT o_orderkey, concat(CASE WHEN o_orderstatus = 'P' THEN 'refs/heads/' ELSE 'refs/tags/' END,

@@ -9,6 +9,7 @@ from filespoor.functions.html import page_signals
 from filespoor.functions.text import basename, clean_path_name, default_scheme, file_type
 from filespoor.operators import index as ops, matching, recency, scoring, signals, version_sets
 from filespoor.params import InferenceParams
+from filespoor.plans import infer
 from filespoor.plans.infer import infer_sites
 from filespoor.sources import crawl, index_store
 from filespoor.world.registry import query
@@ -492,6 +493,34 @@ def content_inference(w: World):
     return infer_sites(*parts, tables, space.save(w.doc_index_files, "files"), space)
 
 
+@query("complete_retrieval", """,
+run AS (SELECT DISTINCT e.user_id AS site_id, d.lang, d.source FROM events e JOIN documents d ON d.doc_id = e.user_id),
+size AS (SELECT lang, count(DISTINCT version_id) AS n FROM doc_file GROUP BY lang),
+telling AS (
+    SELECT lang, webroot_path, count(DISTINCT version_id) + count(DISTINCT checksum) AS weight FROM doc_file JOIN size USING (lang)
+    GROUP BY lang, webroot_path, n HAVING NOT (n > 1 AND count(DISTINCT version_id) = n AND count(DISTINCT checksum) = 1)),
+unseen AS (
+    SELECT r.site_id, r.lang, r.source, t.webroot_path,
+           CAST(row_number() OVER (PARTITION BY site_id ORDER BY weight DESC, webroot_path) AS INTEGER) AS rank
+    FROM run r JOIN telling t USING (lang)
+    WHERE NOT EXISTS (SELECT 1 FROM events e WHERE e.user_id = r.site_id
+                      AND concat('p', json_extract_string(e.props, '$.k')) = t.webroot_path)),
+served AS (SELECT DISTINCT d.lang, d.source, concat('p', CAST(d.doc_id // 20 AS VARCHAR)) AS webroot_path FROM documents d)
+SELECT u.site_id, u.rank, u.webroot_path, concat('http://u', CAST(u.site_id AS VARCHAR), '.example/', u.webroot_path) AS url,
+       s.lang IS NOT NULL AS success, s.lang IS NOT NULL AS found
+FROM unseen u LEFT JOIN served s ON s.lang = u.lang AND s.source = u.source AND s.webroot_path = u.webroot_path""")
+def complete_retrieval(w: World) -> DataFrame:
+    """All telling paths of the versions in a site's language, except those its pages name."""
+    space = w.workspace("complete-retrieval")
+    listed, included, _, crawled = content_sites(w)
+    tables = index_store.derive_match_tables(ops.path_checksums(w.doc_files), w.doc_versions, space.save)
+    languages = w.table("documents").select(F.col("doc_id").alias("site_id"), F.col("lang").alias("package"))
+    guesses = listed.join(languages, "site_id").join(w.doc_versions, "package").select("site_id", "version_id")
+    responses = space.save(infer.known_responses(crawled, tables.idf), "responses")
+    seen = infer.request(included, responses, PARAMS)
+    return infer.complete_retrieval(listed, space.save(guesses, "guesses"), space.save(seen, "seen"), responses, tables)
+
+
 @query("infer_sites")
 def infer_sites_query(w: World) -> DataFrame:
     result = content_inference(w)

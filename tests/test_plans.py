@@ -288,6 +288,22 @@ def test_definitions_table(spark):
     assert defs.count() == 19 and defs.filter("version_group > 0").count() == 7
 
 
+def test_files_are_hashed_in_pieces(spark, tmp_path, monkeypatch):
+    from filespoor.functions import fingerprint
+
+    folder = tmp_path / "my snap" / "alpha" / "v 1"
+    folder.mkdir(parents=True)
+    contents = {"empty.js": b"", "one.js": b"x" * 1000, "two %41.js": bytes(range(256)) * 70_000, "many.js": b"ab" * (13 << 20)}
+    for name, data in contents.items():
+        (folder / name).write_bytes(data)
+    rows = releases.file_snapshot_checksums(spark, str(tmp_path / "my snap")).collect()
+    assert {(r.package, r.version, r.path): (r.length, bytes(r.checksum)) for r in rows} == {
+        ("alpha", "v 1", name): (len(data), checksum(data)) for name, data in contents.items() if data}  # Spark lists no empty files
+    assert fingerprint.file_digest(str(folder / "empty.js")) == checksum(b"")
+    monkeypatch.setattr(fingerprint, "CHUNK", 7)
+    assert fingerprint.file_digest(str(folder / "one.js")) == fingerprint.file_digest(f"file://{folder / 'one.js'}") == checksum(contents["one.js"])
+
+
 def test_file_snapshot(spark, tmp_path):
     folder = tmp_path / "snap" / "alpha" / "v1" / "d"
     folder.mkdir(parents=True)
