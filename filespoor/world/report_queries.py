@@ -376,9 +376,8 @@ def _scan(w: World) -> tuple[DataFrame, DataFrame]:
 
 
 def _stream(w: World, table: str) -> DataFrame:
-    """A table as a file stream."""
-    source = w.spark.readStream.schema(w.table(table).schema).option("pathGlobFilter", f"{table}.parquet")
-    return source.parquet(w.folder)
+    """A table as a file stream; it is one file or a folder of files, which a pattern covers both."""
+    return w.spark.readStream.schema(w.table(table).schema).parquet(f"{w.folder}/{{{table}.parquet}}")
 
 
 _YEAR = 365 * 24 * 3600  # seconds

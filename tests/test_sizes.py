@@ -3,7 +3,7 @@
 import pytest
 
 from filespoor.plans import compare
-from filespoor.world import index_queries
+from filespoor.world import index_queries, report_queries
 from filespoor.world.views import World
 
 
@@ -25,3 +25,15 @@ def test_compare_releases_of_one_name(spark, tmp_path):
     assert rows == {("t/1/b", "b/one -> b/two"), ("u/2/b", "newly created: b/three")}
     with pytest.raises(ValueError):  # a name alone has to be that of one release
         compare.compare_versions(world.index, world.used_files, "FRANCE", "0.1", "1.0")
+
+
+def test_stream_of_a_table_in_a_folder(spark, tmp_path):
+    rows = [(0, "x", "en", "s1"), (1, "x", "en", "s1"), (25, "y", "en", "s1"), (40, "z", "fr", "s2")]
+    documents = spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string")
+    documents.repartition(3).write.parquet(f"{tmp_path}/many/documents.parquet")
+    documents.coalesce(1).write.parquet(f"{tmp_path}/out")
+    (tmp_path / "one").mkdir()
+    next((tmp_path / "out").glob("part-*")).rename(tmp_path / "one/documents.parquet")
+    for folder in ("many", "one"):
+        found = report_queries.incremental_index(World(spark, f"{tmp_path}/{folder}"))
+        assert {tuple(r) for r in found.collect()} == {(1, 2, 2), (1002, 1, 1)}
