@@ -4,7 +4,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 
-from filespoor.operators import scoring, version_sets
+from filespoor.operators import entropy, matching, scoring, version_sets
 from filespoor.params import InferenceParams
 from filespoor.plans import compare
 from filespoor.session import Workspace
@@ -91,3 +91,32 @@ def test_strongest_of_a_block_equals_all_sums():
         want = sorted(total, key=lambda v: (-total[v], v))[:7]
         assert block.versions[block.strongest([block.list_of(k) for k in chosen], gains, 7)].tolist() == want
         assert not block.sum.any()
+
+
+@pytest.mark.parametrize("listed", [1000, 1])
+def test_excluded_paths_meet_lists(spark, listed):
+    """Paths that are dealt by site are neither shuffled nor sorted, also where some sites have seen too much for a list."""
+    rows = [(1, "a"), (1, "b"), (1, None), (2, "a"), (2, "a"), (3, "c"), (None, "a")]
+    paths = spark.createDataFrame(rows, "site_id long, webroot_path string").repartition(4, "site_id")
+    seen = spark.createDataFrame([(1, "a"), (1, "c"), (2, "b"), (2, None), (None, "a"), (1, "a")], "site_id long, webroot_path string")
+    left = entropy.exclude_paths(paths, seen, "site_id", listed)
+    want = paths.join(seen.distinct(), ["site_id", "webroot_path"], "left_anti")
+    key = lambda x: sorted(map(repr, x.collect()))
+    assert key(left) == key(want) and left.columns == want.columns
+    plan = entropy.exclude_paths(paths, seen, "site_id")._jdf.queryExecution().executedPlan().toString()
+    assert "ShuffledHashJoin" in plan
+
+
+def test_matches_of_kinds_are_not_shuffled(spark):
+    """Versions are given out from lists: no shuffle has a row per kind and version."""
+    kinds = spark.createDataFrame([("p", "x", True), ("p", "", False), ("q", "y", True), (None, "x", True), ("r", "z", True)],
+                                  "webroot_path string, checksum string, success boolean")
+    by_checksum = spark.createDataFrame([("x", 1), ("x", 2), ("x", None), ("", 9), ("y", 3)], "checksum string, version_id long")
+    by_path = spark.createDataFrame([("p", 2), ("p", 4), ("p", None), ("q", 3)], "webroot_path string, version_id long")
+    found = matching.kind_matches(kinds, by_checksum, by_path)
+    assert {tuple(r) for r in found.collect()} == {
+        ("p", "x", 1, True), ("p", "x", 2, True), ("p", "x", None, True), ("p", "x", 4, False), ("p", "", 2, False), ("p", "", 4, False),
+        ("p", "", None, False), ("q", "y", 3, True), (None, "x", 1, True), (None, "x", 2, True), (None, "x", None, True),
+    }
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.strip().startswith(("Generate", "Project")) and "explode(versions" in plan.split("Join")[0]
