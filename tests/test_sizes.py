@@ -4,7 +4,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 
-from filespoor.operators import entropy, matching, scoring, version_sets
+from filespoor.operators import entropy, matching, scoring, signals, version_sets
 from filespoor.params import InferenceParams
 from filespoor.plans import compare
 from filespoor.session import Workspace
@@ -120,3 +120,17 @@ def test_matches_of_kinds_are_not_shuffled(spark):
     }
     plan = found._jdf.queryExecution().optimizedPlan().toString()
     assert plan.strip().startswith(("Generate", "Project")) and "explode(versions" in plan.split("Join")[0]
+
+
+def test_estimates_are_made_distinct_before_they_are_many(spark):
+    """Only versions of several packages need an aggregation over sites and versions."""
+    packages = spark.createDataFrame([(1, "a", ["x"]), (2, "b", ["x"]), (3, "c", None)], "package_id long, name string, alternative_names array<string>")
+    versions = spark.createDataFrame(
+        [(1, 10, "1.0", 1), (1, 10, "1.0", 1), (1, 11, "1.1", 1), (2, 10, "1.0", 1), (2, 20, "2.0", 1), (3, 30, "3", 1), (3, 31, "4", None)],
+        "package_id long, version_id long, name string, indexed int")
+    matches = spark.createDataFrame([(7, "X"), (7, "a"), (8, "c"), (8, "c"), (9, "none")], "site_id long, app string")
+    found = signals.rule_versions(matches, packages, versions)
+    assert sorted(tuple(r) for r in found.collect()) == [(7, 10), (7, 11), (7, 20), (8, 30)]
+    for rows in (found,):
+        union = rows._jdf.queryExecution().optimizedPlan().toString().splitlines()
+        assert union[0].startswith("Union") and union[1].strip(" :+-").startswith("Project")
