@@ -123,7 +123,7 @@ def test_matches_of_kinds_are_not_shuffled(spark):
 
 
 def test_estimates_are_made_distinct_before_they_are_many(spark):
-    """Only versions of several packages need an aggregation over sites and versions."""
+    """Only versions of several packages and sites with several texts need an aggregation over sites and versions."""
     packages = spark.createDataFrame([(1, "a", ["x"]), (2, "b", ["x"]), (3, "c", None)], "package_id long, name string, alternative_names array<string>")
     versions = spark.createDataFrame(
         [(1, 10, "1.0", 1), (1, 10, "1.0", 1), (1, 11, "1.1", 1), (2, 10, "1.0", 1), (2, 20, "2.0", 1), (3, 30, "3", 1), (3, 31, "4", None)],
@@ -131,6 +131,9 @@ def test_estimates_are_made_distinct_before_they_are_many(spark):
     matches = spark.createDataFrame([(7, "X"), (7, "a"), (8, "c"), (8, "c"), (9, "none")], "site_id long, app string")
     found = signals.rule_versions(matches, packages, versions)
     assert sorted(tuple(r) for r in found.collect()) == [(7, 10), (7, 11), (7, 20), (8, 30)]
-    for rows in (found,):
+    texts = spark.createDataFrame([(7, "a 1.0"), (7, "a"), (7, "a"), (8, "b"), (8, "b"), (9, "c 9")], "site_id long, generator string")
+    named = signals.generator_versions(texts, packages, versions)
+    assert sorted(tuple(r) for r in named.collect()) == [(7, 10), (7, 11), (8, 10), (8, 20), (9, 30)]
+    for rows in (found, named):
         union = rows._jdf.queryExecution().optimizedPlan().toString().splitlines()
         assert union[0].startswith("Union") and union[1].strip(" :+-").startswith("Project")
