@@ -3,10 +3,12 @@
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
-from filespoor.operators import entropy, matching, scoring, signals, version_sets
+from filespoor.operators import entropy, matching, reports, scoring, signals, version_sets
+from filespoor.operators.skew import expanding_join
 from filespoor.params import InferenceParams
-from filespoor.plans import compare
+from filespoor.plans import compare, infer
 from filespoor.session import Workspace
 from filespoor.world import index_queries, report_queries
 from filespoor.world.views import World
@@ -137,3 +139,89 @@ def test_estimates_are_made_distinct_before_they_are_many(spark):
     for rows in (found, named):
         union = rows._jdf.queryExecution().optimizedPlan().toString().splitlines()
         assert union[0].startswith("Union") and union[1].strip(" :+-").startswith("Project")
+
+
+def test_strongest_paths_equal_path_entropy(spark, monkeypatch):
+    """Blocks of sets give the first paths of each, as a row for each set and file does; over shares of the paths too."""
+    rng = np.random.default_rng(7)
+    rows = {(int(v), f"p{p:02d}" if p else None, f"c{c}" if c else None) for v, p, c in rng.integers(0, (9, 30, 4), (400, 3))}
+    by_path = spark.createDataFrame(sorted(rows, key=repr), "version_id long, webroot_path string, checksum string")
+    chosen = {f"s{k}": sorted({int(v) for v in rng.integers(0, 11, rng.integers(1, 7))}) for k in range(40)} | {"none": [99], "one": [3]}
+    members = spark.createDataFrame([(s, v) for s, vs in chosen.items() for v in vs], "set_id string, version_id long")
+    want = entropy.rank_paths(entropy.path_entropy(members, by_path)).collect()
+    for share in (10**6, 50):
+        monkeypatch.setattr(entropy, "BLOCK_FILES", share)
+        for depth in (1, 5, 1000):
+            sets = spark.createDataFrame([(s, vs, depth) for s, vs in chosen.items()], "set_id string, versions array<long>, depth int")
+            found = entropy.strongest_paths(sets, entropy.version_paths(by_path))
+            assert "Expand" not in found._jdf.queryExecution().executedPlan().toString()
+            got = entropy.rank_paths(found).filter(f"rank <= {depth}")
+            assert sorted(map(repr, got.select(*want[0].asDict()).collect())) == sorted(repr(r) for r in want if r["rank"] <= depth)
+
+
+def test_ranks_of_a_long_list(spark):
+    """Ranges of paths are numbered one after the other, so no task sorts a whole set."""
+    rows = [(0, f"p{k % 501}", k % 7, k % 3) for k in range(501)] + [(1, "x", 1, 1), (1, None, 1, 1), (1, "y", 2, 5)]
+    paths = spark.createDataFrame(rows, "set_id int, webroot_path string, version_count long, checksum_count long")
+    found = entropy.rank_long(paths, Workspace(spark, "ranges").save)
+    assert found.schema == entropy.rank_paths(paths).schema
+    assert sorted(map(repr, found.collect())) == sorted(map(repr, entropy.rank_paths(paths).collect()))
+    assert "[set_id#" not in "".join(x for x in found._jdf.queryExecution().executedPlan().toString().splitlines() if "Window [row_number" in x and "_range" not in x)
+
+
+@pytest.mark.parametrize("listed", [1000, 1])
+def test_all_paths_of_a_site(spark, listed):
+    """A site's ranks come from those of its versions less the paths it has seen; no window or shuffle has a row for each site and path."""
+    by_path = spark.createDataFrame([(v, f"p{p}", f"c{(v * p) % 3}") for v in range(4) for p in range(9)], "version_id long, webroot_path string, checksum string")
+    guesses = spark.createDataFrame([(1, 0), (1, 1), (2, 1), (2, 0), (2, 0), (3, 2), (4, 9)], "site_id long, version_id long")
+    seen = spark.createDataFrame([(1, "p3"), (1, "p3"), (1, "p8"), (1, "other"), (2, None), (3, "p0"), (5, "p1")], "site_id long, webroot_path string")
+    sites = spark.createDataFrame([(1, "a"), (1, "b"), (2, "c"), (3, "d"), (4, "e"), (5, "f")], "site_id long, base_url string")
+
+    class Tables:
+        path_checksums = by_path
+
+    found = infer.all_candidate_paths(sites, guesses, seen, Tables, listed=listed)
+    sets = guesses.distinct().withColumnRenamed("site_id", "set_id")
+    all_paths = entropy.path_entropy(sets, by_path).withColumnRenamed("set_id", "site_id")
+    unseen = all_paths.join(seen.distinct(), ["site_id", "webroot_path"], "left_anti").withColumnRenamed("site_id", "set_id")
+    want = sites.join(entropy.rank_paths(unseen).withColumnRenamed("set_id", "site_id"), "site_id").select(*found.columns)
+    assert sorted(map(repr, found.collect())) == sorted(map(repr, want.collect())) and found.schema["rank"].dataType == want.schema["rank"].dataType
+
+
+def test_responses_that_are_asked_for(spark):
+    """Only responses of wanted addresses get weights, by hash or not."""
+    served = spark.createDataFrame([("a", True, "x"), ("b", True, "y"), ("a", True, "z"), (None, True, "x")], "url string, success boolean, checksum string")
+    idf = spark.createDataFrame([("x", 5)], "checksum string, weight_micro long")
+    wanted = spark.createDataFrame([(1, "a"), (2, "a"), (3, "c")], "site_id long, url string")
+    for asked in (10, 0):
+        found = infer.asked_responses(wanted, served, idf, asked)
+        assert sorted((r.url, r.checksum, r.found) for r in found.collect()) == [("a", "x", True), ("a", "z", False)]
+
+
+def test_expanding_join_uses_many_tasks(spark):
+    """Few rows that make many are not put together in one task."""
+    left = spark.createDataFrame([(k, k % 2) for k in range(400)], "site long, key int").unionByName(spark.createDataFrame([(1, None)], "site long, key int"))
+    right = spark.createDataFrame([(k % 3, k) for k in range(30)], "key int, path int")
+    found = expanding_join(left, right, ["key"], 10)
+    assert sorted(map(tuple, found.collect())) == sorted(map(tuple, left.join(right, "key").collect()))
+    assert found.withColumn("task", F.spark_partition_id()).select("task").distinct().count() > 1
+
+
+def test_flags_of_results_without_rows_of_versions(spark):
+    """Flags are those of all versions of a result, of which no shuffle has a row; versions of several names come once."""
+    packages = spark.createDataFrame([(1, "a", ["x"]), (2, "b", ["x"])], "package_id long, name string, alternative_names array<string>")
+    versions = spark.createDataFrame(
+        [(1, 10, "1.0", 1, 5), (1, 11, "1.0", 9, 5), (1, 12, "2.0", 3, 5), (2, 20, "1.0", 9, 5), (2, 21, "1.0", 2, None), (2, None, "3", 1, 5)],
+        "package_id long, version_id long, name string, release_date int, indexed int")
+    vulnerable = spark.createDataFrame([("c", 11), ("c", 12)], "cve_id string, version_id long")
+    rows = [("u", 0, "A", "1.0"), ("u", 1, "a", "1.0"), ("u", 2, "x", "1.0"), ("v", 0, "a", "2.0"), ("w", 0, "q", "1"), ("w", 1, None, "1"), ("y", 0, "b", "3"), (None, 0, "a", "1.0")]
+    guesses = spark.createDataFrame(rows, "url string, position int, package_name string, version_name string")
+    found = reports.result_versions(guesses, packages, versions)
+    assert sorted(map(repr, map(tuple, found.collect()))) == sorted(map(repr, [
+        ("u", 10), ("u", 11), ("u", 20), ("v", 12), ("y", None), (None, 10), (None, 11)]))
+    flags = reports.vulnerability_by_url(guesses, packages, versions, vulnerable)
+    assert {tuple(r) for r in flags.collect()} == {
+        ("u", "A", False, False, True), ("v", "a", True, True, True), ("w", "q", False, True, False), ("y", "b", False, True, False),
+        (None, "a", False, True, False)}
+    plan = flags._jdf.queryExecution().optimizedPlan().toString()
+    assert not any("Aggregate [url" in x and "version_id" in x for x in plan.splitlines())
