@@ -225,3 +225,40 @@ def test_flags_of_results_without_rows_of_versions(spark):
         (None, "a", False, True, False)}
     plan = flags._jdf.queryExecution().optimizedPlan().toString()
     assert not any("Aggregate [url" in x and "version_id" in x for x in plan.splitlines())
+
+
+@pytest.mark.parametrize("sent", [100, 0])
+def test_pieces_of_pages_are_not_shuffled(spark, monkeypatch, sent):
+    """With a catalogue of usual size only the pieces that a rule has leave the task of their page."""
+    monkeypatch.setattr(signals, "BROADCAST_RULES", sent)
+    kind = "array<struct<name:string,value:string>>"
+    pages = spark.createDataFrame([(1, "an Alpha page", None, None, ["x.js"]), (2, "none", None, None, None), (None, "alpha", None, None, None)],
+                                  f"site_id long, html string, headers {kind}, metas array<struct<name:string,content:string>>, script_srcs array<string>")
+    rules = spark.createDataFrame([("a", "html", None, "alpha"), ("j", "script", None, "\\.js$"), ("n", "html", None, None)],
+                                  "app string, kind string, field string, pattern string")
+    found = signals.tech_rule_match(pages, rules)
+    assert {tuple(r) for r in found.collect()} == {(1, "a"), (1, "j")}
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert ("rightHint=(strategy=broadcast)" in plan) == (sent == 100)
+
+
+def test_landed_files_grow_with_the_table(spark, monkeypatch):
+    """Documents in many parts land in as many files."""
+    from filespoor.world import index_queries as q
+
+    rows = [(k, f"x{k}", "en", "s1") for k in range(12)]
+    documents = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string").repartition(9)
+    landed = []
+
+    class Landed(World):
+        def table(self, name):
+            return documents
+
+    monkeypatch.setattr(q.incremental, "settled_index", lambda source, *a: landed.append(a))
+    monkeypatch.setattr(q.incremental, "latest_index", lambda spark, path: None)
+    monkeypatch.setattr(q, "_version_counts", lambda built: None)
+    monkeypatch.setattr(q.settling, "clock_row", lambda timed, *a: timed.limit(0))
+    world, path = Landed(spark, ""), []
+    monkeypatch.setattr(Workspace, "folder", lambda self, name: path.append(f"{self.path}/{name}") or path[-1])
+    q.settled_index(world)
+    assert len(landed) == 2 and len(spark.read.parquet(path[0]).inputFiles()) >= 9
