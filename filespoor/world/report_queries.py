@@ -147,10 +147,11 @@ def _stored(w: World) -> DataFrame:
 SELECT url, CASE WHEN guesses = 0 THEN 'false' ELSE 'array' END AS kind, guesses FROM result_site""")
 def scan_results_append(w: World) -> DataFrame:
     """A second append of the same scan adds nothing."""
-    path = w.workspace("results").folder("scan")
-    scan_results.append_results(w.scan_results, path)
+    space = w.workspace("results")
+    path, incoming = space.folder("scan"), space.save(w.scan_results, "incoming")
+    scan_results.append_results(incoming, path)
     stored = scan_results.read_results(w.spark, path)
-    scan_results.append_results(scan_results.new_results(w.scan_results, stored), path)
+    scan_results.append_results(scan_results.new_results(incoming, stored), path)
     outcome = reports.outcome()
     return scan_results.read_results(w.spark, path).select(
         "url",
