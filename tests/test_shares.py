@@ -5,7 +5,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from filespoor.operators import matching, scoring, skew, version_sets
+from filespoor.operators import matching, scoring, signals, skew, version_sets
 from filespoor.session import Workspace
 from test_version_sets import brute, world
 
@@ -73,3 +73,22 @@ def test_assets_stay_where_they_are(spark, monkeypatch):
         results.append(({(r.site_id, r.version_id): tuple(r[n] for n in version_sets.SCORES) for r in scoring.site_scores(frame, packed, save=space.save).collect()},
                         sorted(map(tuple, weighed.collect()), key=repr)))
     assert results[0] == results[1] and results[0][0] == brute(*brutal)
+
+
+@pytest.mark.parametrize("near", [10**6, 0])
+def test_estimates_meet_where_their_sites_are(spark, monkeypatch, near):
+    """The rows of all sites and versions are not shuffled to be made distinct; many versions meet the sites as before."""
+    monkeypatch.setattr(skew, "NEAR_PAIRS", near)
+    packages = spark.createDataFrame([(1, "a", ["x"]), (2, "b", ["x"]), (3, "c", None)], "package_id long, name string, alternative_names array<string>")
+    versions = spark.createDataFrame(
+        [(1, 10, "1.0", 1), (1, 10, "1.0", 1), (1, 11, "1.1", 1), (2, 10, "1.0", 1), (2, 20, "2.0", 1), (3, 30, "3", 1), (3, 31, "4", None)],
+        "package_id long, version_id long, name string, indexed int")
+    matches = spark.createDataFrame([(7, "X"), (7, "a"), (8, "c"), (8, "c"), (9, "none"), (None, "c")], "site_id long, app string")
+    texts = spark.createDataFrame([(7, "a 1.0"), (7, "a"), (8, "b"), (8, "b"), (9, "c 9"), (10, None)], "site_id long, generator string")
+    found = signals.candidate_versions(
+        signals.rule_versions(matches, packages, versions), signals.generator_versions(texts, packages, versions)
+    )
+    assert sorted(map(tuple, found.collect()), key=repr) == sorted(
+        [(7, 10), (7, 11), (7, 20), (8, 30), (8, 10), (8, 20), (9, 30), (None, 30)], key=repr)
+    plan = found._jdf.queryExecution().executedPlan().toString().split("Union")[0]
+    assert ("Exchange" in plan) == (near == 0)
